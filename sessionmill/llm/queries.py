@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionmill.llm.language import op3_language_id
+from sessionmill.llm.toxicity import op1_toxicity
 from sessionmill.llm.url_rules import op9_url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_language_id": op3_language_id,
     "op9_url_rules": op9_url_rules,
 }
