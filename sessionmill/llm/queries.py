@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sessionmill.llm.decontaminate import op2_decontaminate
 from sessionmill.llm.language import op3_language_id
 from sessionmill.llm.secrets import op10_secret_scan
 from sessionmill.llm.toxicity import op1_toxicity
@@ -13,6 +14,7 @@ from sessionmill.llm.url_rules import op9_url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
     "op9_url_rules": op9_url_rules,
     "op10_secret_scan": op10_secret_scan,
