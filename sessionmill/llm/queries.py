@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sessionmill.llm.decontaminate import op2_decontaminate
 from sessionmill.llm.language import op3_language_id
+from sessionmill.llm.mixing import op6_source_mix
 from sessionmill.llm.secrets import op10_secret_scan
 from sessionmill.llm.toxicity import op1_toxicity
 from sessionmill.llm.url_rules import op9_url_rules
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
+    "op6_source_mix": op6_source_mix,
     "op9_url_rules": op9_url_rules,
     "op10_secret_scan": op10_secret_scan,
 }
