@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionmill.llm.decontaminate import op2_decontaminate
+from sessionmill.llm.html_text import op5_html_text
 from sessionmill.llm.language import op3_language_id
 from sessionmill.llm.mixing import op6_source_mix
 from sessionmill.llm.secrets import op10_secret_scan
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
+    "op5_html_text": op5_html_text,
     "op6_source_mix": op6_source_mix,
     "op9_url_rules": op9_url_rules,
     "op10_secret_scan": op10_secret_scan,
