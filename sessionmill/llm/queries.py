@@ -13,6 +13,7 @@ from sessionmill.llm.mixing import op6_source_mix
 from sessionmill.llm.secrets import op10_secret_scan
 from sessionmill.llm.toxicity import op1_toxicity
 from sessionmill.llm.url_rules import op9_url_rules
+from sessionmill.llm.vectors import op7_embedding_neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_html_text": op5_html_text,
     "op6_source_mix": op6_source_mix,
+    "op7_embedding_neardup": op7_embedding_neardup,
     "op9_url_rules": op9_url_rules,
     "op10_secret_scan": op10_secret_scan,
 }
