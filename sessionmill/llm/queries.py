@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sessionmill.llm.decontaminate import op2_decontaminate
 from sessionmill.llm.html_text import op5_html_text
 from sessionmill.llm.language import op3_language_id
+from sessionmill.llm.lm_score import op8_lm_score
 from sessionmill.llm.mixing import op6_source_mix
 from sessionmill.llm.secrets import op10_secret_scan
 from sessionmill.llm.toxicity import op1_toxicity
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_text": op5_html_text,
     "op6_source_mix": op6_source_mix,
     "op7_embedding_neardup": op7_embedding_neardup,
+    "op8_lm_score": op8_lm_score,
     "op9_url_rules": op9_url_rules,
     "op10_secret_scan": op10_secret_scan,
 }
