@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sessionmill.llm.decontaminate import op2_decontaminate
 from sessionmill.llm.html_text import op5_html_text
+from sessionmill.llm.jaccard import op4_ngram_jaccard
 from sessionmill.llm.language import op3_language_id
 from sessionmill.llm.lm_score import op8_lm_score
 from sessionmill.llm.mixing import op6_source_mix
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_html_text": op5_html_text,
     "op6_source_mix": op6_source_mix,
     "op7_embedding_neardup": op7_embedding_neardup,
