@@ -8,7 +8,9 @@ the distance to the plane between its centroid and the vector's own. In a list,
 table look-ups give the distance to the coded vectors; by the triangle inequality
 none within the radius is lost if the look-up distance less the coded vector's
 own error exceeds it. What is left gets an exact cosine in double precision. So
-no link is lost, whatever the sample was; the sample only sets the speed.
+no link is lost, whatever the sample was; the sample only sets the speed. Since
+either end of a link would find the other, a vector asks only its own list and
+those numbered above it.
 
 Equal vectors are one class, so copies cost a count and no pairs. A list is
 searched in blocks of ``ROWS`` entries by ``QUERIES`` queries. A block returns
@@ -33,7 +35,7 @@ from sessionmill.llm.common import components, table
 
 COSINE = 0.95
 SAMPLE, LISTS, PARTS, CODES = 8_192, 256, 8, 64
-ROWS, QUERIES = 1_024, 2_048
+PER_LIST, ROWS, QUERIES = 512, 4_096, 4_096
 _SLACK = 1e-6
 
 
@@ -53,7 +55,7 @@ class Quantiser:
     """Coarse centroids and a codebook a subspace, fitted on unit vectors."""
 
     def __init__(self, sample: np.ndarray, rows: int, lists: int = LISTS):
-        k = int(max(1, min(lists, len(sample), round(rows**0.5))))
+        k = int(max(1, min(lists, len(sample), rows // PER_LIST)))
         self.coarse = kmeans(sample, k)
         left = sample - self.coarse[self.nearest(sample)]
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(PARTS, sample.shape[1]))
@@ -64,7 +66,7 @@ class Quantiser:
         return (x @ self.coarse.T - 0.5 * (self.coarse**2).sum(1)).argmax(1)
 
     def encode(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """List, codes, error norm and sufficient probes of each row."""
+        """List, codes, error norm and sufficient probes (its own list and higher ones) of each row."""
         d2 = ((x**2).sum(1)[:, None] - 2 * x @ self.coarse.T) + (self.coarse**2).sum(1)[None]
         own = d2.argmin(1)
         left = x - self.coarse[own]
@@ -72,6 +74,7 @@ class Quantiser:
         error = np.sqrt(sum(((left[:, c] - b[codes[:, m]]) ** 2).sum(1) for m, (c, b) in enumerate(zip(self.cuts, self.books, strict=True))))
         # twice the distance between centroids times the radius bounds the difference of squared distances
         ok = d2 - d2[np.arange(len(x)), own][:, None] <= 2 * radius * self.apart[own] + _SLACK
+        ok &= np.arange(ok.shape[1])[None] >= own[:, None]
         return own, codes, error, [np.flatnonzero(row) for row in ok]
 
     def near(self, x: np.ndarray, list_no: int, codes: np.ndarray, error: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
@@ -123,18 +126,17 @@ def links(found: DataFrame, cosine: float = COSINE) -> DataFrame:
     sample = np.array([r["v"] for r in found.where(draw < share).orderBy("id").limit(2 * SAMPLE).select("v").collect()], dtype=np.float64)
     if not len(sample):
         sample = np.array([r["v"] for r in found.orderBy("id").limit(1).select("v").collect()], dtype=np.float64)
-    sample /= _norm(sample)
-    shared = found.sparkSession.sparkContext.broadcast(Quantiser(sample, rows))
+    kind = np.float32 if found.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
+    shared = found.sparkSession.sparkContext.broadcast(Quantiser(unit(sample), rows))
 
     def index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if not batch.num_rows:
                 continue
-            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            x = flat.reshape(batch.num_rows, -1)
-            x = x / _norm(x)
+            given = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(batch.num_rows, -1)
+            x = unit(given)
             own, codes, error, probes = shared.value.encode(x, radius)
-            made = {"list": pa.array(own, pa.int32()), "codes": pa.array([c.tobytes() for c in codes], pa.binary()), "error": pa.array(error), "probes": pa.array(probes, pa.list_(pa.int32())), "x": pa.array([r.tobytes() for r in x], pa.binary())}
+            made = {"list": pa.array(own, pa.int32()), "codes": pa.array([c.tobytes() for c in codes], pa.binary()), "error": pa.array(error), "probes": pa.array(probes, pa.list_(pa.int32())), "x": pa.array([r.tobytes() for r in given], pa.binary())}
             yield pa.record_batch({"id": batch.column("id"), "n": batch.column("n")} | made)
 
     indexed = table(found.select("id", "n", "v").mapInArrow(index, "id long, n long, list int, codes binary, error double, probes array<int>, x binary"), "indexed")
@@ -142,21 +144,21 @@ def links(found: DataFrame, cosine: float = COSINE) -> DataFrame:
     asked = indexed.select(F.explode("probes").alias("list")).groupBy("list").count().select("list", F.ceil(F.col("count") / QUERIES).cast("int").alias("query_blocks"))
     sizes = F.broadcast(entries.join(asked, "list"))  # one row a list, LISTS at most
     place = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-    kept = indexed.join(sizes, "list").select("list", place("row_blocks").alias("row_block"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"), F.lit(False).alias("asks"), "id", "n", "codes", "error", "x")
-    asks = indexed.withColumn("list", F.explode("probes")).join(sizes, "list")
-    asks = asks.select("list", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("row_block"), place("query_blocks").alias("query_block"), F.lit(True).alias("asks"), "id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), "x")
+    kept = indexed.join(sizes, "list").select("list", F.col("list").alias("home"), place("row_blocks").alias("row_block"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"), F.lit(False).alias("asks"), "id", "n", "codes", "error", "x")
+    asks = indexed.withColumn("home", F.col("list")).withColumn("list", F.explode("probes")).join(sizes, "list")
+    asks = asks.select("list", "home", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("row_block"), place("query_blocks").alias("query_block"), F.lit(True).alias("asks"), "id", "n", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), "x")
 
     def search(group: pa.Table) -> pa.Table:
         asks = group["asks"].to_numpy(zero_copy_only=False).astype(bool)
         a, b, n = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         if asks.any() and not asks.all():
             read = lambda c, t, k: np.frombuffer(b"".join(group.filter(pa.array(k))[c].to_pylist()), dtype=t).reshape(int(k.sum()), -1)
-            ids = group["id"].to_numpy()
-            qx, ex, codes = read("x", np.float64, asks), read("x", np.float64, ~asks), read("codes", np.uint8, ~asks)
-            q_id, e_id, e_n, error = ids[asks], ids[~asks], group["n"].to_numpy()[~asks], group["error"].to_numpy()[~asks]
+            ids, sizes, this = group["id"].to_numpy(), group["n"].to_numpy(), int(group["list"][0].as_py())
+            qx, ex, codes = unit(read("x", kind, asks)), unit(read("x", kind, ~asks)), read("codes", np.uint8, ~asks)
+            q_id, e_id, q_n, e_n, error = ids[asks], ids[~asks], sizes[asks], sizes[~asks], group["error"].to_numpy()[~asks]
             heads, tails = [], []
             for start in range(0, len(qx), 256):
-                i, j = shared.value.near(qx[start : start + 256], int(group["list"][0].as_py()), codes, error, radius)
+                i, j = shared.value.near(qx[start : start + 256], this, codes, error, radius)
                 i = i + start
                 for s in range(0, len(i), 1 << 16):
                     p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
@@ -164,21 +166,23 @@ def links(found: DataFrame, cosine: float = COSINE) -> DataFrame:
                     heads.append(p[ok])
                     tails.append(q[ok])
             i, j = np.concatenate(heads), np.concatenate(tails)
-            count = np.bincount(i, e_n[j], minlength=len(q_id)).astype(np.int64)
+            # a list asks itself from both ends; another list's links are asked once and count for both
+            away = group["home"].to_numpy()[asks][i] != this
+            ends, count = np.concatenate([q_id, e_id]), np.concatenate([np.bincount(i, e_n[j], minlength=len(q_id)), np.bincount(j[away], q_n[i[away]], minlength=len(e_id))]).astype(np.int64)
             some = np.flatnonzero(count)
             left, right = forest(q_id[i], e_id[j])
-            a, b, n = [q_id[some], left], [np.full(len(some), -1), right], [count[some], np.zeros(len(left), dtype=np.int64)]
+            a, b, n = [ends[some], left], [np.full(len(some), -1), right], [count[some], np.zeros(len(left), dtype=np.int64)]
         a, b, n = np.concatenate(a), np.concatenate(b), np.concatenate(n)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64(), mask=n > 0), "n": pa.array(n, pa.int64(), mask=n == 0)})
 
     return kept.unionByName(asks).groupBy("list", "row_block", "query_block").applyInArrow(search, "a long, b long, n long")
 
 
-def _norm(x: np.ndarray) -> np.ndarray:
-    """Norms of rows; scaled first, so that neither large nor small components overflow."""
-    most = np.abs(x).max(1, keepdims=True)
-    x /= most
-    return np.sqrt((x**2).sum(1, keepdims=True))
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at unit length in double precision; scaled first, so that neither large nor small components overflow."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
