@@ -80,11 +80,13 @@ class Quantiser:
     def near(self, x: np.ndarray, list_no: int, codes: np.ndarray, error: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, entry) of one list that table look-ups can't rule out."""
         left = x - self.coarse[list_no]
-        total = np.zeros((len(x), len(codes)))
+        total = np.zeros((len(codes), len(x)), dtype=np.float32)
+        row = np.empty_like(total)
         for m, (c, b) in enumerate(zip(self.cuts, self.books, strict=True)):
-            look = (left[:, c] ** 2).sum(1)[:, None] - 2 * left[:, c] @ b.T + (b**2).sum(1)[None]
-            total += look[:, codes[:, m]]
-        return np.nonzero(np.sqrt(np.maximum(0, total)) <= radius + error[None] + _SLACK)
+            look = (left[:, c] ** 2).sum(1)[None] - 2 * b @ left[:, c].T + (b**2).sum(1)[:, None]
+            total += np.take(look.astype(np.float32), codes[:, m], axis=0, out=row)
+        entry, query = np.nonzero(total <= ((radius + error) ** 2 + 100 * _SLACK).astype(np.float32)[:, None])
+        return query, entry
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
