@@ -1,10 +1,610 @@
-"""Registered queries and the SQL that each must agree with."""
+"""Registered queries, each over the whole of the given tables."""
 
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sessionmill.functions import columns as fn
+from sessionmill.functions import pricing
+from sessionmill.operators import activity, archive, capture, coverage, listing, normalize, projects, rollups, search, turns, windowed
+from sessionmill.operators import sessions as ses
+from sessionmill.plans.oracles import ORACLE_SQL
+from sessionmill.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+
+UTC = dt.timezone.utc
+AS_OF = dt.datetime(2024, 1, 31, tzinfo=UTC)
+SINCE, TO = dt.datetime(2024, 1, 5, 6, 30, tzinfo=UTC), dt.datetime(2024, 1, 12, 18, tzinfo=UTC)
+FIRST, LAST = dt.date(2023, 12, 25), dt.date(2024, 1, 31)
+PROJECT = "/home/dev/src/proj3"
+
+
+def query(f: Callable) -> Callable:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priced turns with their calls."""
+    events = fx.events(spark, sf_dir)
+    return pricing.with_cost(turns.with_tool_calls(turns.build_turns(events), events), fx.rates(spark))
+
+
+def all_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ses.sessions(priced(spark, sf_dir))
+
+
+def done_days(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.explode(F.sequence(F.lit(dt.date(2024, 1, 1)), F.lit(dt.date(2024, 1, 20)))).alias("day"))
+
+
+def project_of(path: str) -> Column:
+    return fn.project_id(F.lit(path))
+
+
+def ms(c: str, name: str | None = None) -> Column:
+    return F.unix_millis(c).alias(name or c)
+
+
+def day(c: str = "day") -> Column:
+    return fn.day_text(F.col(c)).alias(c)
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.transcript(spark, sf_dir).select("line", "path", "mtime", "event_id", "seq")
+
+
+MONEY = [pricing.dollars(F.col("cost_units")).alias("cost_usd"), pricing.dollars(F.col("saved_units")).alias("saved_usd")]
+TOKENS = list(rollups.TOKENS)
+SESSION = ["tenant_id", "session_id", ms("started_at"), ms("ended_at"), "duration_ms", "turns", *TOKENS, "cost_usd", "unpriced", "errors", "tool_calls", "model", "project", "project_id", "git_branch", fn.joined(F.col("models")).alias("models"), fn.joined(F.col("tool_names")).alias("tool_names"), "hit_rate"]
+
+
+# --- sources and the event log -------------------------------------------------------------------------------------------------
+@query
+def transcript_scan(spark, sf_dir):
+    """Writes the transcript lines as files and scans them."""
+    from sessionmill.sources.transcripts import scan
+
+    root = f"{work_dir(spark)}/transcripts-{uuid.uuid4().hex}"
+    made = fx.transcript(spark, sf_dir).select(F.col("line").alias("value"))
+    made.repartition(4).write.text(root)
+    return scan(spark, root, "*.txt").select(F.sha2("line", 256).alias("line_hash")).groupBy("line_hash").agg(F.count("*").alias("n"))
+
+
+@query
+def events_range(spark, sf_dir):
+    e = fx.events(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    return windowed.in_window(e, SINCE, TO, "ts").select("seq", "type", ms("ts"), "session_id", "turn_id", "message_id", "tenant_id", "model")
+
+
+@query
+def event_days(spark, sf_dir):
+    e = fx.events(spark, sf_dir)
+    return e.groupBy("tenant_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("events")).select("tenant_id", day(), "events")
+
+
+@query
+def event_hash_dedupe(spark, sf_dir):
+    e = fx.raw_events(spark, sf_dir).drop("seq", "duration_ms")
+    kept = turns.dedupe_events(e.unionByName(e))
+    return kept.groupBy("tenant_id", "type", "source").agg(F.count("*").alias("events"))
+
+
+@query
+def compact_eligible_days(spark, sf_dir):
+    return archive.eligible_days(fx.events(spark, sf_dir), done_days(spark), AS_OF).select(day())
+
+
+def payloads(spark, sf_dir):
+    d = fx.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("payload"))
+    return d.withColumn("tenant_id", F.explode(F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("acme"), F.lit("globex"))).otherwise(F.array(F.lit("acme")))))
+
+
+@query
+def blob_dedupe(spark, sf_dir):
+    return archive.blobs(payloads(spark, sf_dir)).select("tenant_id", "ref", F.octet_length("payload").cast("long").alias("bytes"))
+
+
+@query
+def blob_lookup(spark, sf_dir):
+    store = archive.blobs(payloads(spark, sf_dir))
+    ref = F.when(F.col("doc_id") % 2 == 0, F.sha2("text", 256)).otherwise("not-a-hash")
+    wanted = fx.read(spark, sf_dir, "documents").select("doc_id", F.lit("globex").alias("tenant_id"), ref.alias("ref"))
+    return archive.lookup(store, wanted).select("doc_id", "tenant_id", "ref", F.length("payload").cast("long").alias("chars"))
+
+
+# --- normalisation -------------------------------------------------------------------------------------------------------------
+@query
+def parse_transcript(spark, sf_dir):
+    e = normalize.response_events(lines(spark, sf_dir))
+    return e.select("seq", "type", ms("ts"), "session_id", "turn_id", "message_id", "model", "cwd", "git_branch", "status_code", "input_tokens", "output_tokens", "cache_write", "cache_read", "cache_write_1h", "reasoning_tokens", F.size("tool_calls").cast("long").alias("n_calls"))
+
+
+@query
+def parse_api_errors(spark, sf_dir):
+    return normalize.error_events(lines(spark, sf_dir)).select("seq", "type", ms("ts"), "session_id", "turn_id", "model", "status_code", "error")
+
+
+@query
+def content_blocks(spark, sf_dir):
+    b = normalize.content_blocks(fx.content(spark, sf_dir))
+    return b.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "message_id", "kind", "tool_use_id", "tool_name", F.when(F.col("kind") == "text", F.col("text")).alias("text"))
+
+
+@query
+def tool_results(spark, sf_dir):
+    return normalize.tool_results(fx.content(spark, sf_dir)).select("conv_id", "turn", "tool_use_id", "text", "is_error")
+
+
+@query
+def tool_result_text(spark, sf_dir):
+    c = fx.read(spark, sf_dir, "conversations")
+    quoted = F.to_json(F.struct(F.col("text").alias("t")))
+    bare = F.regexp_extract(quoted, r'^\{"t":(.*)\}$', 1)
+    block = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text")), F.struct(F.lit("text").alias("type"), F.lit("").alias("text")), F.struct(F.lit("text").alias("type"), F.lit("end").alias("text"))))
+    raw = F.when(F.col("turn") % 3 == 0, bare).when(F.col("turn") % 3 == 1, block).otherwise('{"other":1}')
+    return c.select("conv_id", "turn", fn.result_text(raw).alias("text"))
+
+
+@query
+def truncate_content(spark, sf_dir):
+    text, cut, size = fn.truncate_utf8(F.col("text"), 101)
+    return fx.read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), cut.alias("truncated"), size.cast("long").alias("bytes"))
+
+
+def paths(spark, sf_dir):
+    d = fx.raw_events(spark, sf_dir).where("cwd is not null").select("cwd").distinct()
+    odd = F.array(F.col("cwd"), F.concat("cwd", F.lit("/")), F.concat(F.lit("C:"), F.replace("cwd", F.lit("/"), F.lit("\\"))), F.upper("cwd"), F.lit("C:\\"), F.lit("/"))
+    return d.select(F.explode(odd).alias("path")).distinct()
+
+
+@query
+def project_name(spark, sf_dir):
+    return paths(spark, sf_dir).select("path", fn.project_name(F.col("path")).alias("project"))
+
+
+@query
+def project_id(spark, sf_dir):
+    return paths(spark, sf_dir).select("path", fn.project_id(F.col("path")).alias("project_id"))
+
+
+@query
+def repo_attribution(spark, sf_dir):
+    return projects.attribute(fx.raw_events(spark, sf_dir), fx.roots(spark))
+
+
+@query
+def stamp_identity_fill(spark, sf_dir):
+    e = normalize.fill_identity(fx.raw_events(spark, sf_dir).withColumn("tenant_id", F.when(F.col("seq") % 3 > 0, F.col("tenant_id"))), {"tenant_id": "home", "user_id": "u1", "machine_id": "m1"})
+    return e.groupBy("tenant_id", "user_id", "machine_id").agg(F.count("*").alias("events"))
+
+
+@query
+def stamp_identity_overwrite(spark, sf_dir):
+    e = normalize.overwrite_identity(fx.raw_events(spark, sf_dir), {"tenant_id": "home", "user_id": "u1"})
+    return e.groupBy("tenant_id", "user_id", "type").agg(F.count("*").alias("events"))
+
+
+@query
+def request_summary(spark, sf_dir):
+    return capture.request_summary(fx.bodies(spark, sf_dir)).withColumn("tools", fn.joined(F.col("tools")))
+
+
+@query
+def conversation_key(spark, sf_dir):
+    return fx.bodies(spark, sf_dir).select("exchange_id", fn.conversation_key(F.col("request_body")).alias("conversation"))
+
+
+@query
+def response_summary(spark, sf_dir):
+    r = capture.response_summary(fx.bodies(spark, sf_dir))
+    return r.select("exchange_id", "model", "stop_reason", "input_tokens", "output_tokens", F.col("cache_read_input_tokens").alias("cache_read"), fn.joined(F.transform("tool_calls", lambda c: F.concat(c["id"], F.lit(":"), c["name"]))).alias("calls"))
+
+
+@query
+def sse_fold(spark, sf_dir):
+    r = capture.sse_fold(fx.bodies(spark, sf_dir))
+    return r.withColumn("tool_calls", fn.joined(F.transform("tool_calls", lambda c: F.concat(c["id"], F.lit(":"), c["name"]))))
+
+
+@query
+def cache_write_split(spark, sf_dir):
+    w5m, w1h = pricing.cache_write_split()
+    return fx.raw_events(spark, sf_dir).where("input_tokens is not null").select("seq", w5m.alias("w5m"), w1h.alias("w1h"))
+
+
+# --- filters -------------------------------------------------------------------------------------------------------------------
+@query
+def window_turns(spark, sf_dir):
+    since, to = windowed.window(AS_OF, "2024-01-05", "2024-01-12T18:00:00Z")
+    return windowed.in_window(priced(spark, sf_dir), since, to).select("tenant_id", day(), "turn_key", ms("started_at"), "model")
+
+
+@query
+def plausible_events(spark, sf_dir):
+    n = F.floor(F.col("seq") / 10) % 100
+    ts = F.when(n == 1, None).when(n == 2, F.lit("1478-01-01").cast("timestamp")).when(n == 3, F.lit("2074-01-31").cast("timestamp")).otherwise(F.col("ts"))
+    e = fx.raw_events(spark, sf_dir).withColumn("ts", ts)
+    return e.groupBy(normalize.plausible(e, AS_OF).alias("accepted")).agg(F.count("*").alias("events"))
+
+
+@query
+def tenant_partition_audit(spark, sf_dir):
+    e = fx.raw_events(spark, sf_dir).withColumn("part", F.when(F.col("seq") % 1000 == 0, "acme").otherwise(F.col("tenant_id")))
+    return archive.partition_audit(e, "part", "tenant_id")
+
+
+def _search(name: str, text: str) -> None:
+    def run(spark, sf_dir):
+        return all_sessions(spark, sf_dir).where(search.search(text)).select("tenant_id", "session_id")
+
+    run.__doc__ = f"Sessions found by {text!r}."
+    QUERIES[name] = run
+
+
+SEARCHES = {"search_any": "proj3", "search_project": "project:proj2", "search_branch": "branch:feature", "search_id": "id:s1", "search_model": "model:mini", "search_tool": "tool:bash", "search_has": "has:errors", "search_numeric": "cost:>0.5", "search_compound": 'model:model-b turns:>8 has:tools "s2"', "search_projectid": "projectid:" + hashlib.sha256(PROJECT.encode()).hexdigest()[:12].upper()}
+for _name, _text in SEARCHES.items():
+    _search(_name, _text)
+
+
+# --- joins and turns -----------------------------------------------------------------------------------------------------------
+@query
+def attach_tool_results(spark, sf_dir):
+    t = priced(spark, sf_dir)
+    results = fx.events(spark, sf_dir).where("tool_calls is not null and seq % 70 <> 0").select("tenant_id", F.to_date("ts").alias("day"), F.col("tool_calls")[0]["id"].alias("tool_use_id")).distinct().withColumn("ref", F.sha2("tool_use_id", 256))
+    return turns.attach_tool_results(t, results).select("tenant_id", day(), "turn_key", "tool_use_id", "ref")
+
+
+@query
+def rate_lookup(spark, sf_dir):
+    r = pricing.rate_of(fx.raw_events(spark, sf_dir), fx.rates(spark))
+    return r.select("model", "matched_prefix", F.col("rate_input").cast("double").alias("rate_input"), F.col("rate_output").cast("double").alias("rate_output"))
+
+
+@query
+def session_detail(spark, sf_dir):
+    t = priced(spark, sf_dir)
+    days = rollups.rollup_session_day(t).where("session_id = 's7'").select("tenant_id", "day", "session_id")
+    return ses.turn_sequence(t.join(days, ["tenant_id", "day", "session_id"], "left_semi")).select("tenant_id", "session_id", "turn_key", ms("started_at"), "model", F.col("place").cast("long").alias("place"))
+
+
+@query
+def hot_cold_turns(spark, sf_dir):
+    t = priced(spark, sf_dir)
+    cold = t.where("day <= '2024-01-20'").withColumn("origin", F.lit("cold"))
+    hot = t.withColumn("origin", F.lit("hot"))
+    return windowed.cold_over_hot(cold, hot, done_days(spark)).groupBy("origin", "day").agg(F.count("*").alias("turns")).select("origin", day(), "turns")
+
+
+@query
+def ship_pending(spark, sf_dir):
+    e = fx.raw_events(spark, sf_dir)
+    return archive.pending(e, e.where("seq % 4 = 0")).groupBy("type", "tenant_id").agg(F.count("*").alias("events"))
+
+
+@query
+def build_turns(spark, sf_dir):
+    t = turns.build_turns(fx.events(spark, sf_dir))
+    return t.select("tenant_id", day(), "turn_key", "session_id", "turn_id", "message_id", "source", "model", ms("started_at"), "status_code", "duration_ms", "error", "pending", "project", "project_id", "in_repo", "git_branch", "input_tokens", "output_tokens", "cache_write", "cache_read", "cache_write_5m", "cache_write_1h", "first_seq")
+
+
+@query
+def turn_tool_calls(spark, sf_dir):
+    c = turns.tool_calls(fx.events(spark, sf_dir))
+    return c.select("tenant_id", day(), "turn_key", fn.joined(F.transform("calls", lambda x: F.concat(x["id"], F.lit(":"), x["name"]))).alias("calls"))
+
+
+@query
+def sessions(spark, sf_dir):
+    return all_sessions(spark, sf_dir).select(*SESSION)
+
+
+# --- rollups and windows -------------------------------------------------------------------------------------------------------
+@query
+def rollup_day(spark, sf_dir):
+    return rollups.rollup_day(priced(spark, sf_dir)).select("tenant_id", day(), "sessions", "turns", "errors", "unpriced", *TOKENS, *MONEY)
+
+
+@query
+def rollup_model(spark, sf_dir):
+    return rollups.rollup_model(priced(spark, sf_dir)).select("tenant_id", day(), "model", "turns", *TOKENS, *MONEY)
+
+
+@query
+def rollup_tool(spark, sf_dir):
+    return rollups.rollup_tool(priced(spark, sf_dir)).select("tenant_id", day(), "tool", "calls")
+
+
+@query
+def rollup_project(spark, sf_dir):
+    return rollups.rollup_project(priced(spark, sf_dir)).select("tenant_id", day(), "project_id", "project", "in_repo", "sessions", "turns", "errors", *TOKENS, *MONEY)
+
+
+@query
+def rollup_session_day(spark, sf_dir):
+    return rollups.rollup_session_day(priced(spark, sf_dir)).select("tenant_id", day(), "session_id", "turns", ms("first_at"), ms("last_at"))
+
+
+@query
+def window_totals(spark, sf_dir):
+    t = priced(spark, sf_dir)
+    return windowed.totals(t, rollups.rollup_day(t), SINCE, TO).drop("cost_units", "saved_units")
+
+
+@query
+def window_by_model(spark, sf_dir):
+    t = priced(spark, sf_dir)
+    return windowed.by_model(t, rollups.rollup_model(t), SINCE, TO).drop("cost_units", "saved_units")
+
+
+@query
+def window_by_tool(spark, sf_dir):
+    t = priced(spark, sf_dir)
+    return windowed.by_tool(t, rollups.rollup_tool(t), SINCE, TO)
+
+
+@query
+def window_by_project(spark, sf_dir):
+    t = priced(spark, sf_dir)
+    return windowed.by_project(t, rollups.rollup_project(t), SINCE, TO).drop("cost_units", "saved_units")
+
+
+@query
+def daily_series(spark, sf_dir):
+    t = priced(spark, sf_dir)
+    return windowed.daily_series(t, rollups.rollup_day(t), SINCE, TO).select(day(), "sessions", "turns", "errors", *TOKENS, "cost_usd", "hit_rate")
+
+
+@query
+def project_daily(spark, sf_dir):
+    t = priced(spark, sf_dir)
+    pid = hashlib.sha256(PROJECT.encode()).hexdigest()[:12]
+    return windowed.project_daily(t, rollups.rollup_project(t), pid, SINCE, TO).select(day(), "sessions", "turns", "errors", *TOKENS, "cost_usd")
+
+
+@query
+def dashboard_stats(spark, sf_dir):
+    t = priced(spark, sf_dir)
+    return windowed.dashboard(t, rollups.rollup_project(t), SINCE, TO).select("project_id", "project", "sessions", "turns", "errors", "cost_usd", "hit_rate")
+
+
+def project_turns(spark, sf_dir):
+    return priced(spark, sf_dir).withColumn("pid", project_of(PROJECT)).where("project_id = pid")
+
+
+@query
+def project_models(spark, sf_dir):
+    t = project_turns(spark, sf_dir)
+    return t.where("model is not null").groupBy("model").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "model")
+
+
+@query
+def project_tools(spark, sf_dir):
+    calls = project_turns(spark, sf_dir).select(F.explode("calls").alias("call")).select(F.col("call.name").alias("tool"))
+    return calls.groupBy("tool").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tool")
+
+
+@query
+def project_branches(spark, sf_dir):
+    s = all_sessions(spark, sf_dir).where(F.col("project_id") == project_of(PROJECT))
+    return projects.branches(s).select("branch", "sessions", "turns", "errors", "cost_usd", "hit_rate", ms("last_active"))
+
+
+@query
+def median_session_cost(spark, sf_dir):
+    return projects.median_cost(all_sessions(spark, sf_dir))
+
+
+@query
+def extreme_sessions(spark, sf_dir):
+    return projects.extremes(all_sessions(spark, sf_dir))
+
+
+# --- coverage and archive ------------------------------------------------------------------------------------------------------
+@query
+def coverage_counts(spark, sf_dir):
+    return coverage.counts(lines(spark, sf_dir))
+
+
+@query
+def coverage_by_version(spark, sf_dir):
+    return coverage.by_version(lines(spark, sf_dir))
+
+
+@query
+def coverage_missing(spark, sf_dir):
+    return coverage.missing(lines(spark, sf_dir))
+
+
+@query
+def coverage_unknown(spark, sf_dir):
+    return coverage.unknown(lines(spark, sf_dir))
+
+
+@query
+def coverage_merge(spark, sf_dir):
+    run = lines(spark, sf_dir)
+    return coverage.merge(coverage.counts(run), coverage.counts(run.where("event_id % 2 = 0")), coverage.unknown(run))
+
+
+@query
+def archive_summary(spark, sf_dir):
+    return archive.summary(priced(spark, sf_dir)).select("days", day("first_day"), day("last_day"), "turns", "most_turns")
+
+
+@query
+def archive_days(spark, sf_dir):
+    t = turns.build_turns(fx.events(spark, sf_dir))
+    return archive.days_of(t.where("day <= '2024-01-20'"), t.where("day >= '2024-01-15'")).select(day())
+
+
+@query
+def prune_verdict(spark, sf_dir):
+    t = priced(spark, sf_dir).withColumn("refs", F.size("calls"))
+    return archive.prune_verdict(t.where("first_seq % 997 <> 0"), t).select(day(), "archived_turns", "rebuilt_turns", "archived_refs", "rebuilt_refs", "releasable")
+
+
+@query
+def late_days(spark, sf_dir):
+    done = done_days(spark).withColumn("compacted_seq", F.lit(50_000).cast("long"))
+    return archive.late_days(fx.events(spark, sf_dir), done).select(day(), "late_events")
+
+
+# --- session views, activity ---------------------------------------------------------------------------------------------------
+@query
+def turn_sequence(spark, sf_dir):
+    return ses.turn_sequence(priced(spark, sf_dir)).select("tenant_id", "session_id", "turn_key", day(), F.col("place").cast("long").alias("place"))
+
+
+@query
+def day_segments(spark, sf_dir):
+    s = ses.day_segments(priced(spark, sf_dir), "America/New_York")
+    return s.select("tenant_id", "session_id", F.col("segment").cast("long").alias("segment"), day("local_day"), "turns", ms("first_at"), ms("last_at"), "gap_ms")
+
+
+@query
+def session_span(spark, sf_dir):
+    return ses.session_span(rollups.rollup_session_day(priced(spark, sf_dir))).select("tenant_id", "session_id", day("oldest_day"), day("newest_day"), "days")
+
+
+@query
+def timeline_buckets(spark, sf_dir):
+    b = ses.timeline_buckets(priced(spark, sf_dir), 8, 6)
+    return b.select("tenant_id", "session_id", F.col("bucket").cast("long").alias("bucket"), "start_ms", "turns", "input_tokens", "output_tokens", "cache_write", "cache_read", pricing.dollars(F.col("cost_units")).alias("cost_usd"))
+
+
+def daily(spark, sf_dir):
+    return priced(spark, sf_dir).groupBy("day").agg(F.count("*").alias("turns"), F.sum("cost_units").alias("cost_units"))
+
+
+@query
+def dense_daily(spark, sf_dir):
+    return activity.dense_daily(daily(spark, sf_dir), FIRST, LAST).select(day(), "turns", pricing.dollars(F.col("cost_units")).alias("cost_usd"))
+
+
+@query
+def weekly_series(spark, sf_dir):
+    return activity.weekly(activity.dense_daily(daily(spark, sf_dir), FIRST, LAST), FIRST).select(day("week"), "turns", pricing.dollars(F.col("cost_units")).alias("cost_usd"))
+
+
+@query
+def activity_summary(spark, sf_dir):
+    return activity.summary(daily(spark, sf_dir)).select("active_days", "span_days", "turns", pricing.dollars(F.col("cost_units")).alias("cost_usd"), day("busiest_day"))
+
+
+@query
+def activity_levels(spark, sf_dir):
+    dense = activity.dense_daily(daily(spark, sf_dir), FIRST, LAST)
+    return activity.levels(dense, dt.date(2024, 1, 1)).select(day(), "turns", F.col("level").cast("long").alias("level"))
+
+
+@query
+def share_of_window(spark, sf_dir):
+    return activity.shares(daily(spark, sf_dir)).select(day(), "turns", "share")
+
+
+@query
+def project_labels(spark, sf_dir):
+    return activity.project_labels(priced(spark, sf_dir).where("project is not null").select("project_id", "project").distinct())
+
+
+@query
+def turn_hit_rate(spark, sf_dir):
+    t = turns.build_turns(fx.events(spark, sf_dir))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return t.select("tenant_id", day(), "turn_key", fn.hit_rate(n("input_tokens"), n("cache_write"), n("cache_read")).alias("hit_rate"))
+
+
+@query
+def ranked_tools(spark, sf_dir):
+    tools = rollups.rollup_tool(priced(spark, sf_dir)).groupBy("tool").agg(F.sum("calls").alias("calls"))
+    return activity.ranked(tools, "tool", "calls", 2).select("tool", F.col("place").cast("long").alias("place"), "calls", "scale")
+
+
+@query
+def ranked_models(spark, sf_dir):
+    models = rollups.rollup_model(priced(spark, sf_dir)).groupBy("model").agg(F.sum("turns").alias("turns"))
+    return activity.ranked(models, "model", "turns", 3).select("model", F.col("place").cast("long").alias("place"), "turns", "scale")
+
+
+# --- pages ---------------------------------------------------------------------------------------------------------------------
+PAGE = ["tenant_id", "session_id", "ended_ms", "turns", "errors", "cost_usd"]
+
+
+@query
+def sessions_page_1(spark, sf_dir):
+    return listing.recent(all_sessions(spark, sf_dir), 20).select(*PAGE)
+
+
+@query
+def sessions_page_2(spark, sf_dir):
+    """The page after the first, by the cursor of its last row."""
+    s = all_sessions(spark, sf_dir)
+    last = listing.recent(s, 20).orderBy("ended_ms", "session_id").first()
+    return listing.recent(s, 20, (last["ended_ms"], last["session_id"]) if last else None).select(*PAGE)
+
+
+@query
+def sessions_by_cost(spark, sf_dir):
+    return listing.ranked(all_sessions(spark, sf_dir), "cost", 15, 5).select(*PAGE)
+
+
+@query
+def sessions_by_turns(spark, sf_dir):
+    return listing.ranked(all_sessions(spark, sf_dir), "turns", 15).select(*PAGE)
+
+
+@query
+def sessions_by_errors(spark, sf_dir):
+    return listing.ranked(all_sessions(spark, sf_dir), "errors", 15).select(*PAGE)
+
+
+# --- scalar functions ----------------------------------------------------------------------------------------------------------
+@query
+def turn_cost(spark, sf_dir):
+    return priced(spark, sf_dir).select("tenant_id", day(), "turn_key", "priced", pricing.dollars(F.col("cost_units")).alias("cost_usd"))
+
+
+@query
+def cache_savings(spark, sf_dir):
+    return priced(spark, sf_dir).select("tenant_id", day(), "turn_key", pricing.dollars(F.col("saved_units")).alias("saved_usd"))
+
+
+@query
+def error_turns(spark, sf_dir):
+    t = turns.build_turns(fx.events(spark, sf_dir))
+    return t.where(fn.failed(F.col("error"), F.col("status_code"))).select("tenant_id", day(), "turn_key", "error", "status_code")
+
+
+@query
+def unattributed_turns(spark, sf_dir):
+    e = fx.events(spark, sf_dir).withColumn("user_id", F.when(F.col("session_id").endswith("7"), F.col("session_id")))
+    t = turns.build_turns(e)
+    return t.where(~fn.attributed(F.col("tenant_id"), F.col("user_id"))).select("tenant_id", day(), "turn_key")
+
+
+# --- streams -------------------------------------------------------------------------------------------------------------------
+def work_dir(spark: SparkSession) -> str:
+    """Folder for what a query has to write: the shared one, or a new one where none is set."""
+    import tempfile
+
+    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+
+
+@query
+def tumbling_day_stream(spark, sf_dir):
+    """The event log streamed from Parquet, counted by day."""
+    from sessionmill.streaming import stream
+
+    run = uuid.uuid4().hex
+    folder = f"{work_dir(spark)}/stream-{run}"
+    fx.raw_events(spark, sf_dir).select("ts", "type", "seq").write.parquet(f"{folder}/in")
+    source = spark.readStream.schema("ts timestamp, type string, seq bigint").parquet(f"{folder}/in")
+    return stream.drain(stream.tumbling_days(source, "40 days"), f"days_{run}", f"{folder}/at", "complete").select(day(), "type", "events")
