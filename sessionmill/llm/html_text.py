@@ -158,7 +158,7 @@ def repeated(streams: list[np.ndarray], run: int = RUN, given: np.ndarray | None
     while depth < run:
         step = min(depth, run - depth)
         after = np.full(total, -1, dtype=np.int64)
-        after[: total - step] = rank[step:]
+        after[: max(0, total - step)] = rank[step:]
         key = rank * (int(rank.max(initial=0)) + 2) + after + 1
         order = np.argsort(key, kind="stable")
         new = np.empty(total, dtype=np.int64)
@@ -239,7 +239,7 @@ def extract(pages: DataFrame, run: int = RUN, per_block: int = PAGES) -> DataFra
         same: dict[tuple, int] = {}
         number: dict[str, int] = {}
         place = [same.setdefault((u, b), len(same)) for u, b in zip(group["url"].to_pylist(), group["blocks"].to_pylist(), strict=True)]
-        first = list({k: i for i, k in reversed(list(enumerate(place)))}.values())[::-1]
+        first = np.unique(place, return_index=True)[1].tolist()
         tokens = [[t for _, text in rows[i] for t in text.split()] for i in first]
         streams = [np.fromiter((number.setdefault(t, len(number)) for t in found), dtype=np.int64, count=len(found)) for found in tokens]
         known = given["run"].to_numpy().view(np.uint64) if given.num_rows else None
