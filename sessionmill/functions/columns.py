@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def present(c: Column) -> Column:
     """c, or NULL where it is blank."""
-    return F.nullif(c, F.lit(""))
+    return F.when(c != "", c)
 
 
 def first_of(value: Column, order: Column, when: Column | None = None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.functions.columns import first_of, last_of
+from sessionmill.functions.columns import first_of, last_of, present
 
 KEY = ["tenant_id", "day", "turn_key"]
 USAGE = ("input_tokens", "output_tokens", "cache_write", "cache_read", "cache_write_5m", "cache_write_1h", "reasoning_tokens")
@@ -27,7 +27,7 @@ def build_turns(events: DataFrame) -> DataFrame:
     o, t = F.col("seq"), F.col("type")
     request, response, error = t == "request", t == "response", t == "error"
     c = F.col
-    nonzero = lambda name: F.nullif(c(name), F.lit(0))
+    nonzero = lambda name: F.when(c(name) != 0, c(name))
     timed = error | (response & nonzero("duration_ms").isNotNull())
     has_usage = response & c("input_tokens").isNotNull()
     usage = F.max_by(F.struct(*USAGE), F.when(has_usage, o))
@@ -59,7 +59,7 @@ def tool_calls(events: DataFrame) -> DataFrame:
     """(key, calls): each turn's calls, distinct by id, in the order first seen; a later name fills a blank; calls without an id all stay."""
     e = keyed(events).where("type = 'response'").select(*KEY, "seq", F.posexplode("tool_calls").alias("pos", "call"))
     at = F.struct("seq", "pos")
-    named = e.where("call.id is not null and call.id <> ''").groupBy(*KEY, F.col("call.id").alias("id")).agg(F.min(at).alias("at"), first_of(F.nullif(F.col("call.name"), F.lit("")), at).alias("name"))
+    named = e.where("call.id is not null and call.id <> ''").groupBy(*KEY, F.col("call.id").alias("id")).agg(F.min(at).alias("at"), first_of(present(F.col("call.name")), at).alias("name"))
     blank = e.where("call.id is null or call.id = ''").select(*KEY, F.lit(None).cast("string").alias("id"), at.alias("at"), F.col("call.name").alias("name"))
     return named.unionByName(blank).groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "id", "name"))), lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name"))).alias("calls"))
 

@@ -61,9 +61,16 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.transcript(spark, sf_dir).select("line", "path", "mtime", "event_id", "seq")
 
 
-MONEY = [pricing.dollars(F.col("cost_units")).alias("cost_usd"), pricing.dollars(F.col("saved_units")).alias("saved_usd")]
+def money() -> list[Column]:
+    return [pricing.dollars(F.col("cost_units")).alias("cost_usd"), pricing.dollars(F.col("saved_units")).alias("saved_usd")]
+
+
 TOKENS = list(rollups.TOKENS)
-SESSION = ["tenant_id", "session_id", ms("started_at"), ms("ended_at"), "duration_ms", "turns", *TOKENS, "cost_usd", "unpriced", "errors", "tool_calls", "model", "project", "project_id", "git_branch", fn.joined(F.col("models")).alias("models"), fn.joined(F.col("tool_names")).alias("tool_names"), "hit_rate"]
+
+
+def session_columns() -> list:
+    return ["tenant_id", "session_id", ms("started_at"), ms("ended_at"), "duration_ms", "turns", *TOKENS, "cost_usd", "unpriced", "errors", "tool_calls", "model", "project", "project_id", "git_branch", fn.joined(F.col("models")).alias("models"), fn.joined(F.col("tool_names")).alias("tool_names"), "hit_rate"]
+
 
 
 # --- sources and the event log -------------------------------------------------------------------------------------------------
@@ -303,18 +310,18 @@ def turn_tool_calls(spark, sf_dir):
 
 @query
 def sessions(spark, sf_dir):
-    return all_sessions(spark, sf_dir).select(*SESSION)
+    return all_sessions(spark, sf_dir).select(*session_columns())
 
 
 # --- rollups and windows -------------------------------------------------------------------------------------------------------
 @query
 def rollup_day(spark, sf_dir):
-    return rollups.rollup_day(priced(spark, sf_dir)).select("tenant_id", day(), "sessions", "turns", "errors", "unpriced", *TOKENS, *MONEY)
+    return rollups.rollup_day(priced(spark, sf_dir)).select("tenant_id", day(), "sessions", "turns", "errors", "unpriced", *TOKENS, *money())
 
 
 @query
 def rollup_model(spark, sf_dir):
-    return rollups.rollup_model(priced(spark, sf_dir)).select("tenant_id", day(), "model", "turns", *TOKENS, *MONEY)
+    return rollups.rollup_model(priced(spark, sf_dir)).select("tenant_id", day(), "model", "turns", *TOKENS, *money())
 
 
 @query
@@ -324,7 +331,7 @@ def rollup_tool(spark, sf_dir):
 
 @query
 def rollup_project(spark, sf_dir):
-    return rollups.rollup_project(priced(spark, sf_dir)).select("tenant_id", day(), "project_id", "project", "in_repo", "sessions", "turns", "errors", *TOKENS, *MONEY)
+    return rollups.rollup_project(priced(spark, sf_dir)).select("tenant_id", day(), "project_id", "project", "in_repo", "sessions", "turns", "errors", *TOKENS, *money())
 
 
 @query

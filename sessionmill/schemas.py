@@ -43,7 +43,8 @@ def conform(df: DataFrame, schema: T.StructType = EVENT) -> DataFrame:
         if field.name not in df.columns:
             out.append(F.lit(None).cast(field.dataType).alias(field.name))
         elif isinstance(field.dataType, T.StringType):
-            out.append(F.nullif(F.col(field.name).cast("string"), F.lit("")).alias(field.name))
+            text = F.col(field.name).cast("string")
+            out.append(F.when(text != "", text).alias(field.name))
         else:
             out.append(F.col(field.name).cast(field.dataType).alias(field.name))
     return df.select(*out)
