@@ -166,3 +166,31 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         frame(F.lit("[DONE]")),
     )
     return g.select(F.col("conv_id").alias("exchange_id"), "n", request.alias("request_body"), reply.alias("response_body"), sse.alias("sse"))
+
+
+def bench_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event log of the size of lineitem: a response a line, orders as sessions, lines of one number as repeated observations."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("cust"))
+    li = read(spark, sf_dir, "lineitem").join(o, "l_orderkey")
+    models = F.array(*[F.lit(m) for m in ("model-a", "model-a-20251001", "model-a-mini", "model-b", "other-llm")])
+    tools = F.array(*[F.lit(t) for t in ("Bash", "Read", "Edit", "Grep", "Write")])
+    quantity = F.col("l_quantity").cast("long")
+    made = li.select(
+        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"),
+        F.lit("response").alias("type"),
+        (F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(mins=F.col("l_linenumber"))).alias("ts"),
+        F.concat(F.lit("s"), "cust").alias("session_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("turn_id"),
+        F.when(F.col("cust") % 2 == 0, "acme").otherwise("globex").alias("tenant_id"),
+        models[(F.col("l_partkey") % 5).cast("int")].alias("model"),
+        F.concat(F.lit("proj"), F.col("cust") % 40).alias("project"),
+        F.concat(F.lit("id"), F.col("cust") % 40).alias("project_id"),
+        F.lit(200).alias("status_code"),
+        (quantity * 100).alias("duration_ms"),
+        (quantity * 24).alias("input_tokens"),
+        (quantity * 8).alias("output_tokens"),
+        (quantity * 40).alias("cache_write"),
+        F.col("l_extendedprice").cast("long").alias("cache_read"),
+        F.array(F.struct(F.concat_ws("-", F.lit("tu"), "l_orderkey", "l_linenumber").alias("id"), tools[(F.col("l_suppkey") % 5).cast("int")].alias("name"))).alias("tool_calls"),
+    )
+    return conform(made, EVENT)
