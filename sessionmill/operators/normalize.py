@@ -12,9 +12,13 @@ SYNTHETIC = "<synthetic>"
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """lines (line, ...) with r (the record; its fields NULL where absent) and bad (not a JSON object)."""
-    out = lines.withColumn("r", F.from_json("line", TRANSCRIPT))
-    return out.withColumn("bad", F.json_object_keys("line").isNull() & F.col("line").isNotNull())
+    """lines (line, ...) with r (the record; its fields NULL where absent) and bad (not a JSON object).
+
+    A generator holds the parse, so that filters on r stay above it and a line is parsed once, not once a filter term.
+    """
+    bad = F.json_object_keys("line").isNull() & F.col("line").isNotNull()
+    made = F.array(F.struct(F.from_json("line", TRANSCRIPT).alias("r"), bad.alias("bad")))
+    return lines.select("*", F.inline(made))
 
 
 def _when(lines: DataFrame):

@@ -120,7 +120,7 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.to_json(F.struct(*top, F.struct(*head, F.lit("just text").alias("content"), usage.alias("usage")).alias("message")))
     full = F.to_json(F.struct(*top, F.struct(*head, blocks.alias("content"), usage.alias("usage")).alias("message")))
     line = F.when(odd == 7, F.lit("{broken")).when(odd == 8, bare).otherwise(full)
-    return e.select(line.alias("line"), F.concat(F.lit("/logs/"), "session_id", F.lit(".jsonl")).alias("path"), F.col("ts").alias("mtime"), "event_id", "seq")
+    return e.select(F.explode(F.array(line)).alias("line"), F.concat(F.lit("/logs/"), "session_id", F.lit(".jsonl")).alias("path"), F.col("ts").alias("mtime"), "event_id", "seq")
 
 
 def content(spark: SparkSession, sf_dir: str) -> DataFrame:
