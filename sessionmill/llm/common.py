@@ -42,6 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch between Spark and Python: texts can be long, and a batch is held several times over.
+ARROW_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to ARROW_ROWS if it is larger, so that memory stays small with long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def fold(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text, modulo k; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k
@@ -60,7 +71,7 @@ def raw(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
 class WordHash(dict):
     """64-bit hash of a word, remembered for at most ``limit`` words at a time."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import raw, words
+from sessionmill.llm.common import raw, small_batches, words
 
 CHUNK, BLOCK, LEAST, SHARD = 48, 32, 8, 20_000
 THRESHOLD, OVERLAP, RUN = 0.5, 0.5, 3
@@ -228,6 +228,7 @@ HIT = "doc_id long, item_id long, score double, question_overlap double, answer_
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each text and test item that it contains: doc_id, item_id, score, overlaps, word."""
     spark = docs.sparkSession
+    small_batches(spark)
     out = spark.createDataFrame([], HIT)
     for index in shards(items):
         shared = spark.sparkContext.broadcast(index)
@@ -247,6 +248,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the texts that contain a test item."""
     spark = docs.sparkSession
+    small_batches(spark)
     for index in shards(items):
         shared = spark.sparkContext.broadcast(index)
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import batches, mix
+from sessionmill.llm.common import batches, mix, small_batches
 from sessionmill.llm.url_rules import parts
 
 RUN, PAGES = 8, 200
@@ -204,6 +204,7 @@ def _unpack(packed: bytes) -> list[tuple[int, str]]:
 
 def extract(pages: DataFrame, run: int = RUN, per_block: int = PAGES) -> DataFrame:
     """page_id, url, text, n_chars, n_tokens (all tokens of the page), n_repeated (those in runs that the host repeats) per page row."""
+    small_batches(pages.sparkSession)
     host, _ = parts(F.col("url"))
     seen = pages.select("page_id", "url", "html", host.alias("host"))
     split = seen.groupBy("host").agg(F.ceil(F.count("*") / per_block).alias("n")).where("n > 1")

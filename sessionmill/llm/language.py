@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import batches, fold
+from sessionmill.llm.common import batches, fold, small_batches
 
 ORDER, BUCKETS = 3, 1 << 17
 #: At most about this many training texts and landmarks a language, drawn by a hash of text.
@@ -123,6 +123,7 @@ def identify(docs: DataFrame, learn: DataFrame | None = None) -> DataFrame:
 
     Columns of docs stay; those named lang_pred or score are replaced.
     """
+    small_batches(docs.sparkSession)
     rows = [(r["lang"], np.frombuffer(r["features"], dtype=np.int32)) for r in training(docs if learn is None else learn).collect()]
     rows.sort(key=lambda r: (r[0], r[1].tobytes()))
     langs, weights = fit(rows)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import table
+from sessionmill.llm.common import small_batches, table
 
 WEIGHTS, SHARE, MOST, SEED = (5.0, 2.0, 1.0), 1.5, 2, 20240131
 SPLITS = 256
@@ -137,6 +137,7 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.nda
 
 def mix(docs: DataFrame, share: float = SHARE, most: float = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, and copies (how often the mix holds the document) of each row of docs (doc_id, source, text)."""
+    small_batches(docs.sparkSession)
     rows = table(sized(docs), "sizes")
     split = F.pmod(F.shiftrightunsigned("h", 20), F.lit(SPLITS)).alias("split")
     by_range = table(rows.where("size > 0").groupBy("source", "size", split).count(), "ranges")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import batches, fold
+from sessionmill.llm.common import batches, fold, small_batches
 
 BUCKETS, KEEP = 1 << 18, 3072
 BEGINNINGS = (3, 4, 5, 6)
@@ -183,6 +183,7 @@ def learn(docs: DataFrame, labels: DataFrame, terms: dict[str, list[str]] = IDEN
 
     The drawn ids are bounded by TRAIN_TOXIC + TRAIN_CLEAN, so their broadcast is too.
     """
+    small_batches(docs.sparkSession)
     drawn = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample(labels)), "doc_id").select("text", "toxic")
     n = {r["toxic"]: r["count"] for r in drawn.groupBy("toxic").count().collect()}
     if not n.get(1) or not sum(c for k, c in n.items() if k != 1):
@@ -206,6 +207,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     if model is None:
         return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep) + ", score double, predicted int"
 
