@@ -26,6 +26,19 @@ def write_days(turns: DataFrame, path: str, days: DataFrame | None = None) -> No
     chosen.unpersist()
 
 
+def compact(turns: DataFrame, path: str, as_of: dt.datetime, done: DataFrame | None = None) -> None:
+    """One job for every finished day that ``done`` (day) lacks; without ``done`` every finished day is rebuilt."""
+    days = turns.where(F.col("day") < F.lit(as_of.date())).select("day").distinct()
+    days = days if done is None else days.join(done, "day", "left_anti")
+    write_days(turns, path, days)
+
+
+def complete_session_days(session_days: DataFrame, turns: DataFrame) -> DataFrame:
+    """The session-day rollup, derived from turns for days that were written before it existed."""
+    older = turns.join(session_days.select("tenant_id", "day").distinct(), ["tenant_id", "day"], "left_anti")
+    return session_days.unionByName(rollups.rollup_session_day(older))
+
+
 def write_turns(turns: DataFrame, path: str) -> None:
     """Replaces the days that turns holds."""
     turns.repartition("tenant_id", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("tenant_id", "day").parquet(f"{path}/turns")

@@ -171,6 +171,11 @@ def test_archive_round_trip(spark, tmp_path):
     assert back.count() == t.count() == 18
     assert archive.read_table(spark, str(tmp_path), "by_session").count() == 6
     assert "PartitionFilters: [isnotnull(day" in back.where("day = '2024-03-02'")._jdf.queryExecution().toString()
+    by_session = rollups.rollup_session_day(t)
+    assert archive.complete_session_days(by_session.where("day > '2024-03-01'"), t).count() == by_session.count()
+    done = spark.createDataFrame([(dt.date(2024, 3, 1),)], "day date")
+    archive.compact(t, f"{tmp_path}/again", dt.datetime(2024, 3, 3, tzinfo=UTC), done)  # the first is done, the third not over
+    assert [r["day"].day for r in archive.read_table(spark, f"{tmp_path}/again", "day").select("day").distinct().collect()] == [2]
     verdict = archive.prune_verdict(t.where("turn_key <> 'turn:0-0-0'").withColumn("refs", F.lit(1)), t.withColumn("refs", F.lit(1)))
     assert sorted(r["releasable"] for r in verdict.collect()) == [False, True, True]
 
