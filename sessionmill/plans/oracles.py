@@ -28,7 +28,7 @@ merged AS (SELECT tenant_id, day, turn_key, arg_max(session_id, seq) AS session_
     arg_min(git_branch, seq) FILTER (git_branch IS NOT NULL) AS git_branch,
     arg_max({{'i': input_tokens, 'o': output_tokens, 'w': cache_write, 'r': cache_read, 'a': cache_write_5m, 'b': cache_write_1h}}, seq) FILTER (type = 'response') AS u,
     min(seq) AS first_seq FROM ev GROUP BY tenant_id, day, turn_key),
-turns AS (SELECT * EXCLUDE (u, root), u.i AS input_tokens, u.o AS output_tokens, u.w AS cache_write, u.r AS cache_read, u.a AS cache_write_5m, u.b AS cache_write_1h,
+turns AS (SELECT * EXCLUDE (u, root), u.i AS input_tokens, u.o AS output_tokens, u.w AS cache_write, u.r AS cache_read, CAST(u.a AS BIGINT) AS cache_write_5m, u.b AS cache_write_1h,
     regexp_extract(root, '([^/]*)$', 1) AS project, substr(sha256(root), 1, 12) AS project_id FROM merged)"""
 _PRICED = f"""{_TURNS},
 call_rows AS (SELECT tenant_id, day, turn_key, tool_id AS id, min(seq) AS seen_at, arg_min(tool_name, seq) AS name FROM ev WHERE tool_id IS NOT NULL GROUP BY ALL),
