@@ -64,19 +64,28 @@ FURNITURE_NAMES = frozenset(
 ARTICLE_NAMES = frozenset("comment comments reply replies ad ads advert sponsored promo related".split())
 
 
-def _furniture(tag: str, attributes: str) -> bool:
+#: How sure markup is: a wrapper (a class on an element, or a form) that holds a whole article is no furniture.
+WRAPPER, SURE = 1, 2
+
+
+def _furniture(tag: str, attributes: str) -> int:
+    """0, or how sure it is that the element is page furniture."""
     if tag in FURNITURE_TAGS:
-        return True
+        return WRAPPER if tag == "form" else SURE
     if not attributes or tag in ("body", "html", "main", "h1", "h2", "h3"):
-        return False
-    marked = ARTICLE_NAMES if tag == "article" else FURNITURE_NAMES
+        return 0
+    found = 0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role") and any(w.lower() in marked for w in _NAME.findall(value)):
-            return True
-    return False
+            return SURE
+        if name in ("class", "id", "role"):
+            words = {w.lower() for w in _NAME.findall(value)}
+            if words & ARTICLE_NAMES:
+                return SURE
+            if tag != "article" and words & FURNITURE_NAMES:
+                found = WRAPPER
+    return found
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
@@ -85,7 +94,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         return []
     found: list[list] = []
     text: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open containers; whether they are furniture
+    stack: list[tuple[str, int]] = []  # open containers; how sure it is that they are furniture
     at, bad, inside = 0, 0, {"article": 0, "main": 0}
 
     def end() -> None:
@@ -98,7 +107,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     def pop() -> None:
         nonlocal bad
         tag, was = stack.pop()
-        bad -= was
+        bad -= was > 0
         if tag in inside and not was:
             inside[tag] -= 1
 
@@ -110,7 +119,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if not tag:
             continue
         closing, attributes = m[2] == "/", m[4] or ""
-        marked = not closing and _furniture(tag, attributes) if attributes or tag in FURNITURE_TAGS else False
+        marked = _furniture(tag, attributes) if not closing and (attributes or tag in FURNITURE_TAGS) else 0
         if tag in INLINE and not marked and not (closing and any(t == tag for t, _ in stack)):
             continue
         end()
@@ -125,10 +134,12 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             if tag in ("p", "li", "td", "div", "section", "article") and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
                 pop()
             if tag in CONTAINERS and (marked or tag not in INLINE and tag not in ("p", "li", "td")):
-                stack.append((tag, marked))
-                bad += marked
                 if tag in inside and not marked:
+                    if bad and all(sure != SURE for _, sure in stack):
+                        stack, bad = [(t, 0) for t, _ in stack], 0
                     inside[tag] += 1
+                stack.append((tag, marked))
+                bad += marked > 0
     if at < len(page):
         text.append(page[at:])
     end()

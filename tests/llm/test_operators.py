@@ -338,6 +338,8 @@ def test_blocks():
     <script>var x="</p>";</script><form>form <input></form><aside>side</aside><div class="ad">buy</div></article><section id="comments"><article class="comment">hi</article></section><footer>foot"""
     assert kept(page) == ["Head & tail", "one two", "three", "four"]
     assert kept("<main><p>a<nav>b</nav><p>c</main>d") == ["a", "c"]
+    assert kept('<form><div class="with-sidebar"><div class="menu">m</div><article><p>a</article>b</div></form>') == ["a"]
+    assert kept('<div class="comments"><article>a</article></div><aside><article>b</article></aside><article>c</article>') == ["c"]
     assert html_text.blocks("<p>loose<p>text") == [(html_text.UNKNOWN, "loose"), (html_text.UNKNOWN, "text")]
 
 
