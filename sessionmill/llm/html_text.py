@@ -11,9 +11,9 @@ furniture goes, and where markup says nothing the suffix array decides: covered
 tokens go, unique runs stay.
 
 A host's pages are sorted in blocks of about ``PAGES`` pages. For hosts of more
-than one block the runs without known markup that stand in two blocks are found
-by a distributed count of their hashes and given to each block, so splitting a
-host loses no repeated run. Pages with equal url and html are one page.
+than one block that have text without known markup, the runs that stand on two
+pages are found by a distributed count of their hashes and given to each block,
+so splitting a host loses no repeated run. Pages with equal url and html are one page.
 
 Defined results: a null html is an empty page with empty text. Repeated rows each
 get their row; a null url has the empty host. No text is cut. Extra columns are
@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import batches, mix, small_batches
+from sessionmill.llm.common import batches, mix, small_batches, table
 from sessionmill.llm.url_rules import parts
 
 RUN, PAGES = 8, 200
@@ -232,17 +232,22 @@ def extract(pages: DataFrame, run: int = RUN, per_block: int = PAGES) -> DataFra
 
     parsed = dealt.select("page_id", "url", "html", "host", "part").mapInArrow(parse, f"page_id {kind}, url string, host string, part long, blocks binary")
 
-    def unknown_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unknown_hosts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, 500):
+            found = {h for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True) if any(k == UNKNOWN for k, _ in blocks(page))}
+            yield pa.record_batch({"host": pa.array(sorted(found), pa.string())})
+
+    def page_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 500):
             for h, p, c, page in zip(*[batch.column(c).to_pylist() for c in ("host", "part", "content", "html")], strict=True):
-                got = blocks(page)
-                if any(k == UNKNOWN for k, _ in got):
-                    runs = np.unique(run_hashes([t for _, b in got for t in b.split()], run))
-                    yield pa.record_batch({"host": pa.array([h] * len(runs), pa.string()), "part": pa.array([p] * len(runs), pa.int64()), "content": pa.array([c] * len(runs), pa.int64()), "run": pa.array(runs.view(np.int64), pa.int64())})
-
-    # runs of split hosts' pages without article markup that stand on two pages or more
-    no_article = ~F.lower("html").contains("<article") & ~F.lower("html").contains("<main")
-    shared = dealt.where((F.col("n") > 1) & no_article).select("host", "part", "content", "html").mapInArrow(unknown_runs, "host string, part long, content long, run long")
+                runs = np.unique(run_hashes([t for _, b in blocks(page) for t in b.split()], run))
+                yield pa.record_batch({"host": pa.array([h] * len(runs), pa.string()), "part": pa.array([p] * len(runs), pa.int64()), "content": pa.array([c] * len(runs), pa.int64()), "run": pa.array(runs.view(np.int64), pa.int64())})
+
+    # only split hosts with text of no known markup need the runs that their pages share across blocks
+    large = dealt.where(F.col("n") > 1)
+    asked = table(large.select("host", "html").mapInArrow(unknown_hosts, "host string").distinct(), "unknown")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_HOSTS else asked
+    shared = large.select("host", "part", "content", "html").join(asked, "host", "left_semi").mapInArrow(page_runs, "host string, part long, content long, run long")
     shared = shared.groupBy("host", "run").agg(F.min("content").alias("low"), F.max("content").alias("high"), F.collect_set("part").alias("parts")).where("low <> high")
     shared = shared.select("host", F.explode("parts").alias("part"), "run")
 

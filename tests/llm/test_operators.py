@@ -356,6 +356,9 @@ def test_extract(spark, monkeypatch):
     for i in range(40, 44):  # a repeated passage inside an article stays
         rows.append((i, f"http://h.example.com/{i}", f"<nav>{boiler}</nav><article><p>{shared}</p> &eacute;{i}</article>"))
         want[i] = " ".join(f"{shared} é{i}".split())
+    spread = " ".join(f"spread{i}" for i in range(10))  # once inside an article, once where markup says nothing
+    rows += [(48, "http://h.example.com/48", f"<main><p>{spread}</main>"), (49, "http://h.example.com/49", f"<p>{spread}<p>mine")]
+    want |= {48: spread, 49: "mine"}
     rows += [(50, None, None), (51, "nohost", "<p>alone"), rows[0]]
     want |= {50: "", 51: "alone"}
     pages = spark.createDataFrame(rows, PAGE).withColumn("text", F.lit("clash"))
