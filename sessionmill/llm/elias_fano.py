@@ -173,10 +173,11 @@ def quantise(scores: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
     """A codebook of the means of equally filled bins, and each score's code."""
     if not len(scores):
         return np.zeros(1), np.zeros(0, dtype=np.uint8)
+    kind = np.uint8 if levels <= 256 else np.uint16
     values, places, counts = np.unique(scores, return_inverse=True, return_counts=True)
     if len(values) <= levels:
-        return values, places.astype(np.uint8)
+        return values, places.astype(kind)
     bins = np.minimum((np.cumsum(counts) - counts) * levels // len(scores), levels - 1)
     _, bins = np.unique(bins, return_inverse=True)
     book = np.bincount(bins, values * counts) / np.bincount(bins, counts)
-    return book, bins[places].astype(np.uint8)
+    return book, bins[places].astype(kind)

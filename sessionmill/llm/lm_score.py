@@ -1,22 +1,23 @@
 """LM scoring with Elias-Fano n-gram tries.
 
 The model is a bigram model with Dirichlet smoothing: p(w | v) =
-(c(vw) + MU u(w)) / (c(v) + MU). u is a unigram distribution: add-one for the
-commonest words (``HEAD`` at most), and what is left spread evenly over the other
-known words and one unknown. HEAD bounds what is broadcast; bigrams and counts of all
-words are never gathered.
-
-Texts are cut into batches of about ``FLUSH`` tokens. A batch sends each shard its
-tokens (context, next word) whose context hashes to that shard; contexts that hold
-a large share of all tokens (and the start of a text) are dealt by the next word
-too, and their totals come with the broadcast head. So a shard has all it needs:
-it counts the training tokens, builds the trie of its contexts (monotone pointers
-and quantised log probabilities in memory-mapped Elias-Fano levels), answers every
-token by successor search under its context, and returns the batch's scores and
-the contexts' counts, which are summed by text. The number of shards grows with
-the corpus, so a shard's size does not.
-
-Words are 64-bit hashes, successors under a context 32-bit ones.
+(c(vw) + MU u(w)) / (c(v) + MU). u is the add-one unigram distribution of all known
+words and one unknown.
+
+A token is the pair of a word and the one before it. Texts are cut into batches of
+about ``FLUSH`` tokens, and a batch sends each shard the tokens whose word hashes to
+it. So a shard has every token of its words: it counts them (c(w), hence u(w), of
+every word, however rare), builds the trie of its words and those before them
+(monotone pointers and quantised logs of c(vw) + MU u(w) in memory-mapped Elias-Fano
+levels) and answers every token by successor search under its word. The divisor
+c(v) + MU depends on v alone, and v is itself a token of the text (or its start), so
+the shard of v adds it. Scores and the words' counts come back by batch and are
+summed by text. Words that hold a large share of all tokens (and the end of a text)
+are dealt by the word before them too, and their totals are broadcast: about
+8 words a shard at most, since each holds that share. The number of shards grows
+with the corpus, so a shard's size does not; counts of all words are never gathered.
+
+Words are 64-bit hashes, those before a word 32-bit ones.
 
 Defined results: a null text counts as empty: one token (the end), none known
 but the end. Repeated rows each get their row; training counts include each.
@@ -38,46 +39,31 @@ from pyspark.sql import functions as F
 from sessionmill.llm.common import WordHash, fold, mix, raw, small_batches, table, words
 from sessionmill.llm.elias_fano import Trie
 
+#: Most words that are dealt by two words; how many are changes no result.
 HEAD, MU = 1 << 16, 300.0
 FLUSH, SHARD, LEAST_SHARDS = 1_500_000, 4_000_000, 64
 MOST_TEXTS = 60_000  # of a batch: places of texts are 16-bit
 START, END = xxhash.xxh64_intdigest(b"  "), xxhash.xxh64_intdigest(b" ")  # words hold no space
 _U = np.uint64
+LEVELS = 1 << 16  # of the quantised logs of a shard
 _STEP = 1024.0  # log10 probabilities of tokens travel in units of 1 / _STEP
 
 
 class Head:
-    """The commonest words: sorted hashes, counts, and the unigram distribution."""
+    """Totals, and the sorted hashes and counts of words that are dealt by two words."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, shards: int):
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.total, self.distinct, self.shards = total, distinct, shards
-        base = total + distinct + 1
-        rest = base - int(self.counts.sum()) - len(self.counts)  # add-one mass of the other words and the unknown
-        self.rare = math.log10(rest / base / (distinct - len(self.counts) + 1)) if rest > 0 else 0.0
-        prints = (self.hashes & _U(0xFFFFFFFF)).astype(np.uint32)
-        order = np.argsort(prints, kind="stable")
-        self.prints, self.logs = prints[order], np.log10((self.counts[order] + 1) / base)
-        hot = self.counts >= max(1, total // (8 * shards))
-        self.hot = np.sort(np.append(self.hashes[hot], _U(START)))
-
-    def unigram(self, prints: np.ndarray) -> np.ndarray:
-        """log10 u of words by the low half of their hash."""
-        if not len(self.prints):
-            return np.full(len(prints), self.rare)
-        at = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
-        return np.where(self.prints[at] == prints, self.logs[at], self.rare)
 
     def count(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(hashes), dtype=np.int64)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.counts[at], 0)
 
     def is_hot(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hot, hashes), len(self.hot) - 1)
-        return self.hot[at] == hashes
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.hashes[at] == hashes
 
 
 def unigrams(docs: DataFrame, shards: int) -> DataFrame:
@@ -115,16 +101,9 @@ def unigrams(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select("text", "train").mapInArrow(count, "shard int, words binary, counts binary").groupBy("shard").applyInArrow(total, "word long, n long")
 
 
-def commonest(counts: DataFrame, most: int) -> list:
-    """Rows of the commonest words, at most ``most``: whole classes of like counts, found by a histogram of some thousand classes."""
-    size = F.floor(F.log2("n") * 64).cast("int")
-    least, room = None, most
-    for r in sorted(counts.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r["size"]
-    return [] if least is None else counts.where(size >= least).collect()
+def commonest(counts: DataFrame, least: int, most: int) -> list:
+    """Rows of the words that stand ``least`` times or more, the ``most`` commonest of them."""
+    return sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))[:most]
 
 
 def _join(parts: list[np.ndarray]) -> bytes:
@@ -141,7 +120,7 @@ def _split(data: bytes, kinds: tuple) -> list[np.ndarray]:
     return out
 
 
-#: contexts of a batch in a shard, tokens of each, successors' prints, texts (as differences)
+#: words of a batch in a shard, tokens of each, prints of the words before, texts (as differences)
 SENT = (np.uint64, np.uint32, np.uint32, np.uint16)
 
 
@@ -164,14 +143,14 @@ def deal(docs: DataFrame, head) -> DataFrame:
                 after[s : s + len(h)] = h
                 context[s + 1 : s + 1 + len(h)] = h
             text = np.repeat(np.arange(len(n)), n)
-            prints = (after & _U(0xFFFFFFFF)).astype(np.uint32)
-            shard = (np.where(known.is_hot(context), mix(context ^ mix(after)), mix(context)) % _U(known.shards)).astype(np.int32)
-            order = np.lexsort((text, context, shard))
-            shard, context, prints, text = shard[order], context[order], prints[order], text[order].astype(np.uint16)
+            prints = (context & _U(0xFFFFFFFF)).astype(np.uint32)
+            shard = (np.where(known.is_hot(after), mix(after ^ mix(context)), mix(after)) % _U(known.shards)).astype(np.int32)
+            order = np.lexsort((text, after, shard))
+            shard, after, prints, text = shard[order], after[order], prints[order], text[order].astype(np.uint16)
             which, first = np.unique(shard, return_index=True)
             rows = []
             for a, b in zip(first, np.append(first[1:], len(shard)), strict=True):
-                c = context[a:b]
+                c = after[a:b]
                 heads = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
                 rows.append(_join([c[heads], np.diff(np.append(heads, b - a)).astype(np.uint32), prints[a:b], np.diff(text[a:b], prepend=np.uint16(0))]))
             ids = [d for d, _ in held[train]]
@@ -197,7 +176,7 @@ def deal(docs: DataFrame, head) -> DataFrame:
 
 #: texts (as differences), their known tokens, sums of log10(count + 1), and scores
 SUMS = (np.uint16, np.uint32, np.float64, np.float32)
-#: counts of contexts, tokens of each, texts (as differences), scores of tokens
+#: counts of words, tokens of each, texts (as differences), scores of tokens
 EACH = (np.uint32, np.uint32, np.uint16, np.int16)
 
 
@@ -208,24 +187,24 @@ def answer(head, mu: float):
         known = head.value
         sent = [_split(t, SENT) for t in group["tokens"].to_pylist()]
         train = np.array(group["train"].to_pylist(), dtype=bool)
-        contexts, place = np.unique(np.concatenate([s[0] for s in sent]), return_inverse=True)
+        mine, place = np.unique(np.concatenate([s[0] for s in sent]), return_inverse=True)
         runs = np.concatenate([s[1] for s in sent]).astype(np.int64)
         sizes = np.array([len(s[2]) for s in sent], dtype=np.int64)
         rank = np.repeat(place, runs)
         keys, where = np.unique(rank.astype(_U) << _U(32) | np.concatenate([s[2] for s in sent]).astype(_U), return_inverse=True)
         n = np.bincount(where[np.repeat(train, sizes)], minlength=len(keys))  # training count of each bigram here
         owner, prints = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.uint32)
-        # a hot context's tokens are in many shards, so its total comes with the head; others are whole here
-        count = np.where(known.is_hot(contexts), known.count(contexts), np.bincount(owner, n, minlength=len(contexts)).astype(np.int64))
-        count[contexts == _U(START)] = known.count(np.array([END], dtype=_U))[0]
-        logs = known.unigram(prints)
+        # a hot word's tokens are in many shards, so its total comes with the head; others are whole here
+        count = np.where(known.is_hot(mine), known.count(mine), np.bincount(owner, n, minlength=len(mine)).astype(np.int64))
+        share = mu * (count + 1.0) / (known.total + known.distinct + 1)
         got = np.flatnonzero(n)
-        scores = np.log10((n[got] + mu * 10.0 ** logs[got]) / (count[owner[got]] + mu))
         here, first = np.unique(owner[got], return_index=True)
-        trie = Trie(contexts[here], np.append(first, len(got)), prints[got], scores)
-        found = trie.score(trie.find(contexts)[owner], prints)
-        all_scores = np.where(np.isnan(found), np.log10(mu / (count[owner] + mu)) + logs, found)[where]
-        counts = np.where(contexts == _U(START), -1, count)[place]  # the start is no token
+        trie = Trie(mine[here], np.append(first, len(got)), prints[got], np.log10(n[got] + share[owner[got]]), LEVELS)
+        found = trie.score(trie.find(mine)[owner], prints)
+        # the word is the one before the next token, but for the end
+        divisor = np.where(mine == _U(END), 0.0, np.log10(count + mu))
+        all_scores = (np.where(np.isnan(found), np.log10(share)[owner], found) - divisor[owner])[where]
+        counts = count[place]
         out, at, run_at = [], 0, 0
         for s in sent:
             score, c = all_scores[at : at + len(s[2])], counts[run_at : run_at + len(s[0])]
@@ -234,25 +213,25 @@ def answer(head, mu: float):
             which, spot = np.unique(text, return_inverse=True)
             if 18 * len(which) <= 4 * len(text) + 8 * len(c):
                 each = np.repeat(c, s[1])
-                sums = [np.bincount(spot, x, minlength=len(which)) for x in (each > 0, np.log10(np.maximum(each, 0) + 1.0), score)]
+                sums = [np.bincount(spot, x, minlength=len(which)) for x in (each > 0, np.log10(each + 1.0), score)]
                 out.append((True, _join([np.diff(which, prepend=np.uint16(0)), sums[0].astype(np.uint32), sums[1], sums[2].astype(np.float32)])))
             else:
-                if (c >= (1 << 32) - 1).any():
+                if (c >= 1 << 32).any():
                     raise OverflowError("a word's count is over 32 bits")
                 code = np.maximum(np.round(score * _STEP), -32768).astype(np.int16)
-                out.append((False, _join([(c + 1).astype(np.uint32), s[1], s[3], code])))
+                out.append((False, _join([c.astype(np.uint32), s[1], s[3], code])))
         return pa.table({"batch": group["batch"], "train": group["train"], "summed": pa.array([x for x, _ in out], pa.bool_()), "data": pa.array([x for _, x in out], pa.binary()), "texts": group["texts"]})
 
     return run
 
 
-def gather(head):
+def gather(head, mu: float):
     """Function of a batch's group: one row a text."""
 
     def run(group: pa.Table) -> pa.Table:
         ids, missing, n = _split(next(t for t in group["texts"].to_pylist() if t is not None), (np.int64, np.uint8, np.int64))
         ends = head.value.count(np.array([END], dtype=_U))[0]
-        known, logs, score = np.full(len(ids), int(ends > 0)), np.full(len(ids), np.log10(ends + 1.0)), np.zeros(len(ids))
+        known, logs, score = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids)), np.full(len(ids), -np.log10(ends + mu))  # the start's divisor
         for summed, data in zip(group["summed"].to_pylist(), group["data"].to_pylist(), strict=True):
             if summed:
                 text, k, ls, s = _split(data, SUMS)
@@ -262,9 +241,9 @@ def gather(head):
                 score[text] += s
             else:
                 c, runs, text, code = _split(data, EACH)
-                text, c = np.cumsum(text, dtype=np.uint16), np.repeat(c.astype(np.int64) - 1, runs)
+                text, c = np.cumsum(text, dtype=np.uint16), np.repeat(c.astype(np.int64), runs)
                 known += np.bincount(text, c > 0, minlength=len(ids)).astype(np.int64)
-                logs += np.bincount(text, np.log10(np.maximum(c, 0) + 1.0), minlength=len(ids))
+                logs += np.bincount(text, np.log10(c + 1.0), minlength=len(ids))
                 score += np.bincount(text, code / _STEP, minlength=len(ids))
         base = logs - n * np.log10(head.value.total + head.value.distinct + 1.0)
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=missing > 0), "train": pa.array([group["train"][0].as_py()] * len(ids), pa.bool_()), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": base, "score": score})
@@ -280,13 +259,13 @@ def score(docs: DataFrame, train: Column, mu: float = MU) -> DataFrame:
     shards = max(LEAST_SHARDS, ((about["chars"] or 0) // 6 + about["rows"]) // SHARD)
     counts = table(unigrams(seen, shards), "unigrams")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    top = commonest(counts, HEAD - 1)
-    ends = [(END, about["texts"])] if about["texts"] else []
-    hashes = np.array([r["word"] % (1 << 64) for r in top] + [w for w, _ in ends], dtype=_U)
-    numbers = np.array([r["n"] for r in top] + [n for _, n in ends], dtype=np.int64)
-    head = docs.sparkSession.sparkContext.broadcast(Head(hashes, numbers, (total["n"] or 0) + about["texts"], total["v"] + len(ends), shards))
+    tokens = (total["n"] or 0) + about["texts"]
+    top = commonest(counts, max(1, tokens // (8 * shards)), HEAD - 1)
+    hashes = np.array([r["word"] % (1 << 64) for r in top] + [END], dtype=_U)
+    numbers = np.array([r["n"] for r in top] + [about["texts"]], dtype=np.int64)
+    head = docs.sparkSession.sparkContext.broadcast(Head(hashes, numbers, tokens, total["v"] + (about["texts"] > 0), shards))
     answered = deal(seen, head).groupBy("shard").applyInArrow(answer(head, mu), "batch long, train boolean, summed boolean, data binary, texts binary")
-    out = answered.groupBy("batch").applyInArrow(gather(head), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    out = answered.groupBy("batch").applyInArrow(gather(head, mu), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(head.value.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

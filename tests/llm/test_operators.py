@@ -121,6 +121,28 @@ def test_lm_score(spark, monkeypatch):
     assert pick(again) == pick(found)
 
 
+def test_lm_words_beyond_the_head(spark, monkeypatch):
+    """Rare words keep their own unigram share, however many words there are."""
+    monkeypatch.setattr(lm_score, "HEAD", 3)
+    rng = random.Random(21)
+    often = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(often, k=40) + [f"five{i % 8}", f"once{i}"])) for i in range(40)]
+    rows += [(100, "five3 five4 five5"), (101, "once3 once4 once5"), (102, "never3 never4 never5")]
+    found = {r["doc_id"]: r["score"] for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 100).collect()}
+    count, bigrams, contexts = collections.Counter(), collections.Counter(), collections.Counter()
+    pairs = {i: list(zip([None, *t.split()], [*t.split(), ""], strict=True)) for i, t in rows}
+    for i in range(40):
+        for a, b in pairs[i]:
+            count[b] += 1
+            bigrams[a, b] += 1
+            contexts[a] += 1
+    base = sum(count.values()) + len(count) + 1
+    for i, tokens in pairs.items():
+        want = sum(math.log10((bigrams[a, b] + lm_score.MU * (count[b] + 1) / base) / (contexts[a] + lm_score.MU)) for a, b in tokens)
+        assert abs(found[i] - want) < 1e-3 * len(tokens)
+    assert found[100] > found[101] + 1 > found[102] + 1
+
+
 def test_lm_without_training(spark):
     rows = [(1, "a b"), (2, None)]
     got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()
