@@ -100,10 +100,11 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> tuple[list[str], np.ndarray]:
 def training(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> DataFrame:
     """(lang, features binary) of about per_lang texts a language, whatever the table's size.
 
-    Texts are drawn by a hash of the text below a threshold for each language, so copies share one draw and count once.
+    Texts are drawn by a hash of the text below a threshold for each language, so copies share one draw and count once. The
+    threshold follows from the number of distinct texts, which is what is drawn from.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = docs.where("lang is not null").groupBy("lang").count()
+    counts = usable.select("lang", F.xxhash64("text").alias("hash")).distinct().groupBy("lang").count()
     share = counts.select("lang", (F.lit(float(per_lang)) / F.col("count")).alias("share"))
     draw = (F.xxhash64("text").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))).alias("draw")
     drawn = usable.select("lang", "text", draw).join(F.broadcast(share), "lang").where("draw < share").select("lang", "text")

@@ -225,7 +225,7 @@ def scan(text: str, model) -> tuple[list[Span], list[Span]]:
 def learn(docs: DataFrame, texts: int = TRAIN_TEXTS):
     """The field's weights, from about ``texts`` texts of docs; copies are drawn together and count once."""
     small_batches(docs.sparkSession)
-    share = texts / max(1, docs.count())
+    share = texts / max(1, docs.where("text is not null").select(F.xxhash64("text")).distinct().count())
     draw = F.xxhash64("text", F.lit("secrets")).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
     drawn = docs.where("text is not null").select("text").where(draw < share).distinct()
 

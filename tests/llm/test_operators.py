@@ -304,6 +304,12 @@ def test_language(spark):
     assert language.identify(docs.limit(0), docs).count() == 0
 
 
+def test_training_share_follows_distinct_texts(spark):
+    rows = [(f"{lang} word {i % 40} {'x' * (i % 40)}", lang) for lang in ("de", "en") for i in range(2000)]
+    got = {r["lang"]: r["count"] for r in language.training(spark.createDataFrame(rows, "text string, lang string"), per_lang=30).groupBy("lang").count().collect()}
+    assert set(got) == {"de", "en"} and all(15 <= n <= 40 for n in got.values())
+
+
 def test_presence_is_the_set_of_ngrams():
     presence = language.Presence()
     for text in ("", "a", "ab", "abab", "Ärger im Haus"):
@@ -491,6 +497,12 @@ def test_scan(spark):
     assert secrets.learn(docs.limit(0)) is None and secrets.find(docs.limit(0), None).count() == 0
 
 
+def test_learning_follows_distinct_texts(spark):
+    texts = [(f'note {i} says token = "{zlib.crc32(str(i).encode()):08x}{i:08x}" and number {10**6 + i}',) for i in range(40)]
+    once, copies = (spark.createDataFrame(t, "text string") for t in (texts, texts * 30))
+    assert secrets.learn(copies, texts=40) == secrets.learn(once, texts=40) != None  # noqa: E711
+
+
 # --- folds and the pipeline ----------------------------------------------------------------------------------------------------
 def test_folds(spark):
     from sessionmill.llm.common import fold
