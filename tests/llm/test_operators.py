@@ -82,6 +82,18 @@ def test_jaccard_empty_and_keep_one(spark):
     assert sorted(kept) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    rng = random.Random(22)
+    text = lambda: " ".join(f"t{rng.randrange(10**6)}" for _ in range(30))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, a), (None, a + " more"), (None, b), (None, None), (None, " "), (1, c), (1, d), (2, d + " more"), (3, b + " more"), (4, ""), (5, e), (5, e), (5, e + " more")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()]
+    assert len([x for x in kept if x[0] is None and x[1] in (a, a + " more")]) == 1  # one of a component without ids
+    assert len([x for x in kept if x[0] == 5]) == 1
+    rest = [x for x in kept if x[0] != 5 and x[1] not in (a, a + " more")]
+    assert sorted(rest, key=str) == sorted([(None, None), (None, " "), (1, c), (1, d), (3, b + " more"), (4, "")], key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 99), (99, 98), (7, 7)]
     got = components(spark.createDataFrame([(i,) for i in [*range(42), 98, 99, 100]], "node long"), spark.createDataFrame(edges, "a long, b long"))
