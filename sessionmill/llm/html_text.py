@@ -13,7 +13,8 @@ tokens go, unique runs stay.
 A host's pages are sorted in blocks of about ``PAGES`` pages. For hosts of more
 than one block that have text without known markup, the runs that stand on two
 pages are found by a distributed count of their hashes and given to each block,
-so splitting a host loses no repeated run. Pages with equal url and html are one page.
+so splitting a host loses no repeated run. Pages of a host with equal block texts are
+one page, under whatever urls.
 
 Defined results: a null html is an empty page with empty text. Repeated rows each
 get their row; a null url has the empty host. No text is cut. Extra columns are
@@ -205,6 +206,11 @@ def run_hashes(found: list[str], run: int = RUN) -> np.ndarray:
     return out
 
 
+def content_of(found: list[tuple[int, str]]) -> int:
+    """Hash of the block texts: pages of a host that have it in common are one page."""
+    return xxhash.xxh64_intdigest("\n".join(t for _, t in found).encode("utf-8", "surrogatepass"))
+
+
 def _pack(found: list[tuple[int, str]]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(json.dumps(found, ensure_ascii=False).encode("utf-8", "surrogatepass"))
 
@@ -220,9 +226,8 @@ def extract(pages: DataFrame, run: int = RUN, per_block: int = PAGES) -> DataFra
     seen = pages.select("page_id", "url", "html", host.alias("host"))
     split = seen.groupBy("host").agg(F.ceil(F.count("*") / per_block).alias("n")).where("n > 1")
     split = F.broadcast(split.cache()) if split.cache().count() <= BROADCAST_HOSTS else split
-    content = F.xxhash64("url", "html")
     # copies of a page go to different blocks; they count as one page there and in the count across blocks
-    dealt = seen.join(split, "host", "left").withColumns({"n": F.coalesce("n", F.lit(1)), "content": content}).withColumn("part", F.pmod(F.xxhash64("content", "page_id"), F.col("n")))
+    dealt = seen.join(split, "host", "left").withColumns({"n": F.coalesce("n", F.lit(1)), "content": F.xxhash64("url", "html")}).withColumn("part", F.pmod(F.xxhash64("content", "page_id"), F.col("n"))).drop("content")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,23 +244,25 @@ def extract(pages: DataFrame, run: int = RUN, per_block: int = PAGES) -> DataFra
 
     def page_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 500):
-            for h, p, c, page in zip(*[batch.column(c).to_pylist() for c in ("host", "part", "content", "html")], strict=True):
-                runs = np.unique(run_hashes([t for _, b in blocks(page) for t in b.split()], run))
+            for h, p, page in zip(*[batch.column(c).to_pylist() for c in ("host", "part", "html")], strict=True):
+                found = blocks(page)
+                c = content_of(found) - (1 << 63)
+                runs = np.unique(run_hashes([t for _, b in found for t in b.split()], run))
                 yield pa.record_batch({"host": pa.array([h] * len(runs), pa.string()), "part": pa.array([p] * len(runs), pa.int64()), "content": pa.array([c] * len(runs), pa.int64()), "run": pa.array(runs.view(np.int64), pa.int64())})
 
     # only split hosts with text of no known markup need the runs that their pages share across blocks
     large = dealt.where(F.col("n") > 1)
     asked = table(large.select("host", "html").mapInArrow(unknown_hosts, "host string").distinct(), "unknown")
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_HOSTS else asked
-    shared = large.select("host", "part", "content", "html").join(asked, "host", "left_semi").mapInArrow(page_runs, "host string, part long, content long, run long")
+    shared = large.select("host", "part", "html").join(asked, "host", "left_semi").mapInArrow(page_runs, "host string, part long, content long, run long")
     shared = shared.groupBy("host", "run").agg(F.min("content").alias("low"), F.max("content").alias("high"), F.collect_set("part").alias("parts")).where("low <> high")
     shared = shared.select("host", F.explode("parts").alias("part"), "run")
 
     def remove(group: pa.Table, given: pa.Table) -> pa.Table:
         rows = [_unpack(b) for b in group["blocks"].to_pylist()]
-        same: dict[tuple, int] = {}
+        same: dict[int, int] = {}
         number: dict[str, int] = {}
-        place = [same.setdefault((u, b), len(same)) for u, b in zip(group["url"].to_pylist(), group["blocks"].to_pylist(), strict=True)]
+        place = [same.setdefault(content_of(row), len(same)) for row in rows]
         first = np.unique(place, return_index=True)[1].tolist()
         tokens = [[t for _, text in rows[i] for t in text.split()] for i in first]
         streams = [np.fromiter((number.setdefault(t, len(number)) for t in found), dtype=np.int64, count=len(found)) for found in tokens]

@@ -410,6 +410,14 @@ def test_extract(spark, monkeypatch):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_pages_under_several_urls_are_one(spark):
+    own = [" ".join(f"p{i}x{j}" for j in range(30)) for i in range(6)]
+    boiler = " ".join(f"boiler{j}" for j in range(10))
+    rows = [(10 * i + k, f"http://m.example.com/{i}?utm={k}", f"<body><p>{boiler}<p>{own[i]}</body>") for i in range(6) for k in range(3)]
+    for per_block in (200, 4):
+        assert {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, PAGE), per_block=per_block).collect()} == {r[0]: own[r[0] // 10] for r in rows}
+
+
 def test_repeated_equals_brute_force():
     rng = np.random.default_rng(9)
     for run in (1, 2, 3, 5, 8):
