@@ -11,10 +11,11 @@ furniture goes, and where markup says nothing the suffix array decides: covered
 tokens go, unique runs stay.
 
 A host's pages are sorted in blocks of about ``PAGES`` pages. For hosts of more
-than one block that have text without known markup, the runs that stand on two
-pages are found by a distributed count of their hashes and given to each block,
-so splitting a host loses no repeated run. Pages of a host with equal block texts are
-one page, under whatever urls.
+than one block, the runs that stand on two pages are found by a distributed count of
+their hashes and given to each block, so splitting a host loses no repeated run. A
+first count of short prints of all runs tells which can't stand twice; only the others
+are counted by page. Pages of a host with equal block texts are one page, under
+whatever urls.
 
 Defined results: a null html is an empty page with empty text. Repeated rows each
 get their row; a null url has the empty host. No text is cut. Extra columns are
@@ -35,12 +36,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import batches, mix, small_batches, table
+from sessionmill.llm.common import WordHash, batches, mix, small_batches, table
 from sessionmill.llm.url_rules import parts
 
 RUN, PAGES = 8, 200
 #: Up to this many split hosts are broadcast; beyond that they are joined by shuffle.
 BROADCAST_HOSTS = 100_000
+#: Bits of a run's print, and of its first part that tells the shard. Up to this many prints are broadcast; beyond that all runs are counted by page.
+PRINT, SHARD, BROADCAST_PRINTS = 41, 9, 4_000_000
 
 ARTICLE, FURNITURE, UNKNOWN = 0, 1, 2
 
@@ -144,10 +147,9 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     if at < len(page):
         text.append(page[at:])
     end()
-    kinds = {k for k, _ in found}
-    as_main = ARTICLE if -1 in kinds and ARTICLE not in kinds else FURNITURE
-    unknown = UNKNOWN if ARTICLE not in kinds and -1 not in kinds else FURNITURE
-    return [(as_main if k == -1 else unknown if k == UNKNOWN else k, t) for k, t in found]
+    # main is the article of a page that has no other; beside one, its text is the suffix array's, as all text outside
+    as_main = UNKNOWN if any(k == ARTICLE for k, _ in found) else ARTICLE
+    return [(as_main if k == -1 else k, t) for k, t in found]
 
 
 def repeated(streams: list[np.ndarray], run: int = RUN, given: np.ndarray | None = None, hashes: list[np.ndarray] | None = None) -> list[np.ndarray]:
@@ -195,11 +197,11 @@ def repeated(streams: list[np.ndarray], run: int = RUN, given: np.ndarray | None
     return out
 
 
-def run_hashes(found: list[str], run: int = RUN) -> np.ndarray:
+def run_hashes(found: list[str], run: int = RUN, seen: WordHash | None = None) -> np.ndarray:
     """64-bit hashes of the runs of ``run`` tokens, by place."""
     if len(found) < run:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter((xxhash.xxh64_intdigest(t) for t in found), dtype=np.uint64, count=len(found))
+    h = (WordHash() if seen is None else seen).of(found)
     out = np.zeros(len(h) - run + 1, dtype=np.uint64)
     for i in range(run):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - run + 1 + i])
@@ -237,24 +239,56 @@ def extract(pages: DataFrame, run: int = RUN, per_block: int = PAGES) -> DataFra
 
     parsed = dealt.select("page_id", "url", "html", "host", "part").mapInArrow(parse, f"page_id {kind}, url string, host string, part long, blocks binary")
 
-    def unknown_hosts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prints_of(host: str | None, runs: np.ndarray) -> np.ndarray:
+        return mix(runs ^ np.uint64(xxhash.xxh64_intdigest(host or ""))) >> np.uint64(64 - PRINT)
+
+    low_bits = np.uint64(PRINT - SHARD)
+
+    def print_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHash()
         for batch in batches(it, 500):
-            found = {h for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True) if any(k == UNKNOWN for k, _ in blocks(page))}
-            yield pa.record_batch({"host": pa.array(sorted(found), pa.string())})
+            held = [prints_of(h, np.unique(run_hashes([t for _, b in blocks(page) for t in b.split()], run, words))) for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)]
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            which, first = np.unique(found >> low_bits, return_index=True)
+            packed = []
+            for a, b in zip(first, np.append(first[1:], len(found)), strict=True):
+                low = (found[a:b] & ((np.uint64(1) << low_bits) - np.uint64(1))).astype(np.uint32)
+                packed.append((np.diff(low, prepend=np.uint32(0)).tobytes(), np.packbits(n[a:b] > 1).tobytes()))
+            yield pa.record_batch({"shard": pa.array(which.astype(np.int32), pa.int32()), "prints": pa.array([p for p, _ in packed], pa.binary()), "twice": pa.array([t for _, t in packed], pa.binary())})
+
+    def often(group: pa.Table) -> pa.Table:
+        held = []
+        for p, t in zip(group["prints"].to_pylist(), group["twice"].to_pylist(), strict=True):
+            low = np.cumsum(np.frombuffer(p, dtype=np.uint32), dtype=np.uint32)
+            held += [low, low[np.unpackbits(np.frombuffer(t, dtype=np.uint8), count=len(low)) > 0]]
+        low, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.table({"print": (np.uint64(group["shard"][0].as_py()) << low_bits | low[n > 1].astype(np.uint64)).astype(np.int64)})
+
+    large = dealt.where(F.col("n") > 1)
+    printed = large.select("host", "html").mapInArrow(print_runs, "shard int, prints binary, twice binary").groupBy("shard").applyInArrow(often, "print long")
+    printed = table(printed, "prints")
+    few = printed.count() <= BROADCAST_PRINTS
+    shared_prints = pages.sparkSession.sparkContext.broadcast(np.sort(printed.toArrow()["print"].to_numpy().astype(np.uint64)) if few else None)
+
+    def may_repeat(host: str | None, runs: np.ndarray) -> np.ndarray:
+        known = shared_prints.value
+        if known is None or not len(runs):
+            return runs
+        if not len(known):
+            return runs[:0]
+        p = prints_of(host, runs)
+        return runs[known[np.minimum(np.searchsorted(known, p), len(known) - 1)] == p]
 
     def page_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHash()
         for batch in batches(it, 500):
             for h, p, page in zip(*[batch.column(c).to_pylist() for c in ("host", "part", "html")], strict=True):
                 found = blocks(page)
                 c = content_of(found) - (1 << 63)
-                runs = np.unique(run_hashes([t for _, b in found for t in b.split()], run))
+                runs = may_repeat(h, np.unique(run_hashes([t for _, b in found for t in b.split()], run, words)))
                 yield pa.record_batch({"host": pa.array([h] * len(runs), pa.string()), "part": pa.array([p] * len(runs), pa.int64()), "content": pa.array([c] * len(runs), pa.int64()), "run": pa.array(runs.view(np.int64), pa.int64())})
 
-    # only split hosts with text of no known markup need the runs that their pages share across blocks
-    large = dealt.where(F.col("n") > 1)
-    asked = table(large.select("host", "html").mapInArrow(unknown_hosts, "host string").distinct(), "unknown")
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_HOSTS else asked
-    shared = large.select("host", "part", "html").join(asked, "host", "left_semi").mapInArrow(page_runs, "host string, part long, content long, run long")
+    shared = large.select("host", "part", "html").mapInArrow(page_runs, "host string, part long, content long, run long")
     shared = shared.groupBy("host", "run").agg(F.min("content").alias("low"), F.max("content").alias("high"), F.collect_set("part").alias("parts")).where("low <> high")
     shared = shared.select("host", F.explode("parts").alias("part"), "run")
 
@@ -267,7 +301,8 @@ def extract(pages: DataFrame, run: int = RUN, per_block: int = PAGES) -> DataFra
         tokens = [[t for _, text in rows[i] for t in text.split()] for i in first]
         streams = [np.fromiter((number.setdefault(t, len(number)) for t in found), dtype=np.int64, count=len(found)) for found in tokens]
         known = given["run"].to_numpy().view(np.uint64) if given.num_rows else None
-        hashes = [run_hashes(found, run) for found in tokens] if known is not None else None
+        seen_words = WordHash()
+        hashes = [run_hashes(found, run, seen_words) for found in tokens] if known is not None else None
         covered = repeated(streams, run, known, hashes)
         out, counts = [], []
         for row, k in zip(rows, place, strict=True):

@@ -418,6 +418,21 @@ def test_pages_under_several_urls_are_one(spark):
         assert {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, PAGE), per_block=per_block).collect()} == {r[0]: own[r[0] // 10] for r in rows}
 
 
+def test_text_outside_the_article(spark, monkeypatch):
+    boiler = " ".join(f"boiler{j}" for j in range(10))
+    own = [" ".join(f"b{i}x{j}" for j in range(12)) for i in range(30)]
+    # a small teaser article (or main) and the body in a div
+    rows = [(i, f"http://t.example.com/{i}", f"<body><nav>go {i}</nav><{tag}><p>teaser {i}</{tag}><div><p>{boiler}<p>{own[i]}</div></body>") for i in range(30) for tag in ["main" if i % 2 else "article"]]
+    # all text is in known markup
+    rows += [(100 + i, f"http://k.example.com/{i}", f"<nav>{boiler}</nav><article><p>{own[i]}</article>") for i in range(30)]
+    want = {i: f"teaser {i} {own[i]}" for i in range(30)} | {100 + i: own[i] for i in range(30)}
+    for per_block, most in ((200, 10), (1, 10**6), (1, 10)):  # each page in a block by itself, or nearly; with and without the first count
+        monkeypatch.setattr(html_text, "BROADCAST_PRINTS", most)
+        got = {r["page_id"]: r for r in html_text.extract(spark.createDataFrame(rows, PAGE), per_block=per_block).collect()}
+        assert {i: r["text"] for i, r in got.items()} == want
+        assert all(r["n_repeated"] == 10 for r in got.values())
+
+
 def test_repeated_equals_brute_force():
     rng = np.random.default_rng(9)
     for run in (1, 2, 3, 5, 8):
