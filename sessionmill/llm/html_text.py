@@ -1,14 +1,14 @@
 """HTML extraction with a host suffix array.
 
-Every page is read into blocks of text that its markup puts in the article, in
-page furniture (menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments) or in neither. The token streams of a host's pages are
-concatenated and their suffixes sorted (prefix doubling, to a depth of ``RUN``
-tokens); runs of RUN tokens or more that stand on two distinct pages are the
-host's boilerplate. An exact check by markup follows: a repeated run inside the
-article stays (passages that articles share are text), a unique run inside page
-furniture goes, and where markup says nothing the suffix array decides: covered
-tokens go, unique runs stay.
+Every page is read into blocks of text. Markup protects the article: its blocks
+stay whatever repeats (passages that articles share are text). All text outside
+is the suffix array's: the token streams of a host's pages are concatenated, cut
+at articles, their suffixes sorted (prefix doubling, to full depth), and from the
+lengths of common prefixes follows, for each place, the longest substring that
+also stands on another page. Substrings of ``RUN`` tokens or more are boilerplate
+and go; unique runs stay. An exact check by markup follows: of the unique runs
+those in page furniture (menus, headers, footers, sidebars, notices, adverts,
+forms, reader comments) go, too.
 
 A host's pages are sorted in blocks of about ``PAGES`` pages. For hosts of more
 than one block, the runs that stand on two pages are found by a distributed count of
@@ -152,47 +152,78 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     return [(as_main if k == -1 else k, t) for k, t in found]
 
 
-def repeated(streams: list[np.ndarray], run: int = RUN, given: np.ndarray | None = None, hashes: list[np.ndarray] | None = None) -> list[np.ndarray]:
-    """For each page's tokens, which of them a run of ``run`` tokens covers that another page has too.
+def longest_matches(streams: list[np.ndarray], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of the concatenated streams (each ends with a separator of its own), the length of the longest substring from
+    there that also stands in a stream of another owner; and where each stream starts.
 
-    The suffixes of the concatenated streams are ranked by their first 1, 2, 4, ... tokens until ``run`` tokens count, in a
-    suffix array whose neighbours of equal rank share at least that prefix. given: hashes of runs known to repeat elsewhere;
-    hashes: those of each stream's runs.
+    The suffix array comes from ranks by the first 1, 2, 4, ... tokens until all suffixes differ. Common prefixes of neighbours
+    are read off the same ranks, the longest first, and carried on to the nearest suffix of another owner, either way.
     """
     sizes = np.array([len(s) for s in streams], dtype=np.int64)
-    total = int(sizes.sum() + len(streams))
-    rank = np.empty(total, dtype=np.int64)
-    page = np.repeat(np.arange(len(streams)), sizes + 1)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+    total = int(starts[-1])
+    if not total:
+        return np.zeros(0, dtype=np.int64), starts
     most = max((int(s.max()) for s in streams if len(s)), default=0) + 1
+    text = np.empty(total, dtype=np.int64)
     for i, s in enumerate(streams):
-        rank[starts[i] : starts[i + 1] - 1] = s
-        rank[starts[i + 1] - 1] = most + i  # its own separator
+        text[starts[i] : starts[i + 1] - 1] = s
+        text[starts[i + 1] - 1] = most + i
+    page = np.repeat(np.asarray(owners, dtype=np.int64), sizes + 1)
+    ranks = [np.unique(text, return_inverse=True)[1].astype(np.int64)]
     depth = 1
-    while depth < run:
-        step = min(depth, run - depth)
+    while int(ranks[-1].max()) + 1 < total:
+        rank = ranks[-1]
         after = np.full(total, -1, dtype=np.int64)
-        after[: max(0, total - step)] = rank[step:]
-        key = rank * (int(rank.max(initial=0)) + 2) + after + 1
+        after[: total - depth] = rank[depth:]
+        key = rank * (total + 1) + after + 1
         order = np.argsort(key, kind="stable")
+        sorted_key = key[order]
         new = np.empty(total, dtype=np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])]) if total else []
-        rank, depth = new, depth + step
-    suffixes = np.argsort(rank, kind="stable")
-    r, p = rank[suffixes], page[suffixes]
-    left = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if total else np.zeros(0, dtype=np.int64)
-    low, high = np.minimum.reduceat(p, left), np.maximum.reduceat(p, left)
-    hit = np.zeros(total, dtype=bool)
-    hit[suffixes] = np.repeat(low != high, np.diff(np.append(left, total)))
+        new[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+        ranks.append(new)
+        depth *= 2
+    suffixes = np.empty(total, dtype=np.int64)
+    suffixes[ranks[-1]] = np.arange(total)
+    above, below = suffixes[:-1], suffixes[1:]
+    common = np.zeros(total - 1, dtype=np.int64)
+    for level in range(len(ranks) - 2, -1, -1):
+        a, b = above + common, below + common
+        inside = np.flatnonzero((a < total) & (b < total))
+        same = inside[ranks[level][a[inside]] == ranks[level][b[inside]]]
+        common[same] += 1 << level
+    owner = page[suffixes]
+    best = np.zeros(total, dtype=np.int64)
+    for way in (1, -1):
+        o, c = owner[::way], np.concatenate([[0], common[::way]])
+        part = np.concatenate([[0], np.cumsum(o[1:] != o[:-1])])
+        lift = (int(part[-1]) - part) * (total + 1)  # minima are taken within each stretch of one owner
+        nearest = np.minimum.accumulate(c + lift) - lift
+        nearest[part == 0] = 0
+        best = np.maximum(best, nearest[::way])
+    out = np.empty(total, dtype=np.int64)
+    out[suffixes] = best
+    return out, starts
+
+
+def repeated(streams: list[np.ndarray], run: int = RUN, given: np.ndarray | None = None, hashes: list[np.ndarray] | None = None, owners: list[int] | None = None) -> list[np.ndarray]:
+    """For each stream's tokens, which of them a substring of ``run`` tokens or more covers that a stream of another owner has too.
+
+    owners: the pages of the streams (by default each is a page). given: hashes of runs known to repeat elsewhere; hashes: those
+    of each stream's runs.
+    """
+    longest, starts = longest_matches(streams, np.arange(len(streams)) if owners is None else np.array(owners))
     out = []
     for i, s in enumerate(streams):
-        mine = hit[starts[i] : starts[i] + len(s)].copy()
-        mine[max(0, len(s) - run + 1) :] = False
+        here = longest[starts[i] : starts[i] + len(s)]
+        edge = np.zeros(len(s) + 1, dtype=np.int64)
+        places = np.flatnonzero(here >= run)
+        edge[places] += 1
+        np.subtract.at(edge, places + here[places], 1)
         if given is not None and len(given) and len(hashes[i]):
-            mine[: len(hashes[i])] |= np.isin(hashes[i], given)
-        edge = np.zeros(len(s) + run, dtype=np.int64)
-        edge[: len(s)] += mine
-        edge[run:] -= mine
+            places = np.flatnonzero(np.isin(hashes[i], given))
+            edge[places] += 1
+            edge[places + run] -= 1
         out.append(np.cumsum(edge)[: len(s)] > 0)
     return out
 
@@ -208,13 +239,42 @@ def run_hashes(found: list[str], run: int = RUN, seen: WordHash | None = None) -
     return out
 
 
+def runs_of_pages(pieces: list[list[list[str]]], run: int, seen: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (page, run hash) of many pages' pieces at once, by page and hash."""
+    flat = [piece for page in pieces for piece in page]
+    sizes = np.array([len(piece) for piece in flat], dtype=np.int64)
+    runs = run_hashes([t for piece in flat for t in piece], run, seen)
+    left = np.repeat(sizes, sizes) - (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))  # tokens of the piece from here on
+    page = np.repeat(np.repeat(np.arange(len(pieces)), [len(x) for x in pieces]), sizes)[: len(runs)]
+    whole = left[: len(runs)] >= run
+    page, runs = page[whole], runs[whole]
+    order = np.lexsort((runs, page))
+    page, runs = page[order], runs[order]
+    new = np.ones(len(runs), dtype=bool)
+    new[1:] = (runs[1:] != runs[:-1]) | (page[1:] != page[:-1])
+    return page[new], runs[new]
+
+
+def outside(found: list[tuple[int, str]]) -> list[list[str]]:
+    """Tokens outside the article, cut where it stands between them."""
+    out: list[list[str]] = []
+    before = ARTICLE
+    for kind, text in found:
+        if kind != ARTICLE:
+            if before == ARTICLE:
+                out.append([])
+            out[-1] += text.split()
+        before = kind
+    return out
+
+
 def content_of(found: list[tuple[int, str]]) -> int:
     """Hash of the block texts: pages of a host that have it in common are one page."""
-    return xxhash.xxh64_intdigest("\n".join(t for _, t in found).encode("utf-8", "surrogatepass"))
+    return xxhash.xxh64_intdigest("\n".join([t for _, t in found]).encode("utf-8", "surrogatepass"))
 
 
-def _pack(found: list[tuple[int, str]]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(json.dumps(found, ensure_ascii=False).encode("utf-8", "surrogatepass"))
+def _pack(found: list[tuple[int, str]], by: zstandard.ZstdCompressor) -> bytes:
+    return by.compress(json.dumps(found, ensure_ascii=False).encode("utf-8", "surrogatepass"))
 
 
 def _unpack(packed: bytes) -> list[tuple[int, str]]:
@@ -222,33 +282,39 @@ def _unpack(packed: bytes) -> list[tuple[int, str]]:
 
 
 def extract(pages: DataFrame, run: int = RUN, per_block: int = PAGES) -> DataFrame:
-    """page_id, url, text, n_chars, n_tokens (all tokens of the page), n_repeated (those in runs that the host repeats) per page row."""
-    small_batches(pages.sparkSession)
+    """page_id, url, text, n_chars, n_tokens (all tokens of the page), n_repeated (those outside the article in runs that the host
+    repeats, which the suffix array removes), n_checked (unique ones in page furniture, which the check removes) per page row."""
+    spark = pages.sparkSession
+    small_batches(spark)
     host, _ = parts(F.col("url"))
     seen = pages.select("page_id", "url", "html", host.alias("host"))
-    split = seen.groupBy("host").agg(F.ceil(F.count("*") / per_block).alias("n")).where("n > 1")
-    split = F.broadcast(split.cache()) if split.cache().count() <= BROADCAST_HOSTS else split
+    split = table(seen.groupBy("host").agg(F.ceil(F.count("*") / per_block).alias("n")).where("n > 1"), "hosts")
+    split = F.broadcast(split) if split.count() <= BROADCAST_HOSTS else split
     # copies of a page go to different blocks; they count as one page there and in the count across blocks
-    dealt = seen.join(split, "host", "left").withColumns({"n": F.coalesce("n", F.lit(1)), "content": F.xxhash64("url", "html")}).withColumn("part", F.pmod(F.xxhash64("content", "page_id"), F.col("n"))).drop("content")
+    dealt = seen.join(split, "host", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("part", F.pmod(F.xxhash64(F.xxhash64("url", "html"), "page_id"), F.col("n")))
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = zstandard.ZstdCompressor(level=1)
         for batch in batches(it, 500):
-            made = [_pack(blocks(t)) for t in batch.column("html").to_pylist()]
+            made = [_pack(blocks(t), by) for t in batch.column("html").to_pylist()]
             yield pa.record_batch({c: batch.column(c) for c in ("page_id", "url", "host", "part")} | {"blocks": pa.array(made, pa.binary())})
 
     parsed = dealt.select("page_id", "url", "html", "host", "part").mapInArrow(parse, f"page_id {kind}, url string, host string, part long, blocks binary")
 
-    def prints_of(host: str | None, runs: np.ndarray) -> np.ndarray:
-        return mix(runs ^ np.uint64(xxhash.xxh64_intdigest(host or ""))) >> np.uint64(64 - PRINT)
+    def prints_of(hosts: np.ndarray, runs: np.ndarray) -> np.ndarray:
+        return mix(runs ^ hosts) >> np.uint64(64 - PRINT)
+
+    def host_hashes(hosts: list[str]) -> np.ndarray:
+        return np.array([xxhash.xxh64_intdigest(h) for h in hosts], dtype=np.uint64)
 
     low_bits = np.uint64(PRINT - SHARD)
 
     def print_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
-        for batch in batches(it, 500):
-            held = [prints_of(h, np.unique(run_hashes([t for _, b in blocks(page) for t in b.split()], run, words))) for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)]
-            found, n = np.unique(np.concatenate(held), return_counts=True)
+        for batch in batches(it, 1000):
+            page, runs = runs_of_pages([outside(blocks(t)) for t in batch.column("html").to_pylist()], run, words)
+            found, n = np.unique(prints_of(host_hashes(batch.column("host").to_pylist())[page], runs), return_counts=True)
             which, first = np.unique(found >> low_bits, return_index=True)
             packed = []
             for a, b in zip(first, np.append(first[1:], len(found)), strict=True):
@@ -265,32 +331,28 @@ def extract(pages: DataFrame, run: int = RUN, per_block: int = PAGES) -> DataFra
         return pa.table({"print": (np.uint64(group["shard"][0].as_py()) << low_bits | low[n > 1].astype(np.uint64)).astype(np.int64)})
 
     large = dealt.where(F.col("n") > 1)
-    printed = large.select("host", "html").mapInArrow(print_runs, "shard int, prints binary, twice binary").groupBy("shard").applyInArrow(often, "print long")
-    printed = table(printed, "prints")
+    printed = table(large.select("host", "html").mapInArrow(print_runs, "shard int, prints binary, twice binary").groupBy("shard").applyInArrow(often, "print long"), "prints")
     few = printed.count() <= BROADCAST_PRINTS
-    shared_prints = pages.sparkSession.sparkContext.broadcast(np.sort(printed.toArrow()["print"].to_numpy().astype(np.uint64)) if few else None)
-
-    def may_repeat(host: str | None, runs: np.ndarray) -> np.ndarray:
-        known = shared_prints.value
-        if known is None or not len(runs):
-            return runs
-        if not len(known):
-            return runs[:0]
-        p = prints_of(host, runs)
-        return runs[known[np.minimum(np.searchsorted(known, p), len(known) - 1)] == p]
+    shared_prints = spark.sparkContext.broadcast(np.sort(printed.toArrow()["print"].to_numpy().astype(np.uint64)) if few else None)
 
     def page_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
+        words, known = WordHash(), shared_prints.value
         for batch in batches(it, 500):
-            for h, p, page in zip(*[batch.column(c).to_pylist() for c in ("host", "part", "html")], strict=True):
-                found = blocks(page)
-                c = content_of(found) - (1 << 63)
-                runs = may_repeat(h, np.unique(run_hashes([t for _, b in found for t in b.split()], run, words)))
-                yield pa.record_batch({"host": pa.array([h] * len(runs), pa.string()), "part": pa.array([p] * len(runs), pa.int64()), "content": pa.array([c] * len(runs), pa.int64()), "run": pa.array(runs.view(np.int64), pa.int64())})
-
-    shared = large.select("host", "part", "html").mapInArrow(page_runs, "host string, part long, content long, run long")
-    shared = shared.groupBy("host", "run").agg(F.min("content").alias("low"), F.max("content").alias("high"), F.collect_set("part").alias("parts")).where("low <> high")
-    shared = shared.select("host", F.explode("parts").alias("part"), "run")
+            found = [blocks(t) for t in batch.column("html").to_pylist()]
+            page, runs = runs_of_pages([outside(f) for f in found], run, words)
+            if known is not None:
+                p = prints_of(host_hashes(batch.column("host").to_pylist())[page], runs)
+                may = known[np.minimum(np.searchsorted(known, p), len(known) - 1)] == p if len(known) else np.zeros(len(p), dtype=bool)
+                page, runs = page[may], runs[may]
+            content = np.array([content_of(f) for f in found], dtype=np.uint64).view(np.int64)
+            place = pa.array(page, pa.int64())
+            yield pa.record_batch({"host": batch.column("host").take(place), "part": batch.column("part").take(place), "content": pa.array(content[page], pa.int64()), "run": pa.array(runs.view(np.int64), pa.int64())})
+
+    # first by block, so that a run on all pages of a host meets in no task; then over the blocks
+    by_block = large.select("host", "part", "html").mapInArrow(page_runs, "host string, part long, content long, run long")
+    by_block = table(by_block.groupBy("host", "run", "part").agg(F.min("content").alias("low"), F.max("content").alias("high")), "runs")
+    twice = by_block.groupBy("host", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("host", "run")
+    shared = by_block.join(twice, ["host", "run"], "left_semi").select("host", "part", "run")
 
     def remove(group: pa.Table, given: pa.Table) -> pa.Table:
         rows = [_unpack(b) for b in group["blocks"].to_pylist()]
@@ -298,29 +360,39 @@ def extract(pages: DataFrame, run: int = RUN, per_block: int = PAGES) -> DataFra
         number: dict[str, int] = {}
         place = [same.setdefault(content_of(row), len(same)) for row in rows]
         first = np.unique(place, return_index=True)[1].tolist()
-        tokens = [[t for _, text in rows[i] for t in text.split()] for i in first]
+        pieces = [outside(rows[i]) for i in first]
+        tokens = [piece for page in pieces for piece in page]
+        owners = [i for i, page in enumerate(pieces) for _ in page]
         streams = [np.fromiter((number.setdefault(t, len(number)) for t in found), dtype=np.int64, count=len(found)) for found in tokens]
         known = given["run"].to_numpy().view(np.uint64) if given.num_rows else None
         seen_words = WordHash()
         hashes = [run_hashes(found, run, seen_words) for found in tokens] if known is not None else None
-        covered = repeated(streams, run, known, hashes)
+        covered: list[np.ndarray] = [np.zeros(0, dtype=bool)] * len(pieces)
+        for i, hit in zip(owners, repeated(streams, run, known, hashes, owners), strict=True):
+            covered[i] = np.concatenate([covered[i], hit])
         out, counts = [], []
         for row, k in zip(rows, place, strict=True):
-            kept, at = [], 0
+            kept, at, n_tokens, checked = [], 0, 0, 0
             for kind, text in row:
-                n = len(text.split())
+                found = text.split()
+                n_tokens += len(found)
                 if kind == ARTICLE:
                     kept.append(text)
-                elif kind == UNKNOWN:
-                    kept += [t for t, c in zip(text.split(), covered[k][at : at + n], strict=True) if not c]
-                at += n
+                    continue
+                left = [t for t, c in zip(found, covered[k][at : at + len(found)], strict=True) if not c]
+                at += len(found)
+                if kind == UNKNOWN:
+                    kept += left
+                else:
+                    checked += len(left)
             out.append(" ".join(kept))
-            counts.append((at, int(covered[k].sum())))
+            counts.append((n_tokens, int(covered[k].sum()), checked))
         return pa.table(
-            {"page_id": group["page_id"], "url": group["url"], "text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64()), "n_tokens": pa.array([n for n, _ in counts], pa.int64()), "n_repeated": pa.array([n for _, n in counts], pa.int64())}
+            {"page_id": group["page_id"], "url": group["url"], "text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
+            | {c: pa.array([n[i] for n in counts], pa.int64()) for i, c in enumerate(("n_tokens", "n_repeated", "n_checked"))}
         )
 
-    return parsed.groupBy("host", "part").cogroup(shared.groupBy("host", "part")).applyInArrow(remove, f"page_id {kind}, url string, text string, n_chars long, n_tokens long, n_repeated long")
+    return parsed.groupBy("host", "part").cogroup(shared.groupBy("host", "part")).applyInArrow(remove, f"page_id {kind}, url string, text string, n_chars long, n_tokens long, n_repeated long, n_checked long")
 
 
 def op5_html_text(spark, sf_dir: str) -> DataFrame:

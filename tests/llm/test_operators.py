@@ -396,9 +396,9 @@ def test_extract(spark, monkeypatch):
     for i in range(40, 44):  # a repeated passage inside an article stays
         rows.append((i, f"http://h.example.com/{i}", f"<nav>{boiler}</nav><article><p>{shared}</p> &eacute;{i}</article>"))
         want[i] = " ".join(f"{shared} é{i}".split())
-    spread = " ".join(f"spread{i}" for i in range(10))  # once inside an article, once where markup says nothing
+    spread = " ".join(f"spread{i}" for i in range(10))  # once inside an article, once outside: text that no other page has outside
     rows += [(48, "http://h.example.com/48", f"<main><p>{spread}</main>"), (49, "http://h.example.com/49", f"<p>{spread}<p>mine")]
-    want |= {48: spread, 49: "mine"}
+    want |= {48: spread, 49: f"{spread} mine"}
     rows += [(50, None, None), (51, "nohost", "<p>alone"), rows[0]]
     want |= {50: "", 51: "alone"}
     pages = spark.createDataFrame(rows, PAGE).withColumn("text", F.lit("clash"))
@@ -431,6 +431,38 @@ def test_text_outside_the_article(spark, monkeypatch):
         got = {r["page_id"]: r for r in html_text.extract(spark.createDataFrame(rows, PAGE), per_block=per_block).collect()}
         assert {i: r["text"] for i, r in got.items()} == want
         assert all(r["n_repeated"] == 10 for r in got.values())
+    # without the array the boilerplate outside the article stays
+    none = lambda streams, *_: [np.zeros(len(s), dtype=bool) for s in streams]
+    monkeypatch.setattr(html_text, "repeated", none)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, PAGE), per_block=200).collect()}
+    assert all(got[i] == f"teaser {i} {boiler} {own[i]}" for i in range(30))
+
+
+def test_extract_edge_cases(spark):
+    """A very long page, clashing columns, equal and repeated rows."""
+    long = " ".join(f"x{i}" for i in range(60_000))
+    rows = [(1, "http://l.example.com/1", f"<article><p>{long}</article><p>{long}", 5), (2, "http://l.example.com/2", f"<p>{long} end", 6), (None, None, "<p>no id", None)]
+    got = html_text.extract(spark.createDataFrame([*rows, rows[2]], f"{PAGE}, n_chars long")).collect()
+    assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in got) == sorted([("1", long, len(long)), ("2", "end", 3), ("None", "no id", 5), ("None", "no id", 5)])
+
+
+def test_longest_matches_equal_brute_force():
+    rng = np.random.default_rng(19)
+    for _ in range(40):
+        streams = [rng.integers(0, 3, rng.integers(0, 25)) for _ in range(5)]
+        owners = rng.integers(0, 3, 5)
+        found, starts = html_text.longest_matches(streams, owners)
+        for i, s in enumerate(streams):
+            for p in range(len(s)):
+                best = 0
+                for j, o in enumerate(streams):
+                    if owners[i] != owners[j]:
+                        for q in range(len(o)):
+                            n = 0
+                            while p + n < len(s) and q + n < len(o) and s[p + n] == o[q + n]:
+                                n += 1
+                            best = max(best, n)
+                assert found[starts[i] + p] == best
 
 
 def test_repeated_equals_brute_force():
