@@ -83,5 +83,25 @@ def conversation_key(body: Column) -> Column:
     return F.when(ok, F.substring(F.sha2(F.concat(F.coalesce(parsed["system"], F.lit("")), F.coalesce(first, F.lit(""))), 256), 1, 16)).otherwise("unknown")
 
 
+def token_total(input_tokens: Column, output_tokens: Column, cache_write: Column, cache_read: Column) -> Column:
+    """All tokens of a turn; absent counts are 0."""
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return n(input_tokens) + n(output_tokens) + n(cache_write) + n(cache_read)
+
+
+def captured(text: Column, tool_input: Column, limit: int = 128 << 10) -> tuple[Column, Column, Column, Column]:
+    """(text, input, truncated, bytes) of a content block bounded to limit bytes: a long text is cut; tool input that is too long is
+    no longer JSON once cut, so it moves to the text. bytes is the size before the cut."""
+    kept, cut, size = truncate_utf8(text, limit)
+    moved, over, input_size = truncate_utf8(tool_input, limit)
+    over = F.coalesce(over, F.lit(False))
+    return (
+        F.when(over, moved).otherwise(kept),
+        F.when(~over, tool_input),
+        over | F.coalesce(cut, F.lit(False)),
+        F.when(over, input_size).otherwise(F.coalesce(size, F.lit(0))).cast("long"),
+    )
+
+
 def attributed(tenant_id: Column, user_id: Column) -> Column:
     return present(tenant_id).isNotNull() & present(user_id).isNotNull()

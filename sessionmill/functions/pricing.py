@@ -21,20 +21,28 @@ def cache_write_split() -> tuple[Column, Column]:
 def rate_of(models: DataFrame, rates: DataFrame) -> DataFrame:
     """(model, rate_input, rate_output) of the distinct models: an exact prefix, else the longest; a model without one is absent.
 
-    Prefixes are joined by the lengths that occur, as an equi-join on the cut model, so no cross product is planned.
+    Every beginning of a model is joined by equality, so no cross product is planned; there are few distinct models.
     """
-    known = rates.select("model_prefix", F.col("input").alias("rate_input"), F.col("output").alias("rate_output"), F.length("model_prefix").alias("size"))
-    sizes = known.agg(F.sort_array(F.collect_set("size")).alias("sizes")).first()["sizes"] or []
-    cut = models.select("model").where("model is not null").distinct().select("model", F.explode(F.array(*[F.lit(s) for s in sizes]) if sizes else F.array().cast("array<int>")).alias("size"))
-    cut = cut.where(F.length("model") >= F.col("size")).withColumn("model_prefix", F.substring(F.col("model"), F.lit(1), F.col("size")))
+    known = rates.select("model_prefix", F.col("input").alias("rate_input"), F.col("output").alias("rate_output"))
+    cut = models.select("model").where("model <> ''").distinct().select("model", F.explode(F.sequence(F.lit(1), F.length("model"))).alias("size"))
+    cut = cut.withColumn("model_prefix", F.substring(F.col("model"), F.lit(1), F.col("size")))
     best = F.max_by(F.struct("rate_input", "rate_output", "model_prefix"), "size").alias("rate")
-    return cut.join(known.drop("size"), "model_prefix").groupBy("model").agg(best).select("model", "rate.rate_input", "rate.rate_output", F.col("rate.model_prefix").alias("matched_prefix"))
+    return cut.join(known, "model_prefix").groupBy("model").agg(best).select("model", "rate.rate_input", "rate.rate_output", F.col("rate.model_prefix").alias("matched_prefix"))
 
 
-def with_cost(turns: DataFrame, rates: DataFrame) -> DataFrame:
-    """turns with priced, cost_units, saved_units, and the two cache-write tiers (w5m, w1h)."""
+def priced_models(rates: DataFrame) -> DataFrame:
+    """The models (prefixes) that have a rate, in order."""
+    return rates.select("model_prefix").distinct().orderBy("model_prefix")
+
+
+def with_cost(turns: DataFrame, rates: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """turns with priced, cost_units, saved_units, and the two cache-write tiers (w5m, w1h).
+
+    models: where the models are read from (by default turns); give the events that turns are built of, and only their model
+    column is scanned in place of building all turns twice.
+    """
     w5m, w1h = cache_write_split()
-    out = turns.join(rate_of(turns, rates).drop("matched_prefix"), "model", "left").withColumns({"w5m": w5m, "w1h": w1h, "priced": F.col("rate_input").isNotNull()})
+    out = turns.join(rate_of(turns if models is None else models, rates).drop("matched_prefix"), "model", "left").withColumns({"w5m": w5m, "w1h": w1h, "priced": F.col("rate_input").isNotNull()})
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(19,0)")
     prompt = (n("input_tokens") * INPUT_20 + n("w5m") * WRITE_5M_20 + n("w1h") * WRITE_1H_20 + n("cache_read") * READ_20).cast("decimal(20,0)")
     cost = (prompt * F.col("rate_input")).cast(MONEY) + ((n("output_tokens") * OUTPUT_20).cast("decimal(20,0)") * F.col("rate_output")).cast(MONEY)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +18,37 @@ def eligible_days(events: DataFrame, done: DataFrame, as_of: dt.datetime) -> Dat
 
 
 def write_days(turns: DataFrame, path: str, days: DataFrame | None = None) -> None:
-    """Writes turns and the five rollups of the given days (all by default); a day that is written again is replaced."""
-    chosen = turns if days is None else turns.join(F.broadcast(days), "day", "left_semi")  # one row a day
-    chosen = chosen.persist()
-    for name, frame in {"turns": chosen, **rollups.rollups(chosen)}.items():
-        out = frame.repartition("tenant_id", "day") if name == "turns" else frame.coalesce(1)
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("tenant_id", "day").parquet(f"{path}/{name}")
-    chosen.unpersist()
+    """Writes turns and the five rollups of the given days (all by default); a day that is written again is replaced.
+
+    Rollups are made of the turns as written, so they agree with them and no turn is built twice.
+    """
+    chosen = None if days is None else F.col("day").isin([r["day"] for r in days.select("day").distinct().collect()])  # one value a day
+    write_turns(turns if chosen is None else turns.where(chosen), path)
+    written = read_table(turns.sparkSession, path, "turns")
+    written = written.select(*[F.col(c).cast(turns.schema[c].dataType) for c in turns.columns])
+    for name, frame in rollups.rollups(written if chosen is None else written.where(chosen)).items():
+        _write(frame, f"{path}/{name}", "day")
+
+
+def _write(frame: DataFrame, path: str, *partitions: str) -> None:
+    """Replaces the partitions that frame holds. Rows are dealt by partition; a large one is split into tasks and files by size."""
+    dealt = frame.hint("rebalance", *[F.col(c) for c in partitions])
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*partitions).parquet(path)
+
+
+ROLLUPS = ("day", "by_model", "by_tool", "by_project", "by_session")
+
+
+def consolidate(spark: SparkSession, path: str) -> None:
+    """One table a rollup for all days, in few files by range of day, so that a question over a year opens no file for each day."""
+    for name in ROLLUPS:
+        whole = read_table(spark, path, name)
+        whole.hint("rebalance").sortWithinPartitions("day", "tenant_id").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/rollup/{name}")
+
+
+def read_rollup(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A rollup over all days, from the consolidated table."""
+    return spark.read.parquet(f"{path}/rollup/{name}")
 
 
 def compact(turns: DataFrame, path: str, as_of: dt.datetime, done: DataFrame | None = None) -> None:
@@ -41,13 +66,32 @@ def complete_session_days(session_days: DataFrame, turns: DataFrame) -> DataFram
 
 def write_turns(turns: DataFrame, path: str) -> None:
     """Replaces the days that turns holds."""
-    turns.repartition("tenant_id", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("tenant_id", "day").parquet(f"{path}/turns")
+    _write(turns, f"{path}/turns", "tenant_id", "day")
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(f"{path}/{name}")
 
 
+#: Columns of an archive row; flags of a turn that only live events need are not among them.
+ROW = ("tenant_id", "day", "turn_key", "session_id", "turn_id", "message_id", "user_id", "machine_id", "source", "model", "stream", "project", "project_id", "git_branch", "status_code", "stop_reason", "duration_ms", "ttfb_ms", "message_count", "system_blocks")
+ROW_USAGE = ("input_tokens", "output_tokens", "cache_read")
+ROW_REST = ("tools_offered", "request_blob", "response_blob", "content_blobs", "error", "pending", "first_seq", "cost_units", "priced")
+
+
+def to_rows(turns: DataFrame) -> DataFrame:
+    """Flat archive rows of priced turns: instants in ms, both cache-write tiers, names of the calls; call ids don't survive."""
+    names = F.filter(F.transform("calls", lambda c: c["name"]), lambda n: n.isNotNull() & (n != "")).alias("tool_calls")
+    return turns.select(F.unix_millis("started_at").alias("ts"), *ROW, *ROW_USAGE, F.col("w5m").alias("cache_write_5m"), F.col("w1h").alias("cache_write_1h"), names, *ROW_REST)
+
+
+def from_rows(rows: DataFrame) -> DataFrame:
+    """Turns of archive rows, with what the rows keep; calls have names and no ids."""
+    calls = F.transform("tool_calls", lambda n: F.struct(F.lit(None).cast("string").alias("id"), n.alias("name"))).alias("calls")
+    tiers = [F.col("cache_write_5m").alias("w5m"), F.col("cache_write_1h").alias("w1h"), (F.col("cache_write_5m") + F.col("cache_write_1h")).alias("cache_write")]
+    return rows.select(F.timestamp_millis("ts").alias("started_at"), *ROW, *ROW_USAGE, *tiers, calls, *ROW_REST)
+
+
 def blobs(payloads: DataFrame) -> DataFrame:
     """(tenant_id, ref, payload): each payload once a tenant, by its content hash."""
     return payloads.where("payload is not null").select("tenant_id", F.sha2("payload", 256).alias("ref"), "payload").dropDuplicates(["tenant_id", "ref"])
@@ -84,6 +128,17 @@ def partition_audit(frame: DataFrame, partition: str, inside: str) -> DataFrame:
     return frame.groupBy(F.col(partition).alias("partition")).agg(F.count("*").alias("n_rows"), F.count_if(~F.col(partition).eqNullSafe(F.col(inside))).alias("mismatched"))
 
 
+#: Lower-case letters and digits, with at most one underscore, inside.
+TENANT_ID, TENANT_MOST = r"^[a-z0-9]+(_[a-z0-9]+)?$", 64
+
+
+def scope(frame: DataFrame, tenant_id: str) -> DataFrame:
+    """One tenant's rows; an id outside the alphabet is refused, before any path or predicate is made of it."""
+    if len(tenant_id) > TENANT_MOST or not re.fullmatch(TENANT_ID, tenant_id):
+        raise ValueError(f"no tenant id: {tenant_id!r}")
+    return frame.where(F.col("tenant_id") == tenant_id)
+
+
 def pending(events: DataFrame, shipped: DataFrame) -> DataFrame:
     """Events not shipped yet, by (type, turn_id, message_id, ts); content events are never shipped."""
     keys = ["type", "turn_id", "message_id", "ts"]

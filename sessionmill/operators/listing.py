@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionmill.operators.sessions import sessions as rollup
+
 DEFAULT_LIMIT, MOST_LIMIT = 50, 500
 RANKS = {"cost": "cost_units", "turns": "turns", "errors": "errors"}
 
@@ -13,12 +15,34 @@ def page_size(limit: int | None) -> int:
     return min(limit, MOST_LIMIT) if limit and limit > 0 else DEFAULT_LIMIT
 
 
-def recent(sessions: DataFrame, limit: int | None = None, after: tuple[int, str] | None = None) -> DataFrame:
-    """The next page, newest end first; after: (ended_at in ms, session id) of the last row seen."""
+#: Newest end first; a session is known by its id within its tenant, so the tenant breaks ties.
+CURSOR = ("ended_ms", "session_id", "tenant_id")
+
+
+def _behind(after: tuple[int, str, str]) -> Column:
+    values = [F.lit(after[0]).cast("long"), F.lit(after[1]), F.lit(after[2])]
+    return F.struct(*CURSOR) < F.struct(*[v.alias(c) for v, c in zip(values, CURSOR, strict=True)])
+
+
+def recent(sessions: DataFrame, limit: int | None = None, after: tuple[int, str, str] | None = None) -> DataFrame:
+    """The next page, newest end first; after: (ended_at in ms, session id, tenant) of the last row seen."""
     s = sessions.withColumn("ended_ms", F.unix_millis("ended_at"))
     if after:
-        s = s.where(F.struct("ended_ms", "session_id") < F.struct(F.lit(after[0]).cast("long").alias("ended_ms"), F.lit(after[1]).alias("session_id")))
-    return s.orderBy(F.desc("ended_ms"), F.desc("session_id")).limit(page_size(limit))
+        s = s.where(_behind(after))
+    return s.orderBy(*[F.desc(c) for c in CURSOR]).limit(page_size(limit))
+
+
+def recent_archived(session_days: DataFrame, turns: DataFrame, limit: int | None = None, after: tuple[int, str, str] | None = None) -> DataFrame:
+    """The same page from the archive: the session-day rollup tells the page's sessions and their days, and only those days' turns
+    are read and rolled up. A session's end is the latest of its days', so no session outside the page can belong to it."""
+    size = page_size(limit)
+    spans = session_days.groupBy("tenant_id", "session_id").agg(F.unix_millis(F.max("last_at")).alias("ended_ms"))
+    spans = spans.where(_behind(after)) if after else spans
+    page = spans.orderBy(*[F.desc(c) for c in CURSOR]).limit(size).select("tenant_id", "session_id")
+    keys = F.broadcast(page)  # MOST_LIMIT rows at most
+    days = session_days.join(keys, ["tenant_id", "session_id"], "left_semi").select("tenant_id", "day").distinct()
+    found = turns.join(days, ["tenant_id", "day"], "left_semi").join(keys, ["tenant_id", "session_id"], "left_semi")
+    return recent(rollup(found), size)
 
 
 def ranked(sessions: DataFrame, sort: str, limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -26,4 +50,4 @@ def ranked(sessions: DataFrame, sort: str, limit: int | None = None, offset: int
     if sort not in RANKS:
         return recent(sessions, limit)
     s = sessions.withColumn("ended_ms", F.unix_millis("ended_at"))
-    return s.orderBy(F.desc(RANKS[sort]), F.desc("ended_ms"), F.desc("session_id")).offset(offset).limit(page_size(limit))
+    return s.orderBy(F.desc(RANKS[sort]), *[F.desc(c) for c in CURSOR]).offset(offset).limit(page_size(limit))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.functions.columns import present, result_text
+from sessionmill.functions.columns import captured, present, result_text
 from sessionmill.schemas import BLOCKS, TRANSCRIPT
 
 SYNTHETIC = "<synthetic>"
@@ -90,6 +90,14 @@ def content_blocks(lines: DataFrame) -> DataFrame:
     return made.where((F.col("kind") == "tool_use") | (F.col("kind") == "unknown") | present(F.col("text")).isNotNull())
 
 
+def captured_blocks(lines: DataFrame, limit: int = 128 << 10) -> DataFrame:
+    """content_blocks as they are stored: text, input, truncated, bytes, each bounded to limit bytes."""
+    b = content_blocks(lines)
+    call = F.col("kind") == "tool_use"
+    text, given, cut, size = captured(F.when(~call, F.col("text")), F.when(call, F.col("text")), limit)
+    return b.select(*[c for c in b.columns if c != "text"], text.alias("text"), given.alias("input"), cut.alias("truncated"), size.alias("bytes"))
+
+
 def tool_results(lines: DataFrame) -> DataFrame:
     """Results in users' records that name their call, with their text."""
     b = _blocks(lines, "user").where("b.type = 'tool_result' and b.tool_use_id <> ''")

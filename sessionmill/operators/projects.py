@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionmill.functions.columns import hit_rate
@@ -48,8 +49,20 @@ def branches(sessions: DataFrame) -> DataFrame:
 
 
 def median_cost(sessions: DataFrame) -> DataFrame:
-    """Median session cost; 0 without sessions."""
-    return sessions.agg(F.coalesce(F.median("cost_usd"), F.lit(0.0)).alias("median_cost"), F.count("*").alias("sessions"))
+    """Exact median session cost; 0 without sessions.
+
+    Approximate percentiles enclose the middle (their error is a tenth of the margin); costs below are counted, and only those
+    enclosed, a fiftieth of all and the copies of their ends, are ranked, one row a distinct cost.
+    """
+    c = F.col("cost_usd")
+    about = sessions.agg(F.percentile_approx(c, [0.49, 0.51], 1000).alias("ends"), F.count(c).alias("n"), F.count("*").alias("sessions"))
+    low, high, n = (about.select(x).scalar() for x in (F.col("ends")[0], F.col("ends")[1], F.col("n")))
+    inside = sessions.where(c.between(low, high)).groupBy("cost_usd").agg(F.count("*").alias("times"))
+    below = sessions.where(c < low).agg(F.count("*")).scalar()
+    ranked = inside.select("cost_usd", "times", (F.sum("times").over(W.partitionBy().orderBy("cost_usd")) + below).alias("upto"), n.alias("n"))
+    at = lambda rank: F.max(F.when((rank <= F.col("upto")) & (rank > F.col("upto") - F.col("times")), c))
+    middle = (at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2
+    return ranked.agg(F.coalesce(middle, F.lit(0.0)).alias("median_cost")).select("median_cost", about.select("sessions").scalar().alias("sessions"))
 
 
 def extremes(sessions: DataFrame) -> DataFrame:

@@ -44,21 +44,38 @@ def sessions(turns: DataFrame) -> DataFrame:
 
 
 def turn_sequence(turns: DataFrame) -> DataFrame:
-    """turns with their place (1, 2, ...) in their session."""
-    return turns.withColumn("place", F.row_number().over(W.partitionBy("tenant_id", "session_id").orderBy(*ORDER)))
+    """turns with their place (1, 2, ...) in their session.
+
+    Turns are ranked within a session's minute, behind the counts of its earlier minutes, so a long session is many small
+    windows; only its counts by minute meet.
+    """
+    t = turns.withColumn("minute", F.date_trunc("minute", "started_at"))
+    key = ["tenant_id", "session_id", "minute"]
+    counts = t.groupBy(*key).agg(F.count("*").alias("n"))
+    before = W.partitionBy("tenant_id", "session_id").orderBy("minute").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(c).alias(f"c_{c}") for c in key], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    t = t.withColumn("within", F.row_number().over(W.partitionBy(*key).orderBy(*ORDER)))
+    same = [t[c].eqNullSafe(counts[f"c_{c}"]) for c in key]
+    return t.join(counts, on=same).withColumn("place", (F.col("earlier") + F.col("within")).cast("int")).select(*turns.columns, "place")
 
 
 def day_segments(turns: DataFrame, zone: str = "UTC") -> DataFrame:
-    """Runs of a session's turns on one local day: segment, local_day, turns, first and last start, gap since the segment before."""
-    own = W.partitionBy("tenant_id", "session_id").orderBy(*ORDER)
-    local = F.to_date(F.from_utc_timestamp("started_at", zone))
-    t = turns.where("started_at is not null").withColumn("local_day", local)
-    new = F.coalesce((F.lag("local_day").over(own) != F.col("local_day")).cast("int"), F.lit(0))
-    t = t.withColumn("changed", new)
-    t = t.withColumn("segment", F.sum("changed").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    s = t.groupBy("tenant_id", "session_id", "segment").agg(F.min("local_day").alias("local_day"), F.count("*").alias("turns"), F.min("started_at").alias("first_at"), F.max("started_at").alias("last_at"))
-    gap = F.unix_millis("first_at") - F.unix_millis(F.lag("last_at").over(W.partitionBy("tenant_id", "session_id").orderBy("segment")))
-    return s.withColumn("gap_ms", gap)
+    """Runs of a session's turns on one local day: segment, local_day, turns, first and last start, gap since the segment before.
+
+    In order of start local days only rise, so a run is a day; windows hold a session's days and no turns.
+    """
+    local = F.to_date(F.from_utc_timestamp("started_at", zone)).alias("local_day")
+    s = turns.where("started_at is not null").groupBy("tenant_id", "session_id", local).agg(F.count("*").alias("turns"), F.min("started_at").alias("first_at"), F.max("started_at").alias("last_at"))
+    own = W.partitionBy("tenant_id", "session_id").orderBy("local_day")
+    return s.withColumns({"segment": F.row_number().over(own) - 1, "gap_ms": F.unix_millis("first_at") - F.unix_millis(F.lag("last_at").over(own))})
+
+
+def detail(turns: DataFrame, session_days: DataFrame, session_id: str, tenant_id: str | None = None) -> DataFrame:
+    """One session's turns in order; the session-day rollup tells the days, and only those are read."""
+    mine = F.col("session_id") == session_id
+    mine = mine if tenant_id is None else mine & (F.col("tenant_id") == tenant_id)
+    days = session_days.where(mine).select("tenant_id", "day").distinct()
+    return turn_sequence(turns.where(mine).join(days, ["tenant_id", "day"], "left_semi"))
 
 
 def session_span(session_days: DataFrame) -> DataFrame:
@@ -68,11 +85,13 @@ def session_span(session_days: DataFrame) -> DataFrame:
 
 def timeline_buckets(turns: DataFrame, most: int = 240, buckets: int = 120) -> DataFrame:
     """A session's turns as bars: one each up to ``most``, else ``buckets`` of equal width in time, summed."""
-    w = W.partitionBy("tenant_id", "session_id")
-    start = F.unix_millis("started_at")
-    t = turns.where("started_at is not null").select("*", start.alias("ms"), F.count("*").over(w).alias("n"), F.min(start).over(w).alias("low"), F.max(start).over(w).alias("high"), (F.row_number().over(w.orderBy(*ORDER)) - 1).alias("place"))
+    key = ["tenant_id", "session_id"]
+    t = turns.where("started_at is not null").withColumn("ms", F.unix_millis("started_at"))
+    spans = t.groupBy(*key).agg(F.count("*").alias("n"), F.min("ms").alias("low"), F.max("ms").alias("high"))
+    t = t.join(spans, key)
     width = F.greatest((F.col("high") - F.col("low")) / F.lit(buckets), F.lit(1.0))
-    wide = F.least(F.lit(buckets - 1), F.floor((F.col("ms") - F.col("low")) / width)).cast("int")
-    t = t.withColumn("bucket", F.when(F.col("n") <= most, F.col("place")).otherwise(wide))
+    wide = t.where(F.col("n") > most).withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((F.col("ms") - F.col("low")) / width)).cast("int"))
+    # windows only over sessions of at most ``most`` turns
+    each = t.where(F.col("n") <= most).withColumn("bucket", F.row_number().over(W.partitionBy(*key).orderBy(*ORDER)) - 1)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    return t.groupBy("tenant_id", "session_id", "bucket").agg(F.min("ms").alias("start_ms"), F.count("*").alias("turns"), *[total(c) for c in ("input_tokens", "output_tokens", "cache_write", "cache_read")], F.sum("cost_units").alias("cost_units"))
+    return each.unionByName(wide).groupBy(*key, "bucket").agg(F.min("ms").alias("start_ms"), F.count("*").alias("turns"), *[total(c) for c in ("input_tokens", "output_tokens", "cache_write", "cache_read")], F.sum("cost_units").alias("cost_units"))

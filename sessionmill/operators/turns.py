@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.functions.columns import first_of, last_of, present
+from sessionmill.functions.pricing import with_cost
+from sessionmill.functions.columns import attributed, failed, first_of, last_of, present
 
 KEY = ["tenant_id", "day", "turn_key"]
 USAGE = ("input_tokens", "output_tokens", "cache_write", "cache_read", "cache_write_5m", "cache_write_1h", "reasoning_tokens")
@@ -18,12 +19,12 @@ def keyed(events: DataFrame) -> DataFrame:
 
 
 def build_turns(events: DataFrame) -> DataFrame:
-    """One row for each exchange and UTC day, whatever order its observations came in.
+    """One row for each exchange and UTC day, whatever order its observations came in. Tool results make no turn of their own.
 
     events: the columns of EVENT; ``seq`` is the order of arrival. One grouped aggregate, with partial aggregation on
     the map side; lists of tool calls are kept out of it (``tool_calls``).
     """
-    e = keyed(events)
+    e = keyed(events.where("not (type = 'content' and tool_use_id is not null)"))
     o, t = F.col("seq"), F.col("type")
     request, response, error = t == "request", t == "response", t == "error"
     c = F.col
@@ -70,6 +71,39 @@ def with_tool_calls(turns: DataFrame, events: DataFrame) -> DataFrame:
     return turns.join(calls, KEY, "left").withColumn("calls", F.coalesce("calls", F.array().cast("array<struct<id:string,name:string>>")))
 
 
+def content_refs(events: DataFrame) -> DataFrame:
+    """(key, content_blobs): refs of each turn's captured content in order of arrival, without dedupe; behind them those of the
+    results of its calls. A result whose call no turn of the day made is dropped."""
+    e = keyed(events).where("type = 'content' and content_ref is not null")
+    ref = [F.col("seq"), F.col("content_ref")]
+    own = e.where("tool_use_id is null").select(*KEY, F.lit(0).alias("behind"), *ref)
+    owners = keyed(events).where("type = 'response'").select(*KEY, F.explode("tool_calls.id").alias("tool_use_id")).where("tool_use_id <> ''").distinct()
+    results = owners.join(e.where("tool_use_id is not null").select("tenant_id", "day", "tool_use_id", *ref), ["tenant_id", "day", "tool_use_id"])
+    both = own.unionByName(results.select(*KEY, F.lit(1).alias("behind"), *ref))
+    listed = F.sort_array(F.collect_list(F.struct("behind", *ref)))
+    return both.groupBy(*KEY).agg(F.transform(listed, lambda x: x["content_ref"]).alias("content_blobs"))
+
+
+def with_content(turns: DataFrame, events: DataFrame) -> DataFrame:
+    """turns with content_blobs (empty list if none)."""
+    return turns.join(content_refs(events), KEY, "left").withColumn("content_blobs", F.coalesce("content_blobs", F.array().cast("array<string>")))
+
+
+def full(events: DataFrame, rates: DataFrame) -> DataFrame:
+    """Turns as the archive keeps them: with calls, content refs and prices."""
+    return with_cost(with_content(with_tool_calls(build_turns(events), events), events), rates, events)
+
+
+def failures(turns: DataFrame) -> DataFrame:
+    """Turns with an error text or a status of 400 or more."""
+    return turns.where(failed(F.col("error"), F.col("status_code")))
+
+
+def unattributed(turns: DataFrame) -> DataFrame:
+    """Turns without a tenant or a user."""
+    return turns.where(~attributed(F.col("tenant_id"), F.col("user_id")))
+
+
 def attach_tool_results(turns: DataFrame, results: DataFrame) -> DataFrame:
     """(turn key, tool_use_id, content ref) of results (tenant_id, day, tool_use_id, ref) whose call a turn of that day made; others are dropped."""
     owned = turns.select(*KEY, F.explode("calls").alias("call")).where("call.id is not null").select(*KEY, F.col("call.id").alias("tool_use_id")).distinct()

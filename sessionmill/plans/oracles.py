@@ -78,13 +78,52 @@ _CALENDAR = "SELECT CAST(d AS DATE) AS day FROM range(DATE '2023-12-25', DATE '2
 _DENSE = f"{_PRICED}, dense AS (SELECT c.day, count(p.day) AS turns, coalesce(sum(units), 0) AS units FROM ({_CALENDAR}) c LEFT JOIN priced p ON p.day = c.day GROUP BY c.day)"
 _DAILY = f"{_PRICED}, daily AS (SELECT day, count(*) AS turns, sum(units) AS units FROM priced GROUP BY day)"
 #: Transcript rows, as the columns that the lines are made from; odd is what makes some of them odd.
-_SCRIPT = f"{_LOG}, script AS (SELECT *, seq // 10 AS event_id, (seq // 10) % 50 AS odd FROM ev WHERE type <> 'request' AND seq % 10 IN (1, 4, 5))"
+_SCRIPT = f"{_LOG}, script AS (SELECT *, seq // 10 AS event_id, (seq // 10) % 50 AS odd FROM ev WHERE type <> 'request')"
 _PARSED = "odd <> 7 AND (type = 'error' OR odd <> 9)"
 _CONTENT = "c AS (SELECT *, concat('m_', conv_id, '_', turn) AS message_id FROM conversations)"
-_BODIES = "g AS (SELECT conv_id, max(text) FILTER (role = 'system') AS system, count(*) FILTER (role <> 'system') AS said, count(*) AS n FROM conversations GROUP BY conv_id)"
+_BODIES = "g AS (SELECT conv_id, max(text) FILTER (role = 'system') AS system, count(*) FILTER (role <> 'system') AS said, count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM conversations GROUP BY conv_id)"
 _PATHS = "p AS (SELECT DISTINCT cwd FROM fx WHERE cwd IS NOT NULL), paths AS (SELECT DISTINCT unnest([cwd, cwd || '/', 'C:' || replace(cwd, '/', '\\'), upper(cwd), 'C:\\', '/']) AS path FROM p)"
 
+_RECENT = "ended_ms DESC, session_id DESC, tenant_id DESC"
+#: Content refs of turns: texts of responses in order, behind them the results of the turn's calls.
+_REFS = """refs AS (SELECT tenant_id, day, turn_key, 0 AS behind, seq, sha256(turn_id || '/' || CAST(seq % 10 AS VARCHAR)) AS ref FROM ev WHERE type = 'response'
+    UNION ALL SELECT c.tenant_id, c.day, c.turn_key, 1, r.seq, sha256(c.id || 'r') FROM call_rows c JOIN ev r ON r.tenant_id = c.tenant_id AND r.day = c.day AND r.tool_id = c.id WHERE r.seq % 70 <> 0)"""
+_SCANNED = "session_id, coalesce(message_id, turn_id) AS turn_id, message_id, model, input_tokens, output_tokens, cache_read FROM script WHERE type = 'response' AND odd NOT IN (7, 9)"
+_DAY_ROWS = "tenant_id, strftime(day, '%Y-%m-%d') AS day, count(DISTINCT session_id) AS sessions, count(*) AS turns, count(*) FILTER (failed) AS errors"
+#: What a line's coverage counts, by its oddity.
+_COUNTED = f"""SELECT 'records' AS metric, '' AS key FROM script
+    UNION ALL SELECT CASE WHEN odd = 7 THEN 'unreadable' WHEN {_PARSED} THEN 'parsed' ELSE 'skipped' END, '' FROM script
+    UNION ALL SELECT 'version', concat('2.', event_id % 3) FROM script WHERE {_PARSED}
+    UNION ALL SELECT 'missing', 'output_tokens_details' FROM script WHERE type = 'response' AND odd = 11
+    UNION ALL SELECT 'missing', 'cache_creation' FROM script WHERE type = 'response' AND odd NOT IN (7, 9) AND cache_write_1h IS NULL
+    UNION ALL SELECT 'unknown', 'surprise' FROM script WHERE odd = 10"""
+
 ORACLE_SQL: dict[str, str] = {
+    "transcript_scan": _of(_SCRIPT, f"SELECT {_SCANNED}"),
+    "transcript_follow": _of(_SCRIPT, f"SELECT {_SCANNED}"),
+    "follow_coverage": _of(_SCRIPT, f"SELECT metric, key, count(*) AS n FROM ({_COUNTED}) GROUP BY ALL"),
+    "rewind": _of(_SCRIPT, "SELECT run, count(*) AS n_lines FROM script CROSS JOIN (VALUES ('first'), ('again')) r(run) GROUP BY run"),
+    "conversation_key": """SELECT conv_id AS exchange_id, CASE WHEN conv_id % 10 = 3 THEN 'unknown' ELSE substr(sha256(coalesce(max(text) FILTER (role = 'system'), '') || coalesce(arg_min(text, turn) FILTER (role = 'user' AND text IS NOT NULL), '')), 1, 16) END AS conversation FROM conversations GROUP BY conv_id""",
+    "captured_content": _of(
+        f"{_CONTENT}, parts AS (SELECT conv_id, turn, 'text' AS kind, text AS whole FROM c WHERE role = 'assistant' AND text <> '' UNION ALL SELECT conv_id, turn, 'tool_use', concat('{{\"n\":', turn, '}}') FROM c WHERE role = 'assistant'),"
+        " cut AS (SELECT *, strlen(whole) AS bytes, (SELECT count(*) FROM range(1, least(length(whole), 7) + 1) r(i) WHERE strlen(substr(whole, 1, CAST(i AS INT))) <= 7) AS fit FROM parts)",
+        "SELECT conv_id, turn, kind, CASE WHEN bytes > 7 THEN substr(whole, 1, CAST(fit AS INT)) WHEN kind = 'text' THEN whole END AS text, CASE WHEN kind = 'tool_use' AND bytes <= 7 THEN whole END AS input, bytes > 7 AS truncated, CAST(CASE WHEN kind = 'text' OR bytes > 7 THEN bytes ELSE 0 END AS BIGINT) AS bytes FROM cut",
+    ),
+    "tenant_scope": _of(_LOG, "SELECT type, count(*) AS events FROM fx WHERE tenant_id = 'acme' GROUP BY type"),
+    "turn_content": _of(f"{_PRICED}, {_REFS}", f"SELECT tenant_id, {_DAY}, turn_key, string_agg(ref, ',' ORDER BY behind, seq) AS content_blobs FROM refs GROUP BY tenant_id, refs.day, turn_key"),
+    "priced_models": _of(_PRICED, "SELECT DISTINCT prefix AS model_prefix FROM model_rates"),
+    "token_total": _of(_TURNS, f"SELECT tenant_id, {_DAY}, turn_key, coalesce(input_tokens, 0) + coalesce(output_tokens, 0) + coalesce(cache_write, 0) + coalesce(cache_read, 0) AS tokens FROM turns"),
+    "compacted_days": _of(_PRICED, f"SELECT run, {_DAY_ROWS}, {_TOKENS}, {_MONEY} FROM priced JOIN (VALUES ('missing', DATE '2024-01-20'), ('all', DATE '1970-01-01')) r(run, behind) ON priced.day > behind WHERE priced.day < DATE '2024-01-31' GROUP BY run, tenant_id, priced.day"),
+    "consolidated_rollups": _of(_PRICED, f"SELECT tenant_id, {_DAY}, model, count(*) AS turns, {_TOKENS}, {_MONEY} FROM priced WHERE model IS NOT NULL GROUP BY tenant_id, priced.day, model"),
+    "archive_columns": _of(_PRICED, "SELECT tenant_id, model, count(*) AS turns, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM priced GROUP BY tenant_id, model"),
+    "additive_schema": _of(_PRICED, f"SELECT tenant_id, {_DAY}, session_id, count(*) AS turns, (epoch_us(min(started_at)) // 1000) AS first_at, (epoch_us(max(done_at)) // 1000) AS last_at FROM priced GROUP BY tenant_id, priced.day, session_id"),
+    "archive_rows": _of(
+        f"{_PRICED}, {_REFS}, n_refs AS (SELECT tenant_id, day, turn_key, count(*) AS n FROM refs GROUP BY ALL), listed AS (SELECT tenant_id, day, turn_key, string_agg(name, ',' ORDER BY seen_at) AS calls FROM call_rows GROUP BY ALL)",
+        f"SELECT tenant_id, {_DAY}, turn_key, session_id, model, (epoch_us(started_at) // 1000) AS started_at, status_code, duration_ms, error, pending, project_id, input_tokens, output_tokens, w5m + w1h AS cache_write, cache_read, w5m, w1h, coalesce(calls, '') AS calls, coalesce(n, 0) AS n_content, priced, CAST(units AS DOUBLE) / {UNIT} AS cost_usd FROM priced LEFT JOIN n_refs USING (tenant_id, day, turn_key) LEFT JOIN listed USING (tenant_id, day, turn_key)",
+    ),
+    "incremental_ship": _of(_LOG, "SELECT destination, type, count(*) AS events FROM (SELECT DISTINCT type, turn_id, message_id, ts FROM fx) CROSS JOIN (VALUES ('a'), ('b')) d(destination) GROUP BY ALL"),
+    "stream_turns": _of(_PRICED, f"SELECT {_DAY_ROWS}, count(*) FILTER (NOT priced AND model IS NOT NULL) AS unpriced, {_TOKENS}, {_MONEY} FROM priced GROUP BY tenant_id, priced.day"),
+    "tumbling_day_stream": _of(_LOG, f"SELECT {_DAY}, type, count(*) AS events FROM ev GROUP BY ev.day, type"),
     "events_range": _of(_LOG, "SELECT seq, type, (epoch_us(ts) // 1000) AS ts, session_id, turn_id, message_id, tenant_id, model FROM ev WHERE ts BETWEEN TIMESTAMP '2024-01-05 06:30:00' AND TIMESTAMP '2024-01-12 18:00:00'"),
     "event_days": _of(_LOG, f"SELECT tenant_id, {_DAY}, count(*) AS events FROM ev GROUP BY tenant_id, ev.day"),
     "event_hash_dedupe": _of(_LOG, "SELECT tenant_id, type, source, count(*) AS events FROM (SELECT DISTINCT * EXCLUDE (seq, duration_ms) FROM fx) GROUP BY ALL"),
@@ -101,7 +140,7 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT conv_id, turn, CAST(0 AS BIGINT) AS pos, message_id, 'text' AS kind, NULL AS tool_use_id, NULL AS tool_name, text FROM c WHERE role = 'assistant' AND text <> '' UNION ALL SELECT conv_id, turn, 1, message_id, 'tool_use', concat('tu_', conv_id, '_', turn), 'Bash', NULL FROM c WHERE role = 'assistant'",
     ),
     "tool_results": "SELECT conv_id, turn, concat('tu_', conv_id, '_', CASE WHEN turn % 7 = 0 THEN 'none' ELSE CAST(turn - 1 AS VARCHAR) END) AS tool_use_id, text, false AS is_error FROM conversations WHERE role = 'user'",
-    "tool_result_text": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text || chr(10) || 'end' ELSE '{\"other\":1}' END AS text FROM conversations",
+    "tool_result_text": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text || chr(10) || 'end' ELSE '{\"other\":' || CAST(to_json(text) AS VARCHAR) || '}' END AS text FROM conversations",
     "truncate_content": """
 WITH chars AS (SELECT doc_id, text, strlen(text) AS bytes, (SELECT count(*) FROM range(1, least(length(text), 101) + 1) r(i) WHERE strlen(substr(text, 1, CAST(i AS INT))) <= 101) AS fit FROM documents)
 SELECT doc_id, CASE WHEN bytes > 101 THEN substr(text, 1, CAST(fit AS INT)) ELSE text END AS text, bytes > 101 AS truncated, CAST(bytes AS BIGINT) AS bytes FROM chars""",
@@ -114,8 +153,8 @@ SELECT doc_id, CASE WHEN bytes > 101 THEN substr(text, 1, CAST(fit AS INT)) ELSE
         _BODIES,
         "SELECT conv_id AS exchange_id, CASE WHEN ok THEN 'model-a' END AS model, ok AND n % 2 = 0 AS stream, CASE WHEN ok THEN n * 100 END AS max_tokens, CASE WHEN ok THEN said ELSE 0 END AS message_count, CAST(CASE WHEN ok AND system <> '' THEN 1 ELSE 0 END AS BIGINT) AS system_blocks, CASE WHEN ok THEN 'Bash,Read' ELSE '' END AS tools FROM (SELECT *, conv_id % 10 <> 3 AS ok FROM g)",
     ),
-    "response_summary": _of(_BODIES, "SELECT conv_id AS exchange_id, 'model-a-20251001' AS model, 'end_turn' AS stop_reason, n AS input_tokens, n * 2 AS output_tokens, n * 3 AS cache_read, concat('tu', conv_id, ':Bash') AS calls FROM g"),
-    "sse_fold": _of(_BODIES, "SELECT conv_id AS exchange_id, 'model-a' AS model, CASE WHEN n % 2 = 0 THEN n + 1 ELSE n END AS input_tokens, n * 7 AS output_tokens, CAST(NULL AS BIGINT) AS cache_write, n * 3 AS cache_read, 'end_turn' AS stop_reason, concat('tu', conv_id, ':Read') AS tool_calls FROM g"),
+    "response_summary": _of(_BODIES, "SELECT conv_id AS exchange_id, 'model-a-20251001' AS model, 'end_turn' AS stop_reason, chars AS input_tokens, n * 2 AS output_tokens, n * 3 AS cache_read, concat('tu', conv_id, ':Bash') AS calls FROM g"),
+    "sse_fold": _of(_BODIES, "SELECT conv_id AS exchange_id, 'model-a' AS model, CASE WHEN n % 2 = 0 THEN chars + 1 ELSE chars END AS input_tokens, n * 7 AS output_tokens, CAST(NULL AS BIGINT) AS cache_write, n * 3 AS cache_read, 'end_turn' AS stop_reason, concat('tu', conv_id, ':Read') AS tool_calls FROM g"),
     "cache_write_split": _of(_LOG, "SELECT seq, CASE WHEN cache_write_1h IS NULL THEN cache_write ELSE cache_write_5m END AS w5m, coalesce(cache_write_1h, 0) AS w1h FROM fx WHERE input_tokens IS NOT NULL"),
     "window_turns": _of(_PRICED, f"SELECT tenant_id, {_DAY}, turn_key, (epoch_us(started_at) // 1000) AS started_at, model FROM priced WHERE started_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12 18:00:00' AND priced.day BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'"),
     "plausible_events": _of(_LOG, "SELECT (seq // 10) % 100 NOT IN (1, 2, 3) AS accepted, count(*) AS events FROM fx GROUP BY ALL"),
@@ -188,7 +227,7 @@ SELECT doc_id, CASE WHEN bytes > 101 THEN substr(text, 1, CAST(fit AS INT)) ELSE
     "archive_days": _of(_LOG, f"SELECT DISTINCT {_DAY} FROM ev"),
     "prune_verdict": _of(
         _PRICED,
-        f""", per AS (SELECT p.day, p.first_seq, count(c.id) AS refs FROM priced p LEFT JOIN call_rows c USING (tenant_id, day, turn_key) GROUP BY p.tenant_id, p.day, p.turn_key, p.first_seq)
+        f""", {_REFS}, per AS (SELECT p.day, p.first_seq, count(c.ref) AS refs FROM priced p LEFT JOIN refs c USING (tenant_id, day, turn_key) GROUP BY p.tenant_id, p.day, p.turn_key, p.first_seq)
 SELECT {_DAY}, count(*) FILTER (first_seq % 997 <> 0) AS archived_turns, count(*) AS rebuilt_turns, CAST(sum(refs) FILTER (first_seq % 997 <> 0) AS BIGINT) AS archived_refs, CAST(sum(refs) AS BIGINT) AS rebuilt_refs, count(*) FILTER (first_seq % 997 = 0) = 0 AS releasable FROM per GROUP BY per.day""",
     ).replace("\n,", ","),
     "late_days": _of(_LOG, f"SELECT {_DAY}, count(*) AS late_events FROM ev WHERE ev.day BETWEEN DATE '2024-01-01' AND DATE '2024-01-20' AND seq > 50000 GROUP BY ev.day"),
@@ -223,11 +262,12 @@ SELECT CASE WHEN place <= 2 THEN tool ELSE '(other)' END AS tool, least(place, 3
         """, r AS (SELECT model, count(*) AS turns, row_number() OVER (ORDER BY count(*) DESC, model) AS place, max(count(*)) OVER () AS top FROM priced WHERE model IS NOT NULL GROUP BY model)
 SELECT CASE WHEN place <= 3 THEN model ELSE '(other)' END AS model, least(place, 4) AS place, CAST(sum(turns) AS BIGINT) AS turns, CAST(sum(turns) AS DOUBLE) / max(top) AS scale FROM r GROUP BY 1, 2""",
     ).replace("\n,", ","),
-    "sessions_page_1": _page("ended_ms DESC, session_id DESC", 20),
-    "sessions_page_2": _page("ended_ms DESC, session_id DESC", 20, 20),
-    "sessions_by_cost": _page("units DESC, ended_ms DESC, session_id DESC", 15, 5),
-    "sessions_by_turns": _page("turns DESC, ended_ms DESC, session_id DESC", 15),
-    "sessions_by_errors": _page("errors DESC, ended_ms DESC, session_id DESC", 15),
+    "sessions_page_1": _page(_RECENT, 20),
+    "sessions_page_2": _page(_RECENT, 20, 20),
+    "sessions_page_index": _page(_RECENT, 40),
+    "sessions_by_cost": _page(f"units DESC, {_RECENT}", 15, 5),
+    "sessions_by_turns": _page(f"turns DESC, {_RECENT}", 15),
+    "sessions_by_errors": _page(f"errors DESC, {_RECENT}", 15),
     "turn_cost": _of(_PRICED, f"SELECT tenant_id, {_DAY}, turn_key, priced, CAST(units AS DOUBLE) / {UNIT} AS cost_usd FROM priced"),
     "cache_savings": _of(_PRICED, f"SELECT tenant_id, {_DAY}, turn_key, CAST(saved AS DOUBLE) / {UNIT} AS saved_usd FROM priced"),
     "error_turns": _of(_TURNS, f"SELECT tenant_id, {_DAY}, turn_key, error, status_code FROM turns WHERE error IS NOT NULL OR status_code >= 400"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -24,6 +26,7 @@ AS_OF = dt.datetime(2024, 1, 31, tzinfo=UTC)
 SINCE, TO = dt.datetime(2024, 1, 5, 6, 30, tzinfo=UTC), dt.datetime(2024, 1, 12, 18, tzinfo=UTC)
 FIRST, LAST = dt.date(2023, 12, 25), dt.date(2024, 1, 31)
 PROJECT = "/home/dev/src/proj3"
+PROJECT_ID = hashlib.sha256(PROJECT.encode()).hexdigest()[:12]
 
 
 def query(f: Callable) -> Callable:
@@ -34,7 +37,21 @@ def query(f: Callable) -> Callable:
 def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priced turns with their calls."""
     events = fx.events(spark, sf_dir)
-    return pricing.with_cost(turns.with_tool_calls(turns.build_turns(events), events), fx.rates(spark))
+    return pricing.with_cost(turns.with_tool_calls(turns.build_turns(events), events), fx.rates(spark), fx.raw_events(spark, sf_dir))
+
+
+def complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as the archive keeps them, built of the log as written."""
+    path = f"{work_dir(spark)}/log-{uuid.uuid4().hex}"
+    fx.content_events(spark, sf_dir).write.parquet(path)
+    return turns.full(spark.read.parquet(path), fx.rates(spark))
+
+
+def archived(spark: SparkSession, sf_dir: str) -> str:
+    """A new archive of the whole log."""
+    path = f"{work_dir(spark)}/archive-{uuid.uuid4().hex}"
+    archive.write_days(complete(spark, sf_dir), path)
+    return path
 
 
 def all_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +93,56 @@ def session_columns() -> list:
 # --- sources and the event log -------------------------------------------------------------------------------------------------
 @query
 def transcript_scan(spark, sf_dir):
-    """Writes the transcript lines as files and scans them."""
+    """Writes the transcript lines as files, scans and parses them."""
     from sessionmill.sources.transcripts import scan
 
     root = f"{work_dir(spark)}/transcripts-{uuid.uuid4().hex}"
-    made = fx.transcript(spark, sf_dir).select(F.col("line").alias("value"))
-    made.repartition(4).write.text(root)
-    return scan(spark, root, "*.txt").select(F.sha2("line", 256).alias("line_hash")).groupBy("line_hash").agg(F.count("*").alias("n"))
+    lines(spark, sf_dir).select("line").write.text(root)
+    return normalize.response_events(scan(spark, root, "*.txt")).select(*SCANNED)
+
+
+SCANNED = ["session_id", "turn_id", "message_id", "model", "input_tokens", "output_tokens", "cache_read"]
+
+
+def followed(spark, sf_dir, out: str, root: str) -> None:
+    """Lines written in two parts, each followed by a run of the stream."""
+    from sessionmill.sources.transcripts import TranscriptSource
+    from sessionmill.streaming import stream
+
+    spark.dataSource.register(TranscriptSource)
+    for part in (0, 1):
+        lines(spark, sf_dir).where(F.col("event_id") % 2 == part).select("line").write.mode("append").text(root)
+        source = spark.readStream.format("transcripts").option("path", root).option("suffix", ".txt").load()
+        stream.follow(source, out, f"{out}/at").awaitTermination()
+
+
+@query
+def transcript_follow(spark, sf_dir):
+    """The transcript lines through the streaming source, in two runs that share a checkpoint."""
+    folder = f"{work_dir(spark)}/follow-{uuid.uuid4().hex}"
+    followed(spark, sf_dir, f"{folder}/out", f"{folder}/in")
+    return normalize.response_events(spark.read.parquet(f"{folder}/out/lines").select("line")).select(*SCANNED)
+
+
+@query
+def follow_coverage(spark, sf_dir):
+    """Coverage counters that the runs of the stream kept, summed."""
+    folder = f"{work_dir(spark)}/follow-{uuid.uuid4().hex}"
+    followed(spark, sf_dir, f"{folder}/out", f"{folder}/in")
+    return coverage.merge(spark.read.parquet(f"{folder}/out/coverage").drop("batch"))
+
+
+@query
+def rewind(spark, sf_dir):
+    """A new checkpoint reads every line again."""
+    from sessionmill.streaming import stream
+
+    folder = f"{work_dir(spark)}/follow-{uuid.uuid4().hex}"
+    followed(spark, sf_dir, f"{folder}/first", f"{folder}/in")
+    source = spark.readStream.format("transcripts").option("path", f"{folder}/in").option("suffix", ".txt").load()
+    stream.follow(source, f"{folder}/again", f"{folder}/again/at").awaitTermination()
+    run = lambda name: spark.read.parquet(f"{folder}/{name}/lines").agg(F.count("*").alias("n_lines")).select(F.lit(name).alias("run"), "n_lines")
+    return run("first").unionByName(run("again"))
 
 
 @query
@@ -156,10 +216,18 @@ def tool_result_text(spark, sf_dir):
     quoted = F.to_json(F.struct(F.col("text").alias("t")))
     bare = F.regexp_extract(quoted, r'^\{"t":(.*)\}$', 1)
     block = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text")), F.struct(F.lit("text").alias("type"), F.lit("").alias("text")), F.struct(F.lit("text").alias("type"), F.lit("end").alias("text"))))
-    raw = F.when(F.col("turn") % 3 == 0, bare).when(F.col("turn") % 3 == 1, block).otherwise('{"other":1}')
+    other = F.to_json(F.struct(F.col("text").alias("other")))
+    raw = F.when(F.col("turn") % 3 == 0, bare).when(F.col("turn") % 3 == 1, block).otherwise(other)
     return c.select("conv_id", "turn", fn.result_text(raw).alias("text"))
 
 
+@query
+def captured_content(spark, sf_dir):
+    """Blocks bounded to seven bytes: texts are cut, and long tool input moves to the text."""
+    b = normalize.captured_blocks(fx.content(spark, sf_dir), 7)
+    return b.select("conv_id", "turn", "kind", "text", "input", "truncated", "bytes")
+
+
 @query
 def truncate_content(spark, sf_dir):
     text, cut, size = fn.truncate_utf8(F.col("text"), 101)
@@ -242,6 +310,11 @@ def plausible_events(spark, sf_dir):
     return e.groupBy(normalize.plausible(e, AS_OF).alias("accepted")).agg(F.count("*").alias("events"))
 
 
+@query
+def tenant_scope(spark, sf_dir):
+    return archive.scope(fx.raw_events(spark, sf_dir), "acme").groupBy("type").agg(F.count("*").alias("events"))
+
+
 @query
 def tenant_partition_audit(spark, sf_dir):
     e = fx.raw_events(spark, sf_dir).withColumn("part", F.when(F.col("seq") % 1000 == 0, "acme").otherwise(F.col("tenant_id")))
@@ -256,7 +329,7 @@ def _search(name: str, text: str) -> None:
     QUERIES[name] = run
 
 
-SEARCHES = {"search_any": "proj3", "search_project": "project:proj2", "search_branch": "branch:feature", "search_id": "id:s1", "search_model": "model:mini", "search_tool": "tool:bash", "search_has": "has:errors", "search_numeric": "cost:>0.5", "search_compound": 'model:model-b turns:>8 has:tools "s2"', "search_projectid": "projectid:" + hashlib.sha256(PROJECT.encode()).hexdigest()[:12].upper()}
+SEARCHES = {"search_any": "proj3", "search_project": "project:proj2", "search_branch": "branch:feature", "search_id": "id:s1", "search_model": "model:mini", "search_tool": "tool:bash", "search_has": "has:errors", "search_numeric": "cost:>0.5", "search_compound": 'model:model-b turns:>8 has:tools "s2"', "search_projectid": "projectid:" + PROJECT_ID.upper()}
 for _name, _text in SEARCHES.items():
     _search(_name, _text)
 
@@ -277,9 +350,10 @@ def rate_lookup(spark, sf_dir):
 
 @query
 def session_detail(spark, sf_dir):
-    t = priced(spark, sf_dir)
-    days = rollups.rollup_session_day(t).where("session_id = 's7'").select("tenant_id", "day", "session_id")
-    return ses.turn_sequence(t.join(days, ["tenant_id", "day", "session_id"], "left_semi")).select("tenant_id", "session_id", "turn_key", ms("started_at"), "model", F.col("place").cast("long").alias("place"))
+    """One session from the archive, by the days that the session-day rollup names."""
+    path = archived(spark, sf_dir)
+    found = ses.detail(archive.read_table(spark, path, "turns"), archive.read_table(spark, path, "by_session"), "s7")
+    return found.select("tenant_id", "session_id", "turn_key", ms("started_at"), "model", F.col("place").cast("long").alias("place"))
 
 
 @query
@@ -308,6 +382,25 @@ def turn_tool_calls(spark, sf_dir):
     return c.select("tenant_id", day(), "turn_key", fn.joined(F.transform("calls", lambda x: F.concat(x["id"], F.lit(":"), x["name"]))).alias("calls"))
 
 
+@query
+def turn_content(spark, sf_dir):
+    c = turns.content_refs(fx.content_events(spark, sf_dir))
+    return c.select("tenant_id", day(), "turn_key", fn.joined(F.col("content_blobs")).alias("content_blobs"))
+
+
+@query
+def priced_models(spark, sf_dir):
+    """The rates that the log's models use."""
+    used = pricing.rate_of(fx.raw_events(spark, sf_dir), fx.rates(spark)).select(F.col("matched_prefix").alias("model_prefix"))
+    return pricing.priced_models(used)
+
+
+@query
+def token_total(spark, sf_dir):
+    t = turns.build_turns(fx.events(spark, sf_dir))
+    return t.select("tenant_id", day(), "turn_key", fn.token_total(*[F.col(c) for c in ("input_tokens", "output_tokens", "cache_write", "cache_read")]).alias("tokens"))
+
+
 @query
 def sessions(spark, sf_dir):
     return all_sessions(spark, sf_dir).select(*session_columns())
@@ -372,8 +465,7 @@ def daily_series(spark, sf_dir):
 @query
 def project_daily(spark, sf_dir):
     t = priced(spark, sf_dir)
-    pid = hashlib.sha256(PROJECT.encode()).hexdigest()[:12]
-    return windowed.project_daily(t, rollups.rollup_project(t), pid, SINCE, TO).select(day(), "sessions", "turns", "errors", *TOKENS, "cost_usd")
+    return windowed.project_daily(t, rollups.rollup_project(t), PROJECT_ID, SINCE, TO).select(day(), "sessions", "turns", "errors", *TOKENS, "cost_usd")
 
 
 @query
@@ -382,20 +474,14 @@ def dashboard_stats(spark, sf_dir):
     return windowed.dashboard(t, rollups.rollup_project(t), SINCE, TO).select("project_id", "project", "sessions", "turns", "errors", "cost_usd", "hit_rate")
 
 
-def project_turns(spark, sf_dir):
-    return priced(spark, sf_dir).withColumn("pid", project_of(PROJECT)).where("project_id = pid")
-
-
 @query
 def project_models(spark, sf_dir):
-    t = project_turns(spark, sf_dir)
-    return t.where("model is not null").groupBy("model").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "model")
+    return projects.counts(priced(spark, sf_dir), PROJECT_ID, "model")
 
 
 @query
 def project_tools(spark, sf_dir):
-    calls = project_turns(spark, sf_dir).select(F.explode("calls").alias("call")).select(F.col("call.name").alias("tool"))
-    return calls.groupBy("tool").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tool")
+    return projects.tool_counts(priced(spark, sf_dir), PROJECT_ID)
 
 
 @query
@@ -441,6 +527,48 @@ def coverage_merge(spark, sf_dir):
     return coverage.merge(coverage.counts(run), coverage.counts(run.where("event_id % 2 = 0")), coverage.unknown(run))
 
 
+@query
+def compacted_days(spark, sf_dir):
+    """Compaction of the days that are not done, then of all days again."""
+    t, path = complete(spark, sf_dir), f"{work_dir(spark)}/archive-{uuid.uuid4().hex}"
+    runs = []
+    for run, done in (("missing", done_days(spark)), ("all", None)):
+        archive.compact(t, f"{path}/{run}", AS_OF, done)
+        read = archive.read_table(spark, f"{path}/{run}", "day")
+        runs.append(read.select(F.lit(run).alias("run"), "tenant_id", day(), "sessions", "turns", "errors", *TOKENS, *money()))
+    return runs[0].unionByName(runs[1])
+
+
+@query
+def consolidated_rollups(spark, sf_dir):
+    path = archived(spark, sf_dir)
+    archive.consolidate(spark, path)
+    return archive.read_rollup(spark, path, "by_model").select("tenant_id", day(), "model", "turns", *TOKENS, *money())
+
+
+@query
+def archive_columns(spark, sf_dir):
+    """A narrow read of the archive: three of its columns."""
+    t = archive.read_table(spark, archived(spark, sf_dir), "turns")
+    return t.groupBy("tenant_id", "model").agg(F.count("*").alias("turns"), F.sum("output_tokens").alias("output_tokens"))
+
+
+@query
+def additive_schema(spark, sf_dir):
+    """The session-day rollup of an archive whose older days were written before it existed."""
+    t = archive.read_table(spark, archived(spark, sf_dir), "turns")
+    newer = rollups.rollup_session_day(t.where("day > '2024-01-10'"))
+    return archive.complete_session_days(newer, t).select("tenant_id", day(), "session_id", "turns", ms("first_at"), ms("last_at"))
+
+
+@query
+def archive_rows(spark, sf_dir):
+    """Turns to flat archive rows and back."""
+    t = archive.from_rows(archive.to_rows(complete(spark, sf_dir)))
+    names = fn.joined(F.transform("calls", lambda c: c["name"])).alias("calls")
+    return t.select("tenant_id", day(), "turn_key", "session_id", "model", ms("started_at"), "status_code", "duration_ms", "error", "pending", "project_id", *TOKENS, names, F.size("content_blobs").cast("long").alias("n_content"), "priced", pricing.dollars(F.col("cost_units")).alias("cost_usd"))
+
+
 @query
 def archive_summary(spark, sf_dir):
     return archive.summary(priced(spark, sf_dir)).select("days", day("first_day"), day("last_day"), "turns", "most_turns")
@@ -454,7 +582,7 @@ def archive_days(spark, sf_dir):
 
 @query
 def prune_verdict(spark, sf_dir):
-    t = priced(spark, sf_dir).withColumn("refs", F.size("calls"))
+    t = complete(spark, sf_dir).withColumn("refs", F.size("content_blobs"))
     return archive.prune_verdict(t.where("first_seq % 997 <> 0"), t).select(day(), "archived_turns", "rebuilt_turns", "archived_refs", "rebuilt_refs", "releasable")
 
 
@@ -554,8 +682,21 @@ def sessions_page_1(spark, sf_dir):
 def sessions_page_2(spark, sf_dir):
     """The page after the first, by the cursor of its last row."""
     s = all_sessions(spark, sf_dir)
-    last = listing.recent(s, 20).orderBy("ended_ms", "session_id").first()
-    return listing.recent(s, 20, (last["ended_ms"], last["session_id"]) if last else None).select(*PAGE)
+    return listing.recent(s, 20, cursor(listing.recent(s, 20))).select(*PAGE)
+
+
+def cursor(page: DataFrame) -> tuple | None:
+    last = page.orderBy(*listing.CURSOR).first()
+    return tuple(last[c] for c in listing.CURSOR) if last else None
+
+
+@query
+def sessions_page_index(spark, sf_dir):
+    """The first two pages from the archive, by the session-day rollup."""
+    path = archived(spark, sf_dir)
+    by_session, t = archive.read_table(spark, path, "by_session"), archive.read_table(spark, path, "turns")
+    first = listing.recent_archived(by_session, t, 20)
+    return first.unionByName(listing.recent_archived(by_session, t, 20, cursor(first))).select(*PAGE)
 
 
 @query
@@ -586,23 +727,22 @@ def cache_savings(spark, sf_dir):
 
 @query
 def error_turns(spark, sf_dir):
-    t = turns.build_turns(fx.events(spark, sf_dir))
-    return t.where(fn.failed(F.col("error"), F.col("status_code"))).select("tenant_id", day(), "turn_key", "error", "status_code")
+    return turns.failures(turns.build_turns(fx.events(spark, sf_dir))).select("tenant_id", day(), "turn_key", "error", "status_code")
 
 
 @query
 def unattributed_turns(spark, sf_dir):
     e = fx.events(spark, sf_dir).withColumn("user_id", F.when(F.col("session_id").endswith("7"), F.col("session_id")))
-    t = turns.build_turns(e)
-    return t.where(~fn.attributed(F.col("tenant_id"), F.col("user_id"))).select("tenant_id", day(), "turn_key")
+    return turns.unattributed(turns.build_turns(e)).select("tenant_id", day(), "turn_key")
 
 
 # --- streams -------------------------------------------------------------------------------------------------------------------
 def work_dir(spark: SparkSession) -> str:
-    """Folder for what a query has to write: the shared one, or a new one where none is set."""
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+    """Folder for what a query has to write: the shared one, or in local mode a new one where none is set."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (known or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
 
 
 @query
@@ -610,8 +750,38 @@ def tumbling_day_stream(spark, sf_dir):
     """The event log streamed from Parquet, counted by day."""
     from sessionmill.streaming import stream
 
-    run = uuid.uuid4().hex
-    folder = f"{work_dir(spark)}/stream-{run}"
+    folder = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     fx.raw_events(spark, sf_dir).select("ts", "type", "seq").write.parquet(f"{folder}/in")
     source = spark.readStream.schema("ts timestamp, type string, seq bigint").parquet(f"{folder}/in")
-    return stream.drain(stream.tumbling_days(source, "40 days"), f"days_{run}", f"{folder}/at", "complete").select(day(), "type", "events")
+    return stream.drain(stream.tumbling_days(source, "40 days"), folder, "complete").select(day(), "type", "events")
+
+
+@query
+def incremental_ship(spark, sf_dir):
+    """The log shipped in two runs, then whole to a second destination; each event once, content never."""
+    from sessionmill.streaming import stream
+
+    folder = f"{work_dir(spark)}/ship-{uuid.uuid4().hex}"
+    log = fx.content_events(spark, sf_dir)
+    for late in (False, True):
+        log.where((F.col("ts") >= F.lit("2024-01-15").cast("timestamp")) == late).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(log.schema).parquet(f"{folder}/in")
+        stream.ship(source, f"{folder}/a", f"{folder}/at").awaitTermination()
+    stream.ship(source, f"{folder}/b", f"{folder}/at").awaitTermination()
+    sent = lambda name: spark.read.parquet(f"{folder}/{name}").groupBy("type").agg(F.count("*").alias("events")).select(F.lit(name).alias("destination"), "type", "events")
+    return sent("a").unionByName(sent("b"))
+
+
+@query
+def stream_turns(spark, sf_dir):
+    """The day rollup of an archive that a stream of events keeps up to date, in two micro-batches that touch the same days."""
+    from sessionmill.streaming import stream
+
+    folder = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    log = fx.content_events(spark, sf_dir)
+    log.repartition(2).write.parquet(f"{folder}/in")
+    written = spark.read.schema(log.schema).parquet(f"{folder}/in")
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    read_day = lambda days: written.join(F.broadcast(days), F.to_date("ts") == days["day"], "left_semi")
+    stream.keep_days(source, read_day, f"{folder}/archive", f"{folder}/at", fx.rates(spark)).awaitTermination()
+    return archive.read_table(spark, f"{folder}/archive", "day").select("tenant_id", day(), "sessions", "turns", "errors", "unpriced", *TOKENS, *money())

@@ -19,6 +19,7 @@ EVENT = T.StructType(
         *[T.StructField(c, T.StringType()) for c in ("stop_reason", "request_blob", "response_blob", "error")],
         *[T.StructField(c, T.LongType()) for c in ("input_tokens", "output_tokens", "cache_write", "cache_read", "cache_write_5m", "cache_write_1h", "reasoning_tokens")],
         T.StructField("tool_calls", T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType())]))),
+        *[T.StructField(c, T.StringType()) for c in ("content_ref", "tool_use_id")],
     ]
 )
 

@@ -78,9 +78,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(EVENT.fieldNames())
 
 
+def content_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log with content: a text of each response, and the results of calls, some of which name a call that nobody made."""
+    e = events(spark, sf_dir)
+    said = e.where("type = 'response'")
+    text = said.withColumns({"type": F.lit("content"), "seq": F.col("seq") + 1_000_000_000_000, "content_ref": F.sha2(F.concat_ws("/", "turn_id", F.col("seq") % 10), 256)})
+    results = said.where("tool_calls is not null").withColumn("call", F.when(F.col("seq") % 70 == 0, "nobody").otherwise(F.col("tool_calls")[0]["id"]))
+    results = results.withColumns({"type": F.lit("content"), "seq": F.col("seq") + 2_000_000_000_000, "tool_use_id": F.col("call"), "content_ref": F.sha2(F.concat(F.col("call"), F.lit("r")), 256)})
+    return e.unionByName(text.select(e.columns)).unionByName(results.select(e.columns))
+
+
 def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(line, path, mtime, event_id): transcript lines of the log's responses and errors, some of them odd by event_id % 50."""
-    e = raw_events(spark, sf_dir).where("type in ('response', 'error') and seq % 10 in (1, 4, 5)").withColumn("event_id", F.floor(F.col("seq") / 10))
+    """(line, path, mtime, event_id): transcript lines of the log's responses, repeated ones too, and errors, some odd by event_id % 50."""
+    e = raw_events(spark, sf_dir).where("type in ('response', 'error')").withColumn("event_id", F.floor(F.col("seq") / 10))
     odd = F.col("event_id") % 50
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     usage = F.when(
@@ -148,11 +158,11 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(exchange_id, request_body, response_body, sse): captured bodies of conversations."""
     c = read(spark, sf_dir, "conversations")
     said = F.sort_array(F.collect_list(F.when(F.col("role") != "system", F.struct("turn", "role", F.col("text").alias("content")))))
-    g = c.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "system", F.col("text"))).alias("system"), said.alias("m"), F.count("*").alias("n"))
+    g = c.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "system", F.col("text"))).alias("system"), said.alias("m"), F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.coalesce(F.max_by("text", "turn"), F.lit("")).alias("said"))
     body = F.struct(F.lit("model-a").alias("model"), (F.col("n") % 2 == 0).alias("stream"), (F.col("n") * 100).alias("max_tokens"), "system", F.transform("m", lambda x: F.struct(x["role"], x["content"])).alias("messages"), F.array(F.struct(F.lit("Bash").alias("name")), F.struct(F.lit("Read").alias("name"))).alias("tools"))
     request = F.when(F.col("conv_id") % 10 == 3, F.lit("{broken")).otherwise(F.to_json(body))
-    usage = F.struct(F.col("n").alias("input_tokens"), (F.col("n") * 2).alias("output_tokens"), (F.col("n") * 3).alias("cache_read_input_tokens"))
-    reply = F.to_json(F.struct(F.lit("model-a-20251001").alias("model"), F.lit("end_turn").alias("stop_reason"), F.array(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("tu"), "conv_id").alias("id"), F.lit("Bash").alias("name"))).alias("content"), usage.alias("usage")))
+    usage = F.struct(F.col("chars").alias("input_tokens"), (F.col("n") * 2).alias("output_tokens"), (F.col("n") * 3).alias("cache_read_input_tokens"))
+    reply = F.to_json(F.struct(F.lit("model-a-20251001").alias("model"), F.lit("end_turn").alias("stop_reason"), F.array(F.struct(F.lit("text").alias("type"), F.col("said").alias("text"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name")), F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("tu"), "conv_id").alias("id"), F.lit("Bash").alias("name"))).alias("content"), usage.alias("usage")))
     frame = lambda j: F.concat(F.lit("data: "), j)
     sse = F.concat_ws(
         "\n",
@@ -161,24 +171,24 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         frame(F.lit('{"type":"ping"}')),
         frame(F.to_json(F.struct(F.lit("content_block_start").alias("type"), F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("tu"), "conv_id").alias("id"), F.lit("Read").alias("name")).alias("content_block")))),
         frame(F.lit("{malformed")),
+        frame(F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.struct(F.lit("text_delta").alias("type"), F.col("said").alias("text")).alias("delta")))),
         frame(F.to_json(F.struct(F.lit("message_delta").alias("type"), F.struct(F.lit("tool_use").alias("stop_reason")).alias("delta"), F.struct((F.col("n") * 5).alias("output_tokens")).alias("usage")))),
-        frame(F.to_json(F.struct(F.lit("message_delta").alias("type"), F.struct(F.lit("end_turn").alias("stop_reason")).alias("delta"), F.struct((F.col("n") * 7).alias("output_tokens"), F.when(F.col("n") % 2 == 0, F.col("n") + 1).alias("input_tokens")).alias("usage")))),
+        frame(F.to_json(F.struct(F.lit("message_delta").alias("type"), F.struct(F.lit("end_turn").alias("stop_reason")).alias("delta"), F.struct((F.col("n") * 7).alias("output_tokens"), F.when(F.col("n") % 2 == 0, F.col("chars") + 1).alias("input_tokens")).alias("usage")))),
         frame(F.lit("[DONE]")),
     )
     return g.select(F.col("conv_id").alias("exchange_id"), "n", request.alias("request_body"), reply.alias("response_body"), sse.alias("sse"))
 
 
 def bench_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An event log of the size of lineitem: a response a line, orders as sessions, lines of one number as repeated observations."""
-    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("cust"))
-    li = read(spark, sf_dir, "lineitem").join(o, "l_orderkey")
+    """An event log of the size of lineitem over 365 days: a response a line, some orders together a session of about a dozen turns."""
+    li = read(spark, sf_dir, "lineitem").withColumn("cust", F.floor(F.col("l_orderkey") / 12))
     models = F.array(*[F.lit(m) for m in ("model-a", "model-a-20251001", "model-a-mini", "model-b", "other-llm")])
     tools = F.array(*[F.lit(t) for t in ("Bash", "Read", "Edit", "Grep", "Write")])
     quantity = F.col("l_quantity").cast("long")
     made = li.select(
         F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"),
         F.lit("response").alias("type"),
-        (F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(mins=F.col("l_linenumber"))).alias("ts"),
+        (F.lit("2023-01-01").cast("timestamp") + F.make_dt_interval(days=F.pmod(F.xxhash64("cust"), F.lit(365)).cast("int"), hours=F.lit(9), mins=F.pmod(F.col("l_orderkey"), F.lit(12)).cast("int") * 8 + F.col("l_linenumber"))).alias("ts"),
         F.concat(F.lit("s"), "cust").alias("session_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("turn_id"),
         F.when(F.col("cust") % 2 == 0, "acme").otherwise("globex").alias("tenant_id"),

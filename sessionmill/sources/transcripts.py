@@ -2,42 +2,49 @@
 
 from __future__ import annotations
 
+import io
 import json
-import os
 from collections.abc import Iterator
 
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 
-def scan(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(line, path, mtime) of every file below root whose name fits the pattern."""
+def scan(spark: SparkSession, root: str, pattern: str = "*.jsonl", oldest_first: bool = False) -> DataFrame:
+    """(line, path, mtime) of every file below root whose name fits the pattern; a root that isn't there has no lines."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "line string, path string, mtime timestamp")
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
-    return lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"))
+    found = lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"))
+    return found.orderBy("mtime", "path") if oldest_first else found
+
+
+#: A file's growth is read in pieces of so many bytes.
+PIECE = 64 << 20
 
 
 class _Piece(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, first: int, start: int, end: int):
+        self.path, self.first, self.start, self.end = path, first, start, end
 
 
 class _Reader(DataSourceStreamReader):
-    """Offsets are bytes by path. Only whole lines are handed out; a file that has shrunk starts again at 0."""
+    """Offsets are bytes by path. Only whole lines are handed out; a file that has shrunk starts again at 0. Files are listed and
+    read through Arrow's file systems, so the root may be a local path or the URI of a shared store."""
 
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self, root: str, suffix: str):
+        self.root, self.suffix = root, suffix
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        found = {}
-        for folder, _, names in os.walk(self.root):
-            for name in names:
-                if name.endswith(".jsonl"):
-                    path = os.path.join(folder, name)
-                    found[path] = _last_line_end(path)
+        files, root = pa_fs.FileSystem.from_uri(self.root)
+        listed = files.get_file_info(pa_fs.FileSelector(root, allow_not_found=True, recursive=True))
+        found = {f.path: _last_line_end(files, f.path, f.size) for f in listed if f.is_file and f.base_name.endswith(self.suffix)}
         return {"at": json.dumps(found, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
@@ -45,23 +52,30 @@ class _Reader(DataSourceStreamReader):
         pieces = []
         for path, size in sorted(after.items()):
             at = before.get(path, 0)
-            if size != at:
-                pieces.append(_Piece(path, 0 if size < at else at, size))
+            first = 0 if size < at else at
+            pieces += [_Piece(path, first, s, min(size, s + PIECE)) for s in range(first, size, PIECE) if size != at]
         return pieces
 
     def read(self, partition: _Piece) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            f.seek(partition.start)
+        """The lines that start in the piece."""
+        files, _ = pa_fs.FileSystem.from_uri(self.root)
+        with files.open_input_file(partition.path) as raw:
+            f = io.BufferedReader(raw, 1 << 20)
             at = partition.start
+            if at > partition.first:
+                f.seek(at - 1)
+                at += len(f.readline()) - 1
+            else:
+                f.seek(at)
             while at < partition.end and (line := f.readline()):
                 yield line.decode("utf-8", "replace").rstrip("\n"), partition.path, at
                 at += len(line)
 
 
-def _last_line_end(path: str, step: int = 1 << 16) -> int:
+def _last_line_end(files: pa_fs.FileSystem, path: str, size: int, step: int = 1 << 16) -> int:
     """Bytes up to and with the last line break."""
-    with open(path, "rb") as f:
-        at = f.seek(0, 2)
+    with files.open_input_file(path) as f:
+        at = size
         while at > 0:
             start = max(0, at - step)
             f.seek(start)
@@ -73,7 +87,7 @@ def _last_line_end(path: str, step: int = 1 << 16) -> int:
 
 
 class TranscriptSource(DataSource):
-    """``spark.readStream.format("transcripts").option("path", root)``: (line, path, byte_offset). The root is a file system that all executors mount."""
+    """``spark.readStream.format("transcripts").option("path", root)``: (line, path, byte_offset). ``suffix`` (.jsonl) tells the files."""
 
     @classmethod
     def name(cls) -> str:
@@ -83,4 +97,4 @@ class TranscriptSource(DataSource):
         return "line string, path string, byte_offset bigint"
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], self.options.get("suffix", ".jsonl"))

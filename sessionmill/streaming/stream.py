@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sessionmill.operators import archive, turns
+from sessionmill.operators import archive, coverage, turns
 
 
 def tumbling_days(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -22,20 +23,49 @@ def shippable(events: DataFrame, overlap: str = "1 hour") -> DataFrame:
     return events.where("type <> 'content'").withWatermark("ts", overlap).dropDuplicatesWithinWatermark(keys)
 
 
-def keep_days(events: DataFrame, read_day: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Recompacts the days that each micro-batch touches. read_day: all events of the given days, the batch's among them. No state is kept between batches."""
+def keep_days(events: DataFrame, read_day: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, rates: DataFrame) -> StreamingQuery:
+    """Recompacts the days that each micro-batch touches, turns and rollups as batch compaction writes them, priced and with their
+    calls and content. read_day: all events of the given days, the batch's among them. No state is kept between batches."""
 
     def upsert(batch: DataFrame, _: int) -> None:
         days = batch.select(F.to_date("ts").alias("day")).where("day is not null").distinct()
         merged = read_day(days)
-        archive.write_turns(turns.build_turns(merged), path)
+        archive.write_days(turns.full(merged, rates), path, days)
 
     return events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that a stream has so far, as a batch table (for queries and tests)."""
+def destination_checkpoint(root: str, destination: str) -> str:
+    """Where the progress of shipping to a destination is kept: a new destination starts from the beginning."""
+    return f"{root.rstrip('/')}/{hashlib.sha256(destination.encode()).hexdigest()[:16]}"
+
+
+def ship(events: DataFrame, destination: str, checkpoints: str, overlap: str = "1 hour") -> StreamingQuery:
+    """Appends events to the destination (a Parquet folder), each once within the overlap; goes on where it stopped."""
+    out = shippable(events, overlap).writeStream.format("parquet").option("path", destination)
+    return out.option("checkpointLocation", destination_checkpoint(checkpoints, destination)).trigger(availableNow=True).start()
+
+
+def follow(lines: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Transcript lines into out/lines and their coverage counters into out/coverage, a folder a batch, so that a batch that is
+    run again replaces itself. Without ``once`` it polls every two seconds. A new checkpoint and out reads all from the start."""
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        kept = f"{out}/lines/batch={number}"
+        batch.write.mode("overwrite").parquet(kept)
+        written = batch.sparkSession.read.schema(batch.schema).parquet(kept)
+        coverage.coverage(written).write.mode("overwrite").parquet(f"{out}/coverage/batch={number}")
+
+    writer = lines.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    return (writer.trigger(once=True) if once else writer.trigger(processingTime="2 seconds")).start()
+
+
+def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """All that a stream has so far, as a batch table in path; ``complete`` results replace each other."""
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/{'all' if mode == 'complete' else f'batch={number}'}")
+
+    stream.writeStream.foreachBatch(upsert).outputMode(mode).option("checkpointLocation", f"{path}/at").trigger(availableNow=True).start().awaitTermination()
     spark: SparkSession = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    return spark.read.option("recursiveFileLookup", "true").schema(stream.schema).parquet(f"{path}/out")

@@ -186,8 +186,15 @@ def test_pages_equal_the_whole_list(spark):
     seen, after = [], None
     while page := listing.recent(s, 2, after).collect():
         seen += [r["session_id"] for r in page]
-        after = (page[-1]["ended_ms"], page[-1]["session_id"])
+        after = tuple(page[-1][c] for c in listing.CURSOR)
     assert seen == whole and len(whole) == 9
+    # two tenants with sessions of equal ids and ends
+    tied = s.unionByName(s.withColumn("tenant_id", F.lit("other")))
+    seen, after = [], None
+    while page := listing.recent(tied, 5, after).collect():
+        seen += [(r["tenant_id"], r["session_id"]) for r in page]
+        after = tuple(page[-1][c] for c in listing.CURSOR)
+    assert len(seen) == len(set(seen)) == 18
     assert [r["turns"] for r in listing.ranked(s, "turns", 3).collect()] == [4, 4, 4]
     assert [r["session_id"] for r in listing.ranked(s, "nonsense", 3).collect()] == whole[:3]
     assert listing.page_size(0) == 50 and listing.page_size(9999) == 500
@@ -245,6 +252,52 @@ def test_plausible_and_identity(spark):
     assert {r["tenant_id"] for r in normalize.overwrite_identity(e, {"tenant_id": "x"}).collect()} == {"x"}
 
 
+def test_content_refs(spark):
+    """Own content in order of arrival, repeats kept; results behind it; a result of another day or of no call is dropped."""
+    later = T0 + dt.timedelta(days=1)
+    rows = [
+        {"type": "content", "ts": T0, "turn_id": "t", "content_ref": "b"},
+        {"type": "content", "ts": T0, "turn_id": "x", "tool_use_id": "a", "content_ref": "r"},
+        {"type": "response", "ts": T0, "turn_id": "t", "tool_calls": [("a", "Bash")], **usage(1)},
+        {"type": "content", "ts": T0, "turn_id": "t", "content_ref": "a"},
+        {"type": "content", "ts": T0, "turn_id": "t", "content_ref": "a"},
+        {"type": "content", "ts": later, "turn_id": "y", "tool_use_id": "a", "content_ref": "late"},
+        {"type": "content", "ts": T0, "turn_id": "z", "tool_use_id": "nobody", "content_ref": "lost"},
+    ]
+    events = log(spark, rows)
+    t = one(turns.full(events, rates(spark)))
+    assert t["content_blobs"] == ["b", "a", "a", "r"] and not t["pending"]
+    back = one(archive.from_rows(archive.to_rows(turns.full(events, rates(spark)))))
+    assert [tuple(c) for c in back["calls"]] == [(None, "Bash")] and back["content_blobs"] == t["content_blobs"] and back["cost_units"] == t["cost_units"]
+
+
+def test_capture(spark):
+    df = spark.createDataFrame([("héllo", None), ("ab", '{"long":"input"}'), ("ab", "{}"), (None, None)], "t string, i string")
+    got = df.select(*[c.alias(n) for c, n in zip(fn.captured(F.col("t"), F.col("i"), 3), ("text", "input", "cut", "bytes"), strict=True)]).collect()
+    assert [tuple(r) for r in got] == [("hé", None, True, 6), ('{"l', None, True, 16), ("ab", "{}", False, 2), (None, None, False, 0)]
+
+
+def test_scope_and_first_page(spark):
+    for bad in ("", "A", "a/b", "_a", "a__b", "x" * 65):
+        with pytest.raises(ValueError):
+            archive.scope(spark.range(1), bad)
+    t = day_log(spark, 3, 7, 2)
+    page = lambda f: [(r["session_id"], r["turns"], r["cost_units"]) for r in f.collect()]
+    by_session = rollups.rollup_session_day(t)
+    first = listing.recent(ses.sessions(t), 3)
+    assert page(listing.recent_archived(by_session, t, 3)) == page(first)
+    after = tuple(first.collect()[-1][c] for c in listing.CURSOR)
+    assert page(listing.recent_archived(by_session, t, 3, after)) == page(listing.recent(ses.sessions(t), 3, after))
+
+
+def test_median(spark):
+    import statistics
+
+    for costs in ([3.0], [1.0, 2.0], [5.0] * 4000 + [1.0] * 3000, [float(i % 997) for i in range(5001)], [float(i) for i in range(4000)]):
+        assert one(projects.median_cost(spark.createDataFrame([(c,) for c in costs], "cost_usd double")))["median_cost"] == statistics.median(costs)
+    assert one(projects.median_cost(spark.createDataFrame([], "cost_usd double")))["median_cost"] == 0.0
+
+
 def test_event_dedupe(spark):
     e = log(spark, [{"ts": T0, "turn_id": "a"}, {"ts": T0, "turn_id": "a"}, {"ts": T0, "turn_id": "b"}])
     kept = turns.dedupe_events(e)
