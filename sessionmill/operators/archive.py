@@ -17,6 +17,10 @@ def eligible_days(events: DataFrame, done: DataFrame, as_of: dt.datetime) -> Dat
     return days.where(F.col("day") < F.lit(as_of.date())).join(done, "day", "left_anti")
 
 
+#: A tenant's day of more turns is written by several tasks, each about so many.
+ROWS = 2_000_000
+
+
 def write_days(turns: DataFrame, path: str, days: DataFrame | None = None) -> None:
     """Writes turns and the five rollups of the given days (all by default); a day that is written again is replaced.
 
@@ -26,13 +30,23 @@ def write_days(turns: DataFrame, path: str, days: DataFrame | None = None) -> No
     write_turns(turns if chosen is None else turns.where(chosen), path)
     written = read_table(turns.sparkSession, path, "turns")
     written = written.select(*[F.col(c).cast(turns.schema[c].dataType) for c in turns.columns])
-    for name, frame in rollups.rollups(written if chosen is None else written.where(chosen)).items():
-        _write(frame, f"{path}/{name}", "day")
-
-
-def _write(frame: DataFrame, path: str, *partitions: str) -> None:
-    """Replaces the partitions that frame holds. Rows are dealt by partition; a large one is split into tasks and files by size."""
-    dealt = frame.hint("rebalance", *[F.col(c) for c in partitions])
+    written = written if chosen is None else written.where(chosen)
+    sizes = written.groupBy("day").agg(F.count("*").alias("rows"))
+    keys = {"day": "tenant_id", "by_model": "model", "by_tool": "tool", "by_project": "project_id", "by_session": "session_id"}
+    for name, frame in rollups.rollups(written).items():
+        _write(frame, f"{path}/{name}", ["day"], keys[name], sizes)
+
+
+def _write(frame: DataFrame, path: str, partitions: list[str], key: str, sizes: DataFrame) -> None:
+    """Replaces the partitions that frame holds. Each is dealt to one task, one of more than ROWS (sizes tells) by key to several."""
+    spark = frame.sparkSession
+    large = [(*[r[c] for c in partitions], -(-r["rows"] // ROWS)) for r in sizes.where(F.col("rows") > ROWS).collect()]  # one in ROWS turns at most
+    salt = F.lit(0)
+    if large:
+        schema = ", ".join(f"{c} {frame.schema[c].dataType.simpleString()}" for c in partitions)
+        frame = frame.join(F.broadcast(spark.createDataFrame(large, f"{schema}, tasks long")), partitions, "left")
+        salt = F.pmod(F.xxhash64(key), F.coalesce("tasks", F.lit(1)))
+    dealt = frame.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *partitions, salt).drop("tasks")
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*partitions).parquet(path)
 
 
@@ -66,7 +80,7 @@ def complete_session_days(session_days: DataFrame, turns: DataFrame) -> DataFram
 
 def write_turns(turns: DataFrame, path: str) -> None:
     """Replaces the days that turns holds."""
-    _write(turns, f"{path}/turns", "tenant_id", "day")
+    _write(turns, f"{path}/turns", ["tenant_id", "day"], "turn_key", turns.groupBy("tenant_id", "day").agg(F.count("*").alias("rows")))
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
