@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,11 +18,13 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a new one where it is unset (tests)."""
     context = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known is None:
         has = context._jsc.sc().getCheckpointDir()
+        if not has.isDefined() and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = has.get() if has.isDefined() else tempfile.mkdtemp(prefix="spark-")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(known)
@@ -110,13 +113,19 @@ def batches(it: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Recor
             yield batch.slice(start, rows)
 
 
+HUB, HUBS = 64, 50_000
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node: (node, component).
 
     nodes: (node long); edges: (a long, b long), in any direction, with
     repeats. Alternates large-star and small-star steps until no edge changes;
     each step is a grouped minimum and a join, so no component is ever
-    gathered. A node without edges is its own component.
+    gathered. Neighbours of hubs (nodes of more than HUB edges, and of so many
+    that there are at most HUBS such nodes) find their minimum by a broadcast of
+    the hubs' minima and don't meet in one task. A node without edges is its own
+    component.
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = cut(both)
@@ -128,8 +137,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         before = signature
         # large star: each larger neighbour of a node goes to the smallest of its neighbourhood
         near = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"))
-        large = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = near.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"), F.count("*").alias("n"))
+        hubs = F.broadcast(least.where(F.col("n") > max(HUB, 2 * signature[0] // HUBS)).select("a", F.col("m").alias("hub_m")))  # HUBS rows at most
+        up = near.where("b > a").join(hubs, "a", "left")
+        rest = up.where("hub_m is null").select("a", "b").join(least.select("a", "m"), "a")
+        large = rest.unionByName(up.where("hub_m is not null").select("a", "b", F.col("hub_m").alias("m"))).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: each node and its smaller neighbours go to the smallest of these
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")

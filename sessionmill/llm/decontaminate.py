@@ -11,21 +11,27 @@ chunk's lightest terms that together stay below half the threshold are left out,
 and the sum over its other terms must reach the rest. That loses no passage. The
 windows left are queried by WAND with block maxima, which returns every chunk at
 or above the threshold. A hit counts if the text around it holds enough of the
-three-word runs of both the item's question (its words but the last third, or up
-to its last sentence) and its answer (the rest).
-
-Items are dealt to shards of at most ``SHARD`` chunks by id; one shard's index is
-what an executor holds at a time, so memory doesn't grow with the benchmark.
-Term statistics are those of a shard.
-
-Defined results: null or empty texts match nothing, as do items of fewer than
-``LEAST`` words. Repeated items are one item a text; repeated texts each match.
-Empty tables give an empty result. Columns of documents stay as they are.
+runs of three words (of all, where there are fewer) of both the item's question
+(its words but the last third, or up to its last sentence) and its answer (the
+rest). An item of fewer than ``WHOLE`` words must stand there as it is, in one run.
+
+Chunk counts of terms and the mean length are those of all items. Items are dealt
+to shards of about ``SHARD`` chunks, indexed by executors; one shard's index is
+what a process holds at a time, so memory doesn't grow with the benchmark, and
+results don't depend on the number of shards. Each shard is a pass over the texts.
+
+Defined results: null or empty texts match nothing, as do null items and those
+without a word. An item of one word has no answer, and its overlap is 1. Items with
+a null id are reported under a null item_id; items of one id are one item, whatever
+their texts, and hits in texts of one doc_id are one row, the highest score first
+(then the overlaps, then the later word). Empty tables give an empty result.
+Columns of documents stay as they are.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,23 +42,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import raw, small_batches, words
+from sessionmill.llm.common import raw, small_batches, table, words
 
-CHUNK, BLOCK, LEAST, SHARD = 48, 32, 8, 20_000
+CHUNK, BLOCK, WHOLE, SHARD = 48, 32, 8, 20_000
 THRESHOLD, OVERLAP, RUN = 0.5, 0.5, 3
 K1, B = 1.2, 0.4
 _SENTENCE_END = re.compile(rb"[.!?][\"')\]]*$")
 
 
 def split(item: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-    """Question and answer of an item: its last sentence is the answer if that is a tenth to a half of its words, else its last third."""
+    """Question and answer of an item: its last sentence is the answer if that is at most half of its words, else its last third."""
     ends = [i + 1 for i, w in enumerate(item[:-1]) if _SENTENCE_END.search(w)]
-    cut = ends[-1] if ends and 0.1 <= 1 - ends[-1] / len(item) <= 0.5 else len(item) - len(item) // 3
+    cut = ends[-1] if ends and 2 * ends[-1] >= len(item) else len(item) - len(item) // 3
     return item[:cut], item[cut:]
 
 
-def grams(found: list[bytes]) -> set[tuple[bytes, ...]]:
-    return {tuple(found[i : i + RUN]) for i in range(max(1, len(found) - RUN + 1))} if found else set()
+def grams(found: list[bytes], n: int) -> set[tuple[bytes, ...]]:
+    return {tuple(found[i : i + n]) for i in range(len(found) - n + 1)}
+
+
+def overlap(part: list[bytes], around: list[bytes]) -> float:
+    """Share of the part's runs of RUN words (of all its words, where there are fewer) that stand in ``around``."""
+    n = min(RUN, len(part))
+    runs = grams(part, n) if n else set()
+    return len(runs & grams(around, n)) / len(runs) if runs else 1.0
+
+
+def chunks(item: list[bytes]) -> list[Counter]:
+    """Terms of the even pieces of an item."""
+    n = math.ceil(len(item) / CHUNK)
+    return [Counter(item[i * len(item) // n : (i + 1) * len(item) // n]) for i in range(n)]
 
 
 class Postings:
@@ -66,26 +85,21 @@ class Postings:
 
 
 class Index:
-    """Inverted index of items: (item_id, words)."""
-
-    def __init__(self, items: list[tuple[int, list[bytes]]]):
-        self.items: list[tuple[int, set, set, int]] = []
-        self.owner: list[int] = []
-        chunks: list[Counter] = []
-        for item_id, item in items:
-            question, answer = split(item)
-            self.items.append((item_id, grams(question), grams(answer), len(item)))
-            n = math.ceil(len(item) / CHUNK)
-            for i in range(n):  # even pieces
-                chunks.append(Counter(item[i * len(item) // n : (i + 1) * len(item) // n]))
-                self.owner.append(len(self.items) - 1)
-        df = Counter(t for c in chunks for t in c)
-        mean = sum(map(Counter.total, chunks)) / max(1, len(chunks))
-        idf = {t: math.log(1 + (len(chunks) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    """Inverted index of items: (item_id, words). df: chunks that hold a term, count: all chunks, mean: their mean length (by
+    default those of the items)."""
+
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], df: dict[bytes, int] | None = None, count: int = 0, mean: float = 0.0):
+        self.items = [(item_id, item, *split(item)) for item_id, item in items]
+        self.owner = [i for i, (_, item) in enumerate(items) for _ in range(math.ceil(len(item) / CHUNK))]
+        cut = [c for _, item in items for c in chunks(item)]
+        if df is None:
+            df, count = Counter(t for c in cut for t in c), len(cut)
+            mean = sum(map(Counter.total, cut)) / max(1, count)
+        idf = {t: math.log(1 + (count - df[t] + 0.5) / (df[t] + 0.5)) for t in {t for c in cut for t in c}}
         lists: dict[bytes, tuple[list[int], list[float]]] = {}
-        self.slack = np.zeros(len(chunks))
+        self.slack = np.zeros(len(cut))
         heavy: list[tuple[bytes, int, float]] = []
-        for k, c in enumerate(chunks):
+        for k, c in enumerate(cut):
             size = K1 * (1 - B + B * c.total() / mean)
             weight = {t: idf[t] * n * (K1 + 1) / (n + size) for t, n in c.items()}
             total = sum(weight.values())
@@ -179,19 +193,18 @@ class Index:
     def leaks(self, text: bytes | None) -> dict[int, tuple[float, float, float, int]]:
         """By item id: score, overlap of question and of answer, and the word where the passage starts."""
         found = words(text) if text else []
-        best: dict[int, tuple[float, float, float, int]] = {}
+        best: dict[int | None, tuple[float, float, float, int]] = {}
         for start in self.windows(found).tolist() if found else []:
             passage = found[start * CHUNK : (start + 2) * CHUNK]
             for chunk, score in self.query(passage):
-                item_id, question, answer, size = self.items[self.owner[chunk]]
-                around = grams(found[max(0, start * CHUNK - size) : (start + 2) * CHUNK + size])
-                q, a = len(question & around) / len(question), len(answer & around) / len(answer)
-                if min(q, a) >= OVERLAP:
+                item_id, item, question, answer = self.items[self.owner[chunk]]
+                around = found[max(0, start * CHUNK - len(item)) : (start + 2) * CHUNK + len(item)]
+                q, a = overlap(question, around), overlap(answer, around)
+                if min(q, a) >= OVERLAP and (len(item) >= WHOLE or tuple(item) in grams(around, len(item))):
                     best[item_id] = max(best.get(item_id, (0.0, 0.0, 0.0, 0)), (score, q, a, start * CHUNK))
         return best
 
 
-
 def _seek(docs: list[int], at: int, target: int) -> int:
     """First place from ``at`` on with a document of at least ``target``: doubling steps, then halving."""
     step, low = 1, at
@@ -208,18 +221,43 @@ def _seek(docs: list[int], at: int, target: int) -> int:
     return low
 
 
-def shards(items: DataFrame, size: int = SHARD) -> Iterator[Index]:
+def shards(items: DataFrame, size: int | None = None) -> Iterator[Index]:
     """One index after the other over items (item_id, text)."""
-    usable = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n_words = usable.agg(F.sum(F.length("text")), F.count("*")).first()
-    chunks = (n_words[1] or 0) + (n_words[0] or 0) // CHUNK
-    count = max(1, math.ceil(chunks / size))
-    for k in range(count):
-        part = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).distinct().orderBy("item_id", "text").collect()
-        cut = [(r["item_id"], words(r["text"].encode())) for r in part]
-        cut = [x for x in cut if len(x[1]) >= LEAST]
-        if cut:
-            yield Index(cut)
+    usable = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+
+    def count_terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            cut = [(s, chunks(words(t))) for s, t in zip(batch.column("shard").to_pylist(), raw(batch.column("text")), strict=True)]
+            n = Counter((s, t) for s, found in cut for c in found for t in c)
+            for s, found in cut:
+                # the empty term, which no text has, counts the chunks; the next their words
+                n[s, b""] += len(found)
+                n[s, b" "] += sum(map(Counter.total, found))
+            yield pa.record_batch({"shard": pa.array([s for s, _ in n], pa.int64()), "term": pa.array([t for _, t in n], pa.binary()), "n": pa.array(list(n.values()), pa.int64())})
+
+    def counted(sharded: DataFrame) -> DataFrame:
+        return sharded.select("shard", "text").mapInArrow(count_terms, "shard long, term binary, n long").groupBy("shard", "term").agg(F.sum("n").alias("n"))
+
+    whole = counted(usable.withColumn("shard", F.lit(0).cast("long"))).where("term in (X'', X'20')")
+    about = {bytes(r["term"]): r["n"] for r in whole.collect()}  # two rows
+    total, length = about.get(b"", 0), about.get(b" ", 0)
+    if not total:
+        return
+    n_shards = math.ceil(total / (SHARD if size is None else size))
+    sharded = usable.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_shards)))
+    local = counted(sharded)
+    terms = local.select("shard", "term").join(local.groupBy("term").agg(F.sum("n").alias("n")), "term")
+
+    def build(group: pa.Table, known: pa.Table) -> pa.Table:
+        df = dict(zip(known["term"].to_pylist(), known["n"].to_pylist(), strict=True))
+        order = sorted(zip(group["item_id"].to_pylist(), raw(group["text"]), strict=True), key=lambda x: (x[0] is None, x))
+        index = Index([(i, w) for i, t in order if (w := words(t))], df, total, length / total)
+        return pa.table({"shard": pa.array([group["shard"][0].as_py()], pa.int64()), "made": pa.array([pickle.dumps(index)], pa.binary())})
+
+    made = table(sharded.groupBy("shard").cogroup(terms.groupBy("shard")).applyInArrow(build, "shard long, made binary"), "shards")
+    for k in range(n_shards):
+        for r in made.where(F.col("shard") == k).collect():  # one row
+            yield pickle.loads(r["made"])
 
 
 HIT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, word long"

@@ -107,7 +107,7 @@ def training(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> DataFrame:
     counts = usable.select("lang", F.xxhash64("text").alias("hash")).distinct().groupBy("lang").count()
     share = counts.select("lang", (F.lit(float(per_lang)) / F.col("count")).alias("share"))
     draw = (F.xxhash64("text").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))).alias("draw")
-    drawn = usable.select("lang", "text", draw).join(F.broadcast(share), "lang").where("draw < share").select("lang", "text")
+    drawn = usable.select("lang", "text", draw).join(share, "lang").where("draw < share").select("lang", "text")
 
     def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = Presence()

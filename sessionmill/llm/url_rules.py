@@ -12,7 +12,8 @@ each rule -> rule) finds the rules of a url, and the most confident decides.
 
 Defined results: a null url or one without ``://`` has empty host and path, no
 rule and the default verdict unless a mined rule fits. Repeated rows each get
-their row; extra columns are dropped; an empty table gives an empty result, as
+their row; ties of rules go to the greater support, then the shorter, then the verdict and
+tokens that are greater; long urls are read whole; extra columns are dropped; an empty table gives an empty result, as
 does mining without labelled rows (default verdict everywhere).
 """
 
@@ -22,12 +23,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionmill.llm.common import table
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 MIN_SUPPORT, MIN_CONFIDENCE, DEFAULT = 0.002, 0.9, "allow"
-#: A rule table up to this many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_RULES = 20_000
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -40,11 +41,18 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 
 def given(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """struct(rule, verdict) of the longest rule that fits; null without one."""
+    """struct(rule, verdict, own) of the longest rule that fits, own being the tokens it is made of; null without one."""
     ranked = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))
     fits = [((host == h) | host.endswith(f".{h}")) & path.startswith(p) for _, h, p in ranked]
-    made = [F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict")) for v, h, p in ranked]
-    return F.coalesce(*[F.when(f, m) for f, m in zip(fits, made, strict=True)]) if ranked else F.lit(None).cast("struct<rule:string,verdict:string>")
+    made = [F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"), F.array(*[F.lit(t) for t in own_tokens(h, p)]).alias("own")) for v, h, p in ranked]
+    return F.coalesce(*[F.when(f, m) for f, m in zip(fits, made, strict=True)]) if ranked else F.lit(None).cast("struct<rule:string,verdict:string,own:array<string>>")
+
+
+def own_tokens(host: str, path: str) -> list[str]:
+    """Tokens that every url of a rule has by the rule."""
+    labels, folders = host.split("."), path.split("/")
+    found = [f"tld={labels[-1]}", f"domain={'.'.join(labels[-2:])}" if len(labels) > 1 else "", f"name={labels[-3]}" if len(labels) > 2 else "", f"first={folders[1]}" if len(folders) > 2 else ""]
+    return [t for t in found if t]
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
@@ -105,24 +113,27 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, min_suppo
     host, path = parts(F.col("url"))
     seen = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     seen = seen.withColumn("hit", given(F.col("host"), F.col("path"), rules)).withColumn("toks", tokens(F.col("url"), F.col("host"), F.col("path")))
-    found = prune(mine(seen.where("hit is not null").select("toks", F.col("hit.verdict").alias("label")), min_support, min_confidence))
-    found = found.cache()
-    often = found.select(F.explode("antecedent").alias("token")).groupBy("token").count()
-    rank = found.select("antecedent", "verdict", "confidence", "support", "n", F.explode("antecedent").alias("token")).join(often, "token")
-    index = rank.groupBy("antecedent", "verdict", "confidence", "support", "n").agg(F.min(F.struct("count", "token")).alias("least")).select(F.col("least.token").alias("token"), "antecedent", "verdict", "confidence", "support", "n")
-    index = F.broadcast(index) if found.count() <= BROADCAST_RULES else index
-    kinds = seen.where("hit is null").select("toks").distinct()
-    best = F.max(F.struct("confidence", "support", F.negate("n").alias("n"), "verdict", "antecedent")).alias("best")
-    mined = kinds.withColumn("token", F.explode("toks")).join(index, "token").where("size(array_except(antecedent, toks)) = 0").groupBy("toks").agg(best)
-    out = seen.join(mined, "toks", "left")
+    labelled = seen.where("hit is not null").select(F.array_except("toks", "hit.own").alias("toks"), F.col("hit.verdict").alias("label"))
+    found = table(prune(mine(labelled, min_support, min_confidence)), "rules")
+    # a rule stands under the token of it that the fewest urls have
+    often = labelled.select(F.explode("toks").alias("token")).groupBy("token").count()
+    ranked = found.withColumn("token", F.explode("antecedent")).join(often, "token")
+    rule = F.struct("confidence", "support", F.negate("n").alias("n"), "verdict", "antecedent")
+    least = ranked.groupBy(*found.columns).agg(F.min(F.struct("count", "token"))["token"].alias("token"))
+    listed = least.groupBy("token").agg(F.collect_list(rule).alias("rules"))
+    index = listed.agg(F.map_from_entries(F.collect_list(F.struct("token", "rules"))).alias("index")).scalar()
+    none = F.array().cast("array<struct<confidence:double,support:double,n:int,verdict:string,antecedent:array<string>>>")
+    near = F.flatten(F.transform("toks", lambda t: F.coalesce(F.try_element_at(index, t), none)))
+    fits = F.filter(near, lambda r: F.size(F.array_except(r["antecedent"], F.col("toks"))) == 0)
+    out = seen.withColumn("best", F.when(F.col("hit").isNull(), F.array_max(fits)))
     return out.select(
         "page_id",
         "host",
         "path",
         F.col("hit.rule").alias("rule"),
         F.coalesce("hit.verdict", "best.verdict", F.lit(default)).alias("verdict"),
-        F.when(F.col("hit").isNull(), F.col("best.confidence")).alias("confidence"),
-        F.when(F.col("hit").isNull(), F.array_join("best.antecedent", " ")).alias("reason"),
+        F.col("best.confidence").alias("confidence"),
+        F.array_join("best.antecedent", " ").alias("reason"),
     )
 
 

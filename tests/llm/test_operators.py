@@ -94,7 +94,19 @@ def test_keep_one_with_null_and_repeated_ids(spark):
     assert sorted(rest, key=str) == sorted([(None, None), (None, " "), (1, c), (1, d), (3, b + " more"), (4, "")], key=str)
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
+    import sessionmill.llm.common as common
+
+    rng = random.Random(18)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(5, i) for i in range(300, 360)]
+    label = list(range(360))
+    for _ in range(360):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    for hub in (64, 2):
+        monkeypatch.setattr(common, "HUB", hub)
+        got = components(spark.createDataFrame([(i,) for i in range(360)], "node long"), spark.createDataFrame(pairs, "a long, b long"))
+        assert {r["node"]: r["component"] for r in got.collect()} == dict(enumerate(label))
     edges = [(i, i + 1) for i in range(40)] + [(100, 99), (99, 98), (7, 7)]
     got = components(spark.createDataFrame([(i,) for i in [*range(42), 98, 99, 100]], "node long"), spark.createDataFrame(edges, "a long, b long"))
     assert {r["node"]: r["component"] for r in got.collect()} == {**{i: 0 for i in range(41)}, 41: 41, 98: 98, 99: 98, 100: 98}
@@ -293,15 +305,68 @@ def test_leaks(spark, monkeypatch):
         rows.append((i, " ".join(text)))
     rows += [(100, None), (101, ""), rows[0]]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
-    tests = spark.createDataFrame([*items, items[0], (98, None), (99, "too short")], "item_id long, text string")
+    tests = spark.createDataFrame([*items, items[0], (98, None), (99, "too short"), (97, " ")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, tests).collect()} == planted
     monkeypatch.setattr(decontaminate, "SHARD", 20)  # several shards
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, tests).collect()} == planted
     left = [r["doc_id"] for r in decontaminate.clean(docs, tests).collect()]
     assert sorted(left) == sorted(i for i, _ in rows if i not in {d for d, _ in planted})
+    # one shard or many give the same rows, scores and all
+    rows_of = lambda: sorted(map(tuple, decontaminate.leaks(docs, tests).collect()))
+    many = rows_of()
+    monkeypatch.setattr(decontaminate, "SHARD", 10**6)
+    assert rows_of() == many
     assert decontaminate.leaks(docs, tests.limit(0)).count() == 0 and decontaminate.clean(docs, tests.limit(0)).count() == len(rows)
 
 
+def test_short_answers_and_items(spark):
+    question = "On which river does the capital of that country lie, seen from the hill above the old town?"
+    items = [(1, f"{question} The Thames."), (2, f"{question.replace('capital', 'second city')} Avon."), (3, "alpha beta gamma"), (4, "solo"), (None, "an item that has no id but words enough to be found")]
+    rows = [
+        (1, f"before it {question} The Thames. and behind"),
+        (2, f"{question} It is called the Danube."),
+        (3, f"{question.replace('capital', 'second city')} Avon. It ends here"),
+        (4, "x alpha beta gamma y"),
+        (5, "alpha x beta y gamma"),
+        (6, "so solo it is"),
+        (7, "here stands an item that has no id but words enough to be found, too"),
+        (None, "x alpha beta gamma y"),
+        (8, " ".join(f"w{i}" for i in range(50_000)) + f" {question} The Thames."),
+    ]
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")), spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, tests).collect()}
+    assert got == {(1, 1), (3, 2), (4, 3), (6, 4), (7, None), (None, 3), (8, 1)}
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, tests).collect()) == [2, 5]
+
+
+def test_leaks_recall_equals_brute_force(spark):
+    """Every text that scores at the threshold in some window, by BM25 over all windows and chunks, and overlaps, is found."""
+    rng = random.Random(15)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(1, 110)))) for i in range(40)]
+    rows = []
+    for i in range(60):
+        text = rng.choices(vocabulary, k=rng.randrange(0, 200))
+        part = rng.choice(items)[1].split()
+        text[rng.randrange(len(text) + 1) :] = part[: rng.randrange(len(part) // 2, len(part) + 1)]
+        rows.append((i, " ".join(text)))
+    index = decontaminate.Index([(i, t.encode().split()) for i, t in items])
+    want = set()
+    for d, text in rows:
+        w = text.encode().split()
+        for s in range(0, len(w), decontaminate.CHUNK):
+            seen = set(w[s : s + 2 * decontaminate.CHUNK])
+            for k, o in enumerate(index.owner):
+                score = sum(p.impacts[p.docs.index(k)] for t in seen if (p := index.postings.get(t)) and k in p.docs)
+                item_id, item, q, a = index.items[o]
+                around = w[max(0, s - len(item)) : s + 2 * decontaminate.CHUNK + len(item)]
+                if score >= decontaminate.THRESHOLD - 1e-9 and min(decontaminate.overlap(q, around), decontaminate.overlap(a, around)) >= decontaminate.OVERLAP:
+                    if len(item) >= decontaminate.WHOLE or tuple(item) in decontaminate.grams(around, len(item)):
+                        want.add((d, item_id))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) >= 15
+
+
 # --- op3 -----------------------------------------------------------------------------------------------------------------------
 def test_language(spark):
     rng = random.Random(6)
@@ -494,14 +559,19 @@ def test_urls(spark):
         ("no host", "", "", None, None),
         (None, "", "", None, None),
     ]
-    more = [(100 + i, f"http://s{i % 3}.example.{'com' if i % 2 else 'org'}/{'de' if i % 2 else 'fr'}/{i}") for i in range(200)]
+    more = [(500 + i, f"http://x{i % 7}.site{i % 9}.net/de/{i}") for i in range(100)]
+    more += [(100 + i, f"http://s{i % 3}.example.{'com' if i % 2 else 'org'}/{'de' if i % 2 else 'fr'}/{i}") for i in range(200)]
     pages = spark.createDataFrame([(i, u[0]) for i, u in enumerate(urls)] + more + [(300, "http://t.example.info/de/7"), (1, urls[1][0])], "page_id long, url string").withColumn("verdict", F.lit("clash"))
     got = url_rules.judge(pages).collect()
-    assert len(got) == len(urls) + 202
+    assert len(got) == len(urls) + 302
     by = {r["page_id"]: r for r in got}
     for i, (_, host, path, rule, verdict) in enumerate(urls):
         assert (by[i]["host"], by[i]["path"], by[i]["rule"]) == (host, path, rule) and (verdict is None or by[i]["verdict"] == verdict)
     assert by[300]["verdict"] == "block" and by[300]["rule"] is None and by[300]["confidence"] >= 0.9  # mined: first=de
+    assert url_rules.own_tokens("example.com", "/de/") == ["tld=com", "domain=example.com", "first=de"] and url_rules.own_tokens("net", "/") == ["tld=net"]
+    # rows are judged alike one by one; a long url is no trouble
+    long = spark.createDataFrame([(1, "http://q.info/de/" + "a/" * 50_000 + "?" + "k=v&" * 20_000)], "page_id long, url string")
+    assert url_rules.judge(pages.unionByName(long, allowMissingColumns=True)).where("length(path) > 50000").first()["verdict"] == "block"
     assert url_rules.judge(pages.limit(0)).count() == 0
 
 
