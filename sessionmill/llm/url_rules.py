@@ -123,9 +123,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, min_suppo
     listed = least.groupBy("token").agg(F.collect_list(rule).alias("rules"))
     index = listed.agg(F.map_from_entries(F.collect_list(F.struct("token", "rules"))).alias("index")).scalar()
     none = F.array().cast("array<struct<confidence:double,support:double,n:int,verdict:string,antecedent:array<string>>>")
-    near = F.flatten(F.transform("toks", lambda t: F.coalesce(F.try_element_at(index, t), none)))
+    near = F.flatten(F.transform("toks", lambda t: F.coalesce(F.try_element_at("index", t), none)))
     fits = F.filter(near, lambda r: F.size(F.array_except(r["antecedent"], F.col("toks"))) == 0)
-    out = seen.withColumn("best", F.when(F.col("hit").isNull(), F.array_max(fits)))
+    out = seen.withColumn("index", index).withColumn("best", F.when(F.col("hit").isNull(), F.array_max(fits)))
     return out.select(
         "page_id",
         "host",
