@@ -9,10 +9,15 @@ squared change of the score when the identity terms of a labelled sentence are
 swapped for others of their group. The last term takes weight from identity
 terms, so that neutral mentions of a group are not scored up.
 
+Identity terms are the given lists and, so that there are some in every language,
+groups of words that the sample itself shows to be interchangeable: words of medium
+frequency whose labels are balanced (within TERM_Z) and that stand between the same
+neighbours. The terms' own features are always kept.
+
 Defined results: a null or empty text gets the score of a text without features.
 A label that is null is not used; of repeated labels of one document the larger
 counts. Without labelled rows of both classes every score is 0. Repeated rows
-each get their row. Texts are read whole; the number of features of a text is
+each get their row; columns named score or predicted are replaced. Texts are read whole; the number of features of a text is
 bounded by ``BUCKETS``.
 """
 
@@ -27,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import batches, fold, small_batches
+from sessionmill.llm.common import batches, fold, small_batches, table
 
 BUCKETS, KEEP = 1 << 18, 3072
 BEGINNINGS = (3, 4, 5, 6)
@@ -48,6 +53,9 @@ IDENTITY_TERMS = {
     "ability": ["disabled", "blind", "deaf", "autistic", "abled"],
     "age": ["old", "young", "elderly", "teenage"],
 }
+#: Learned terms: at most so many, in this range of shares of the sample's texts, with standardised log odds of at most TERM_Z, in groups
+#: of words whose neighbours have at least this cosine; buckets of neighbours.
+TERMS, TERM_SHARE, TERM_Z, TERM_COSINE, NEIGHBOURS = 300, (0.002, 0.1), 2.0, 0.5, 256
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 
 
@@ -86,19 +94,82 @@ class Features(dict):
 
 def swapper(terms: dict[str, list[str]]):
     """Function from a sentence to the same sentence with each identity term swapped, once a shift; none without a term."""
-    group = {t: g for g in terms.values() for t in g}
+    group = {t: g for g in terms.values() for t in g if len(g) > 1}
     if not group:
         return lambda sentence: []
-    found = re.compile(r"\b(" + "|".join(sorted(map(re.escape, group), key=len, reverse=True)) + r")\b", re.IGNORECASE)
+    longer = [t for t in group if " " in t]
+    phrase = re.compile(r"\b(" + "|".join(sorted(map(re.escape, longer), key=len, reverse=True)) + r")\b", re.IGNORECASE) if longer else None
+    other = lambda term, shift: (g := group[term])[(g.index(term) + shift) % len(g)]
 
     def swap(sentence: str) -> list[str]:
-        if not found.search(sentence):
-            return []
-        return [found.sub(lambda m, s=shift: (g := group[m[0].lower()])[(g.index(m[0].lower()) + s) % len(g)], sentence) for shift in (1, 2)]
+        out = []
+        for shift in (1, 2):
+            made = phrase.sub(lambda m: other(m[0].lower(), shift), sentence) if phrase else sentence  # noqa: B023
+            parts = made.split(" ")
+            for i, word in enumerate(parts):
+                bare = word.strip(EDGE)
+                if bare and bare.lower() in group:
+                    parts[i] = word.replace(bare, other(bare.lower(), shift), 1)
+            made = " ".join(parts)
+            if made != sentence and made not in out:
+                out.append(made)
+        return out
 
     return swap
 
 
+def interchangeable(drawn: DataFrame, n_toxic: int, n_clean: int) -> dict[str, list[str]]:
+    """Groups of words of drawn (text, toxic) with balanced labels and the same neighbours. The sample is bounded, and so is what comes back."""
+
+    def bare(text: str | None) -> list[str]:
+        return [w.strip(EDGE) for w in (text or "").lower().split()]
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[str, list[int]] = {}
+        for batch in it:
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                for w in set(bare(text)):
+                    n.setdefault(w, [0, 0])[int(toxic == 1)] += 1
+        yield pa.record_batch({"word": pa.array(list(n), pa.string()), "clean": pa.array([x[0] for x in n.values()], pa.int64()), "toxic": pa.array([x[1] for x in n.values()], pa.int64())})
+
+    counts = drawn.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    share = (F.col("clean") + F.col("toxic")) / (n_toxic + n_clean)
+    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    z = (F.log(a / (n_toxic + 1.0 - F.col("toxic"))) - F.log(b / (n_clean + 1.0 - F.col("clean")))) / F.sqrt(1 / a + 1 / b)
+    known = counts.where((F.length("word") > 2) & share.between(*TERM_SHARE) & (F.abs(z) <= TERM_Z)).orderBy(F.desc(share), "word").limit(TERMS)
+    words = [r["word"] for r in known.select("word").collect()]
+    if not words:
+        return {}
+
+    def beside(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, n = {w: i for i, w in enumerate(words)}, np.zeros((len(words), 2 * NEIGHBOURS), dtype=np.int64)
+        for batch in it:
+            for text in batch.column("text").to_pylist():
+                found = bare(text)
+                for i, w in enumerate(found):
+                    if (k := place.get(w)) is not None:
+                        for side, j in ((0, i - 1), (1, i + 1)):
+                            if 0 <= j < len(found):
+                                n[k, side * NEIGHBOURS + xxhash.xxh32_intdigest(found[j].encode("utf-8", "surrogatepass")) % NEIGHBOURS] += 1
+        k, c = np.nonzero(n)
+        yield pa.record_batch({"k": pa.array(k, pa.int64()), "c": pa.array(c, pa.int64()), "n": pa.array(n[k, c], pa.int64())})
+
+    seen = np.zeros((len(words), 2 * NEIGHBOURS))
+    for r in drawn.mapInArrow(beside, "k long, c long, n long").groupBy("k", "c").agg(F.sum("n").alias("n")).collect():
+        seen[r["k"], r["c"]] = r["n"]
+    seen = np.log1p(seen)
+    seen -= seen.mean(0)  # what all words have beside them tells nothing
+    seen /= np.maximum(1e-9, np.sqrt((seen**2).sum(1, keepdims=True)))
+    near, free, groups = seen @ seen.T, set(range(len(words))), {}
+    for i in range(len(words)):
+        if i in free:
+            mates = [j for j in np.argsort(-near[i], kind="stable").tolist() if j in free and j != i and near[i, j] >= TERM_COSINE][:3]
+            if mates:
+                free -= {i, *mates}
+                groups[f"learned {words[i]}"] = [words[i], *[words[j] for j in mates]]
+    return groups
+
+
 def sample(labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> DataFrame:
     """(doc_id, toxic) of about so many labelled documents a class."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -137,6 +208,8 @@ def project(drawn: DataFrame, chosen: np.ndarray, terms: dict[str, list[str]]) -
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, swap = Features(), swapper(terms)
+        pairs: dict[int, tuple] = {}  # those of the smallest hashes
+        worst = 0
 
         def bits(text: str) -> bytes:
             x = np.zeros(len(chosen), dtype=np.uint8)
@@ -148,8 +221,20 @@ def project(drawn: DataFrame, chosen: np.ndarray, terms: dict[str, list[str]]) -
             out: list[tuple] = []
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 out.append(("text", int(toxic == 1), bits(text or ""), None))
-                out += {("pair", 0, bits(s), bits(other)) for s in SENTENCE.findall(text or "") for other in swap(s)}
-            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "toxic", "bits", "other"]) if out else pa.record_batch({"kind": pa.array([], pa.string()), "toxic": pa.array([], pa.int32()), "bits": pa.array([], pa.binary()), "other": pa.array([], pa.binary())})
+                for s in SENTENCE.findall(text or ""):
+                    h = xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
+                    if len(pairs) < MAX_PAIRS or h < worst:
+                        for i, other in enumerate(swap(s)):
+                            pairs[h + i & (1 << 64) - 1] = (bits(s), bits(other))
+                    if len(pairs) >= 2 * MAX_PAIRS:
+                        pairs = dict(sorted(pairs.items())[:MAX_PAIRS])
+                        worst = max(pairs)
+            yield as_batch(out)
+        yield as_batch([("pair", 0, a, b) for _, (a, b) in sorted(pairs.items())[:MAX_PAIRS] if a != b])
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "toxic", "bits", "other"])
 
     return drawn.mapInArrow(rows, "kind string, toxic int, bits binary, other binary")
 
@@ -166,7 +251,8 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, dims: int, swap_weight:
             p = 1 / (1 + np.exp(-np.clip(bits @ w.astype(np.float32) + bias, -30, 30)))
             grad = np.append(bits.T @ (p - y[part]) / len(part) + L2 * w, np.mean(p - y[part]))
             if len(pairs):
-                grad[:-1] += 2 * swap_weight * pairs.T @ (pairs @ w.astype(np.float32)) / len(pairs)
+                some = pairs[order.integers(0, len(pairs), PAIR_BATCH)]
+                grad[:-1] += 2 * swap_weight * some.T @ (some @ w.astype(np.float32)) / len(some)
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
@@ -174,8 +260,8 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, dims: int, swap_weight:
     return w, bias
 
 
-#: Swapped sentences that the fit uses at most; more are thinned by a hash of their bits.
-MAX_PAIRS = 5_000
+#: Swapped sentences that the fit uses at most (of smallest hashes), and of those a step.
+MAX_PAIRS, PAIR_BATCH = 5_000, 256
 
 
 def learn(docs: DataFrame, labels: DataFrame, terms: dict[str, list[str]] = IDENTITY_TERMS, swap_weight: float = SWAP_WEIGHT) -> tuple[np.ndarray, float] | None:
@@ -189,8 +275,10 @@ def learn(docs: DataFrame, labels: DataFrame, terms: dict[str, list[str]] = IDEN
     if not n.get(1) or not sum(c for k, c in n.items() if k != 1):
         return None
     clean = sum(c for k, c in n.items() if k != 1)
-    chosen = choose(count_features(drawn), n[1], clean)
-    made = project(drawn, chosen, terms)
+    terms = terms | interchangeable(drawn, n[1], clean)
+    own = Features()
+    chosen = np.union1d(choose(count_features(drawn), n[1], clean), np.concatenate([np.zeros(0, dtype=np.int64), *[own.of(t) for g in terms.values() for t in g]])).astype(np.int64)
+    made = table(project(drawn, chosen, terms), "projected")
     pairs = made.where("kind = 'pair' and bits <> other").select("bits", "other").distinct().orderBy(F.xxhash64("bits", "other"), "bits", "other").limit(MAX_PAIRS).collect()
     rows = made.where("kind = 'text'").select("toxic", "bits").collect()
     rows.sort(key=lambda r: (r["toxic"], bytes(r["bits"])))

@@ -432,6 +432,35 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
+def test_interchangeable_terms(spark):
+    """Words that stand in each other's place make a group, in any language; a word that goes with the label is in none."""
+    rng = random.Random(24)
+    groups = [["kalo", "mipu", "sorn"], ["zéta", "ñaru", "ülke"]]
+    rows = []
+    for i in range(900):
+        g = i % 2
+        parts = [f"fill{rng.randrange(400)}" for _ in range(6)] + [f"left{g}", rng.choice(groups[g]) if rng.random() < 0.25 else "other", f"right{g}"]
+        toxic = int(i % 5 == 0)
+        rows.append((" ".join(parts + (["vile"] if toxic else [])) + ".", toxic))
+    drawn = spark.createDataFrame(rows, "text string, toxic int")
+    found = toxicity.interchangeable(drawn, 180, 720)
+    learned = [set(g) for g in found.values() if not g[0].startswith("fill")]
+    assert len(learned) == 2 and all(any(g <= set(x) for x in groups) for g in learned) and not any("vile" in g for g in learned), found
+    swap = toxicity.swapper(found)
+    assert all("left0" in s and "kalo" not in s.lower() for s in swap("Fill1 left0 Kalo right0.")) and swap("nothing here") == []
+    pairs = toxicity.project(drawn, np.unique(np.concatenate([toxicity.Features().of(w) for w in ("kalo", "mipu", "sorn", "zéta", "ñaru", "ülke")])).astype(np.int64), found).where("kind = 'pair'")
+    assert pairs.count() > 50
+    assert toxicity.interchangeable(drawn.limit(0), 1, 1) == {}
+
+
+def test_toxicity_edge_cases(spark):
+    docs = spark.createDataFrame([(i, ("bad " if i % 3 == 0 else "good ") + f"word{i}", "x", "y") for i in range(90)] + [(None, "bad", "x", "y"), (200, "good " * 200_000, "x", "y"), (200, "good", "x", "y")], "doc_id long, text string, score string, predicted string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.learn(docs, labels)).collect()
+    assert len(got) == 93 and all(0 <= r["score"] <= 1 and r["predicted"] in (0, 1) for r in got)
+    assert toxicity.score(docs.limit(0), toxicity.learn(docs, labels)).count() == 0
+
+
 # --- op5 -----------------------------------------------------------------------------------------------------------------------
 PAGE = "page_id long, url string, html string"
 
