@@ -260,7 +260,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, dims: int, swap_weight:
     return w, bias
 
 
-#: Swapped sentences that the fit uses at most (of smallest hashes), and of those a step.
+#: Swapped sentences that the fit uses at most (about, drawn by a hash), and of those a step.
 MAX_PAIRS, PAIR_BATCH = 5_000, 256
 
 
@@ -279,7 +279,10 @@ def learn(docs: DataFrame, labels: DataFrame, terms: dict[str, list[str]] = IDEN
     own = Features()
     chosen = np.union1d(choose(count_features(drawn), n[1], clean), np.concatenate([np.zeros(0, dtype=np.int64), *[own.of(t) for g in terms.values() for t in g]])).astype(np.int64)
     made = table(project(drawn, chosen, terms), "projected")
-    pairs = made.where("kind = 'pair' and bits <> other").select("bits", "other").distinct().orderBy(F.xxhash64("bits", "other"), "bits", "other").limit(MAX_PAIRS).collect()
+    swapped = made.where("kind = 'pair' and bits <> other").select("bits", "other").distinct()
+    draw = F.xxhash64("bits", "other").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    pairs = swapped.where(draw < 1.1 * MAX_PAIRS / max(1, swapped.count())).collect()
+    pairs = sorted(pairs, key=lambda r: (bytes(r["bits"]), bytes(r["other"])))
     rows = made.where("kind = 'text'").select("toxic", "bits").collect()
     rows.sort(key=lambda r: (r["toxic"], bytes(r["bits"])))
     unpack = lambda c: np.unpackbits(np.array([np.frombuffer(r[c], dtype=np.uint8) for r in pairs]), axis=1, count=len(chosen)).astype(np.int8)
