@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.llm.common import batches, fold, small_batches
+from sessionmill.llm.common import batches, fold, small_batches, table
 
 ORDER, BUCKETS = 3, 1 << 17
 #: At most about this many training texts and landmarks a language, drawn by a hash of text.
 TRAIN_PER_LANG, LANDMARKS_PER_LANG = 300, 60
 RIDGE = 1e-2
+#: Up to so many languages' shares are broadcast; more are joined by shuffle.
+BROADCAST_LANGS = 100_000
 CHUNK = 1 << 18
 _MULTIPLY = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)]
 
@@ -105,7 +107,8 @@ def training(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> DataFrame:
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     counts = usable.select("lang", F.xxhash64("text").alias("hash")).distinct().groupBy("lang").count()
-    share = counts.select("lang", (F.lit(float(per_lang)) / F.col("count")).alias("share"))
+    share = table(counts.select("lang", (F.lit(float(per_lang)) / F.col("count")).alias("share")), "shares")
+    share = F.broadcast(share) if share.count() <= BROADCAST_LANGS else share
     draw = (F.xxhash64("text").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))).alias("draw")
     drawn = usable.select("lang", "text", draw).join(share, "lang").where("draw < share").select("lang", "text")
 
