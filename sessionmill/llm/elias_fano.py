@@ -127,45 +127,67 @@ class Mapped:
         return np.memmap(self.file, dtype=array.dtype, mode="r", offset=at, shape=array.shape)
 
 
+class Level:
+    """Children of the entries above, with quantised scores.
+
+    pointers: where each parent's children begin, one more for the end; children: uint32, rising within a parent; scores: one of
+    each. Children are made monotone by their parent's rank, so the level is one sequence; pointers are another.
+    """
+
+    def __init__(self, pointers: np.ndarray, children: np.ndarray, scores: np.ndarray, codes: int, place):
+        parents = len(pointers) - 1
+        self.pointers = EliasFano(pointers, int(pointers[-1]) + 1, place)
+        rank = np.repeat(np.arange(parents, dtype=_U), np.diff(pointers))
+        self.children = EliasFano(rank << _U(32) | children.astype(_U), max(1, parents) << 32, place)
+        book, codes = quantise(scores, codes)
+        self.book, self.codes = place(book), place(codes)
+
+    def find(self, rank: np.ndarray, child: np.ndarray) -> np.ndarray:
+        """Place of each child under the parent of that rank; -1 if the level hasn't it or rank is -1."""
+        out = np.full(len(rank), -1, dtype=np.int64)
+        some = np.flatnonzero(rank >= 0)
+        if not len(some) or not self.children.n:
+            return out
+        r = rank[some]
+        first, last = self.pointers[r].astype(np.int64), self.pointers[r + 1].astype(np.int64)
+        key = r.astype(_U) << _U(32) | child[some].astype(_U)
+        at = self.children.successor(key, first, last)
+        near = np.minimum(at, self.children.n - 1)
+        hit = (at < last) & (self.children[near] == key)
+        out[some[hit]] = at[hit]
+        return out
+
+    def value(self, at: np.ndarray) -> np.ndarray:
+        return self.book[self.codes[at]]
+
+
 class Trie:
-    """Two levels of n-grams: contexts, and under each its successors with quantised log probabilities.
+    """N-grams by levels: roots (sorted distinct uint64), under each its successors with scores, under those theirs.
 
-    contexts: sorted distinct uint64; pointers: where each context's successors begin, one more for the end; successors:
-    uint32, rising within a context; scores: log10 probability of each. Successor keys are made monotone by their context's
-    rank, so the level is one sequence; pointers are another.
+    pointers, successors and scores are the first level below the roots, ``deeper`` holds the same three of each further one.
     """
 
-    def __init__(self, contexts: np.ndarray, pointers: np.ndarray, successors: np.ndarray, scores: np.ndarray, levels: int = 256):
+    def __init__(self, contexts: np.ndarray, pointers: np.ndarray, successors: np.ndarray, scores: np.ndarray, levels: int = 256, deeper: tuple = ()):
         place = Mapped()
         self.n = len(contexts)
         self.contexts = EliasFano(contexts, 1 << 64, place)
-        self.pointers = EliasFano(pointers, int(pointers[-1]) + 1, place)
-        rank = np.repeat(np.arange(self.n, dtype=_U), np.diff(pointers))
-        self.successors = EliasFano(rank << _U(32) | successors.astype(_U), max(1, self.n) << 32, place)
-        book, codes = quantise(scores, levels)
-        self.book, self.codes = place(book), place(codes)
+        self.levels = [Level(*of, levels, place) for of in ((pointers, successors, scores), *deeper)]
 
     def find(self, context: np.ndarray) -> np.ndarray:
-        """Rank of each context; -1 if it isn't there."""
+        """Rank of each root; -1 if it isn't there."""
         if not self.n:
             return np.full(len(context), -1, dtype=np.int64)
         at = self.contexts.successor(context, np.zeros(len(context), dtype=np.int64), np.full(len(context), self.n, dtype=np.int64))
         near = np.minimum(at, self.n - 1)
         return np.where((at < self.n) & (self.contexts[near] == context), at, -1)
 
-    def score(self, rank: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """log10 probability of each successor under the context of that rank; NaN if the trie hasn't it."""
+    def score(self, rank: np.ndarray, *successors: np.ndarray) -> np.ndarray:
+        """Score of the longest n-gram that the trie holds of each root's rank and its successors, in order; NaN if it holds none."""
         out = np.full(len(rank), np.nan)
-        some = np.flatnonzero(rank >= 0)
-        if not len(some) or not self.successors.n:
-            return out
-        r = rank[some]
-        first, last = self.pointers[r].astype(np.int64), self.pointers[r + 1].astype(np.int64)
-        key = r.astype(_U) << _U(32) | successor[some].astype(_U)
-        at = self.successors.successor(key, first, last)
-        near = np.minimum(at, self.successors.n - 1)
-        hit = (at < last) & (self.successors[near] == key)
-        out[some[hit]] = self.book[self.codes[at[hit]]]
+        for level, child in zip(self.levels, successors, strict=False):
+            rank = level.find(rank, child)
+            hit = rank >= 0
+            out[hit] = level.value(rank[hit])
         return out
 
 

@@ -1,16 +1,17 @@
 """LM scoring with Elias-Fano n-gram tries.
 
-The model is a bigram model with Dirichlet smoothing: p(w | v) =
-(c(vw) + MU u(w)) / (c(v) + MU). u is the add-one unigram distribution of all known
-words and one unknown.
-
-A token is the pair of a word and the one before it. Texts are cut into batches of
-about ``FLUSH`` tokens, and a batch sends each shard the tokens whose word hashes to
-it. So a shard has every token of its words: it counts them (c(w), hence u(w), of
-every word, however rare), builds the trie of its words and those before them
-(monotone pointers and quantised logs of c(vw) + MU u(w) in memory-mapped Elias-Fano
+The model is a trigram model that takes shares of the shorter n-grams' counts as pseudo-counts:
+p(w | u v) = (c(uvw) + KAPPA c(vw) + MU q(w)) / (c(uv) + KAPPA c(v) + MU). q is the add-one
+unigram distribution of all known words and one unknown. Summed over w, the numerators
+give the divisor, so it is a distribution under every context.
+
+A token is a word and the two before it. Texts are cut into batches of about ``FLUSH``
+tokens, and a batch sends each shard the tokens whose word hashes to it. So a shard has
+every token of its words: it counts them (c(w), hence q(w), of every word, however
+rare), builds the trie of its words, those before them and those before these
+(monotone pointers and quantised logs of the numerators in memory-mapped Elias-Fano
 levels) and answers every token by successor search under its word. The divisor
-c(v) + MU depends on v alone, and v is itself a token of the text (or its start), so
+depends on u and v alone, and v is itself a token of the text after u (or its start), so
 the shard of v adds it. Scores and the words' counts come back by batch and are
 summed by text. Words that hold a large share of all tokens (and the end of a text)
 are dealt by the word before them too, and their totals are broadcast: about
@@ -40,8 +41,10 @@ from sessionmill.llm.common import WordHash, fold, mix, raw, small_batches, tabl
 from sessionmill.llm.elias_fano import Trie
 
 #: Most words that are dealt by two words; how many are changes no result.
-HEAD, MU = 1 << 16, 300.0
-FLUSH, SHARD, LEAST_SHARDS = 1_500_000, 4_000_000, 64
+HEAD = 1 << 16
+#: Shares of the bigram's and the unigram's counts; chosen on a fold of the training rows.
+KAPPA, MU = 0.001, 5.0
+FLUSH, SHARD, LEAST_SHARDS = 1_500_000, 3_000_000, 64
 MOST_TEXTS = 60_000  # of a batch: places of texts are 16-bit
 START, END = xxhash.xxh64_intdigest(b"  "), xxhash.xxh64_intdigest(b" ")  # words hold no space
 _U = np.uint64
@@ -120,8 +123,8 @@ def _split(data: bytes, kinds: tuple) -> list[np.ndarray]:
     return out
 
 
-#: words of a batch in a shard, tokens of each, prints of the words before, texts (as differences)
-SENT = (np.uint64, np.uint32, np.uint32, np.uint16)
+#: words of a batch in a shard, tokens of each, prints of the words before and of those before them, texts (as differences)
+SENT = (np.uint64, np.uint32, np.uint32, np.uint32, np.uint16)
 
 
 def deal(docs: DataFrame, head) -> DataFrame:
@@ -139,20 +142,22 @@ def deal(docs: DataFrame, head) -> DataFrame:
             starts = np.cumsum(n) - n
             after = np.full(int(n.sum()), END, dtype=_U)
             context = np.full(int(n.sum()), START, dtype=_U)
+            farther = np.full(int(n.sum()), START & 0xFFFFFFFF, dtype=np.uint32)
             for (_, h), s in zip(held[train], starts, strict=True):
                 after[s : s + len(h)] = h
                 context[s + 1 : s + 1 + len(h)] = h
+                farther[s + 2 : s + 1 + len(h)] = (h[:-1] & _U(0xFFFFFFFF)).astype(np.uint32)
             text = np.repeat(np.arange(len(n)), n)
             prints = (context & _U(0xFFFFFFFF)).astype(np.uint32)
             shard = (np.where(known.is_hot(after), mix(after ^ mix(context)), mix(after)) % _U(known.shards)).astype(np.int32)
             order = np.lexsort((text, after, shard))
-            shard, after, prints, text = shard[order], after[order], prints[order], text[order].astype(np.uint16)
+            shard, after, prints, farther, text = shard[order], after[order], prints[order], farther[order], text[order].astype(np.uint16)
             which, first = np.unique(shard, return_index=True)
             rows = []
             for a, b in zip(first, np.append(first[1:], len(shard)), strict=True):
                 c = after[a:b]
                 heads = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                rows.append(_join([c[heads], np.diff(np.append(heads, b - a)).astype(np.uint32), prints[a:b], np.diff(text[a:b], prepend=np.uint16(0))]))
+                rows.append(_join([c[heads], np.diff(np.append(heads, b - a)).astype(np.uint32), prints[a:b], farther[a:b], np.diff(text[a:b], prepend=np.uint16(0))]))
             ids = [d for d, _ in held[train]]
             about = _join([np.array([d if d is not None else 0 for d in ids], dtype=np.int64), np.array([d is None for d in ids], dtype=np.uint8), n])
             held[train], size[train] = [], 0
@@ -180,7 +185,7 @@ SUMS = (np.uint16, np.uint32, np.float64, np.float32)
 EACH = (np.uint32, np.uint32, np.uint16, np.int16)
 
 
-def answer(head, mu: float):
+def answer(head, kappa: float, mu: float):
     """Function of a shard's group: the same batches with their tokens' scores, summed by text where that is shorter."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -191,24 +196,33 @@ def answer(head, mu: float):
         runs = np.concatenate([s[1] for s in sent]).astype(np.int64)
         sizes = np.array([len(s[2]) for s in sent], dtype=np.int64)
         rank = np.repeat(place, runs)
-        keys, where = np.unique(rank.astype(_U) << _U(32) | np.concatenate([s[2] for s in sent]).astype(_U), return_inverse=True)
-        n = np.bincount(where[np.repeat(train, sizes)], minlength=len(keys))  # training count of each bigram here
-        owner, prints = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.uint32)
+        low = _U(0xFFFFFFFF)
+        pairs, at_pair = np.unique(rank.astype(_U) << _U(32) | np.concatenate([s[2] for s in sent]).astype(_U), return_inverse=True)
+        triples, at_triple = np.unique(at_pair.astype(_U) << _U(32) | np.concatenate([s[3] for s in sent]).astype(_U), return_inverse=True)
+        # training counts of the trigrams, bigrams and words here
+        pair = (triples >> _U(32)).astype(np.int64)
+        n3 = np.bincount(at_triple[np.repeat(train, sizes)], minlength=len(triples))
+        n2 = np.bincount(pair, n3, minlength=len(pairs)).astype(np.int64)
+        owner = (pairs >> _U(32)).astype(np.int64)
         # a hot word's tokens are in many shards, so its total comes with the head; others are whole here
-        count = np.where(known.is_hot(mine), known.count(mine), np.bincount(owner, n, minlength=len(mine)).astype(np.int64))
+        count = np.where(known.is_hot(mine), known.count(mine), np.bincount(owner, n2, minlength=len(mine)).astype(np.int64))
         share = mu * (count + 1.0) / (known.total + known.distinct + 1)
-        got = np.flatnonzero(n)
-        here, first = np.unique(owner[got], return_index=True)
-        trie = Trie(mine[here], np.append(first, len(got)), prints[got], np.log10(n[got] + share[owner[got]]), LEVELS)
-        found = trie.score(trie.find(mine)[owner], prints)
-        # the word is the one before the next token, but for the end
-        divisor = np.where(mine == _U(END), 0.0, np.log10(count + mu))
-        all_scores = (np.where(np.isnan(found), np.log10(share)[owner], found) - divisor[owner])[where]
+        two, three = np.flatnonzero(n2), np.flatnonzero(n3)
+        here, first = np.unique(owner[two], return_index=True)
+        below = np.unique(pair[three], return_index=True)[1]  # a bigram seen in training has a trigram
+        second, third = (pairs[two] & low).astype(np.uint32), (triples[three] & low).astype(np.uint32)
+        base = kappa * n2 + share[owner]
+        deeper = (np.append(below, len(three)), third, np.log10(n3[three] + base[pair[three]]))
+        trie = Trie(mine[here], np.append(first, len(two)), second, np.log10(base[two]), LEVELS, (deeper,))
+        found = trie.score(trie.find(mine)[owner[pair]], (pairs[pair] & low).astype(np.uint32), (triples & low).astype(np.uint32))
+        # the word and the one before it are those before the next token, but for the end
+        divisor = np.where(mine[owner] == _U(END), 0.0, np.log10(n2 + kappa * count[owner] + mu))
+        all_scores = (np.where(np.isnan(found), np.log10(share)[owner[pair]], found) - divisor[pair])[at_triple]
         counts = count[place]
         out, at, run_at = [], 0, 0
         for s in sent:
             score, c = all_scores[at : at + len(s[2])], counts[run_at : run_at + len(s[0])]
-            text = np.cumsum(s[3], dtype=np.uint16)
+            text = np.cumsum(s[4], dtype=np.uint16)
             at, run_at = at + len(s[2]), run_at + len(s[0])
             which, spot = np.unique(text, return_inverse=True)
             if 18 * len(which) <= 4 * len(text) + 8 * len(c):
@@ -219,19 +233,19 @@ def answer(head, mu: float):
                 if (c >= 1 << 32).any():
                     raise OverflowError("a word's count is over 32 bits")
                 code = np.maximum(np.round(score * _STEP), -32768).astype(np.int16)
-                out.append((False, _join([c.astype(np.uint32), s[1], s[3], code])))
+                out.append((False, _join([c.astype(np.uint32), s[1], s[4], code])))
         return pa.table({"batch": group["batch"], "train": group["train"], "summed": pa.array([x for x, _ in out], pa.bool_()), "data": pa.array([x for _, x in out], pa.binary()), "texts": group["texts"]})
 
     return run
 
 
-def gather(head, mu: float):
+def gather(head, kappa: float, mu: float):
     """Function of a batch's group: one row a text."""
 
     def run(group: pa.Table) -> pa.Table:
         ids, missing, n = _split(next(t for t in group["texts"].to_pylist() if t is not None), (np.int64, np.uint8, np.int64))
         ends = head.value.count(np.array([END], dtype=_U))[0]
-        known, logs, score = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids)), np.full(len(ids), -np.log10(ends + mu))  # the start's divisor
+        known, logs, score = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids)), np.full(len(ids), -np.log10(ends + kappa * ends + mu))  # the start's divisor
         for summed, data in zip(group["summed"].to_pylist(), group["data"].to_pylist(), strict=True):
             if summed:
                 text, k, ls, s = _split(data, SUMS)
@@ -251,7 +265,7 @@ def gather(head, mu: float):
     return run
 
 
-def score(docs: DataFrame, train: Column, mu: float = MU) -> DataFrame:
+def score(docs: DataFrame, train: Column, kappa: float = KAPPA, mu: float = MU) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
     seen = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
@@ -264,8 +278,8 @@ def score(docs: DataFrame, train: Column, mu: float = MU) -> DataFrame:
     hashes = np.array([r["word"] % (1 << 64) for r in top] + [END], dtype=_U)
     numbers = np.array([r["n"] for r in top] + [about["texts"]], dtype=np.int64)
     head = docs.sparkSession.sparkContext.broadcast(Head(hashes, numbers, tokens, total["v"] + (about["texts"] > 0), shards))
-    answered = deal(seen, head).groupBy("shard").applyInArrow(answer(head, mu), "batch long, train boolean, summed boolean, data binary, texts binary")
-    out = answered.groupBy("batch").applyInArrow(gather(head, mu), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    answered = deal(seen, head).groupBy("shard").applyInArrow(answer(head, kappa, mu), "batch long, train boolean, summed boolean, data binary, texts binary")
+    out = answered.groupBy("batch").applyInArrow(gather(head, kappa, mu), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(head.value.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

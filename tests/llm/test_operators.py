@@ -113,6 +113,22 @@ def test_components(spark, monkeypatch):
 
 
 # --- op8 -----------------------------------------------------------------------------------------------------------------------
+def trigram_scores(tokens, training):
+    """log10 probability of each token list by the formula, learned from those at the places ``training``."""
+    count, pairs, triples, after_one, after_two = (collections.Counter() for _ in range(5))
+    grams = [list(zip([None, None, *t[:-2]] if len(t) > 1 else [None], [None, *t[:-1]], t, strict=True)) for t in tokens]
+    for i in training:
+        for a, b, c in grams[i]:
+            count[c] += 1
+            pairs[b, c] += 1
+            triples[a, b, c] += 1
+            after_one[b] += 1
+            after_two[a, b] += 1
+    base = sum(count.values()) + len(count) + 1
+    k, m = lm_score.KAPPA, lm_score.MU
+    return [sum(math.log10((triples[a, b, c] + k * pairs[b, c] + m * (count[c] + 1) / base) / (after_two[a, b] + k * after_one[b] + m)) for a, b, c in g) for g in grams]
+
+
 def test_lm_score(spark, monkeypatch):
     rows = corpus()
     docs = spark.createDataFrame(rows, DOCS)
@@ -125,18 +141,9 @@ def test_lm_score(spark, monkeypatch):
     base = {i: sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in t) for i, t in tokens}
     assert all(abs(base[r["doc_id"]] - r["base_score"]) < 1e-9 * max(1, abs(r["base_score"])) for r in found)
     # the model itself, by the formula; unigrams all lie in the head here
-    bigrams = collections.Counter()
-    contexts = collections.Counter()
-    for i, t in tokens:
-        if i % 7 != 2:
-            for a, b in zip([None, *t[:-1]], t, strict=True):
-                bigrams[a, b] += 1
-                contexts[a] += 1
-    u = lambda w: (count[w] + 1) / (total + distinct + 1)
+    whole = dict(zip([i for i, _ in tokens], trigram_scores([t for _, t in tokens], [x for x, (i, _) in enumerate(tokens) if i % 7 != 2]), strict=True))
     for r in found:
-        t = dict(tokens)[r["doc_id"]]
-        p = sum(math.log10((bigrams[a, b] + lm_score.MU * u(b)) / (contexts[a] + lm_score.MU)) for a, b in zip([None, *t[:-1]], t, strict=True))
-        assert abs(p - r["score"]) < 0.02 * abs(p) + 1e-3
+        assert abs(whole[r["doc_id"]] - r["score"]) < 1e-3 * r["n_tokens"]
     # many small batches and no head give the same counts
     monkeypatch.setattr(lm_score, "FLUSH", 300)
     monkeypatch.setattr(lm_score, "HEAD", 1)
@@ -153,17 +160,8 @@ def test_lm_words_beyond_the_head(spark, monkeypatch):
     rows = [(i, " ".join(rng.choices(often, k=40) + [f"five{i % 8}", f"once{i}"])) for i in range(40)]
     rows += [(100, "five3 five4 five5"), (101, "once3 once4 once5"), (102, "never3 never4 never5")]
     found = {r["doc_id"]: r["score"] for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 100).collect()}
-    count, bigrams, contexts = collections.Counter(), collections.Counter(), collections.Counter()
-    pairs = {i: list(zip([None, *t.split()], [*t.split(), ""], strict=True)) for i, t in rows}
-    for i in range(40):
-        for a, b in pairs[i]:
-            count[b] += 1
-            bigrams[a, b] += 1
-            contexts[a] += 1
-    base = sum(count.values()) + len(count) + 1
-    for i, tokens in pairs.items():
-        want = sum(math.log10((bigrams[a, b] + lm_score.MU * (count[b] + 1) / base) / (contexts[a] + lm_score.MU)) for a, b in tokens)
-        assert abs(found[i] - want) < 1e-3 * len(tokens)
+    want = trigram_scores([[*t.split(), ""] for _, t in rows], range(40))
+    assert all(abs(found[i] - w) < 1e-3 * (len(t.split()) + 1) for (i, t), w in zip(rows, want, strict=True))
     assert found[100] > found[101] + 1 > found[102] + 1
 
 
@@ -190,6 +188,12 @@ def test_elias_fano_and_trie():
     trie = Trie(np.array([3, 9], dtype=np.uint64), np.array([0, 2, 3]), np.array([5, 8, 5], dtype=np.uint32), np.array([-1.0, -2.0, -3.0]))
     got = trie.score(trie.find(np.array([3, 3, 9, 9, 4], dtype=np.uint64)), np.array([5, 8, 5, 8, 5], dtype=np.uint32))
     assert np.allclose(got[:3], [-1, -2, -3]) and np.isnan(got[3:]).all()
+    # a third level: the longest n-gram held decides
+    third = (np.array([0, 1, 1, 3]), np.array([7, 2, 7], dtype=np.uint32), np.array([-0.1, -0.2, -0.3]))
+    trie = Trie(np.array([3, 9], dtype=np.uint64), np.array([0, 2, 3]), np.array([5, 8, 5], dtype=np.uint32), np.array([-1.0, -2.0, -3.0]), deeper=(third,))
+    asked = np.array([[3, 5, 7], [3, 5, 2], [3, 8, 7], [9, 5, 2], [9, 5, 7], [9, 8, 7], [4, 5, 7]])
+    got = trie.score(trie.find(asked[:, 0].astype(np.uint64)), asked[:, 1].astype(np.uint32), asked[:, 2].astype(np.uint32))
+    assert np.allclose(got[:5], [-0.1, -1, -2, -0.2, -0.3]) and np.isnan(got[5:]).all()
 
 
 # --- op6 -----------------------------------------------------------------------------------------------------------------------
