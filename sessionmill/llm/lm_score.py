@@ -14,8 +14,9 @@ levels) and answers every token by successor search under its word. The divisor
 depends on u and v alone, and v is itself a token of the text after u (or its start), so
 the shard of v adds it. Scores and the words' counts come back by batch and are
 summed by text. Words that hold a large share of all tokens (and the end of a text)
-are dealt by the word before them too, and their totals are broadcast: about
-8 words a shard at most, since each holds that share. The number of shards grows
+are dealt by the word before them too, and pairs of words that do by the word before
+both; their totals are broadcast: about 8 words and 2 pairs a shard at most, since
+each holds that share. The number of shards grows
 with the corpus, so a shard's size does not; counts of all words are never gathered.
 
 Words are 64-bit hashes, those before a word 32-bit ones.
@@ -44,29 +45,40 @@ from sessionmill.llm.elias_fano import Trie
 HEAD = 1 << 16
 #: Shares of the bigram's and the unigram's counts; chosen on a fold of the training rows.
 KAPPA, MU = 0.001, 5.0
-FLUSH, SHARD, LEAST_SHARDS = 1_500_000, 3_000_000, 64
+FLUSH, SHARD, LEAST_SHARDS = 1_500_000, 1_000_000, 64
 MOST_TEXTS = 60_000  # of a batch: places of texts are 16-bit
 START, END = xxhash.xxh64_intdigest(b"  "), xxhash.xxh64_intdigest(b" ")  # words hold no space
 _U = np.uint64
 LEVELS = 1 << 16  # of the quantised logs of a shard
+SLICE = 1 << 18  # questions to a trie at a time
 _STEP = 1024.0  # log10 probabilities of tokens travel in units of 1 / _STEP
 
 
-class Head:
-    """Totals, and the sorted hashes and counts of words that are dealt by two words."""
+class Hot:
+    """Sorted hashes with their counts."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, shards: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
-        self.total, self.distinct, self.shards = total, distinct, shards
 
     def count(self, hashes: np.ndarray) -> np.ndarray:
+        """Count of each hash; -1 if it isn't one of these."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, dtype=np.int64)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.counts[at], 0)
+        return np.where(self.hashes[at] == hashes, self.counts[at], -1)
 
-    def is_hot(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return self.hashes[at] == hashes
+
+class Head:
+    """Totals, words that are dealt by two words, and pairs (by ``pair_key``) that are dealt by three."""
+
+    def __init__(self, words: Hot, pairs: Hot, total: int, distinct: int, shards: int):
+        self.words, self.pairs, self.total, self.distinct, self.shards = words, pairs, total, distinct, shards
+
+
+def pair_key(word: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Hash of words and the 32-bit prints of those before them."""
+    return mix(word ^ mix(before.astype(_U)))
 
 
 def unigrams(docs: DataFrame, shards: int) -> DataFrame:
@@ -109,6 +121,36 @@ def commonest(counts: DataFrame, least: int, most: int) -> list:
     return sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))[:most]
 
 
+def hot_pairs(docs: DataFrame, common: Hot, least: int) -> Hot:
+    """Pairs of the given words (any may be the start) that stand ``least`` times or more in training texts."""
+    given = docs.sparkSession.sparkContext.broadcast(common)
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, size = WordHash(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.record_batch({"key": pa.array(key.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+        for batch in it:
+            for text, train in zip(raw(batch.column("text")), batch.column("train").to_pylist(), strict=True):
+                if train:
+                    h = np.concatenate([[_U(START)], seen.of(words(text or b"")), [_U(END)]]).astype(_U)
+                    hot = given.value.count(h) >= 0
+                    hot[0] = True
+                    both = np.flatnonzero(hot[1:] & hot[:-1])
+                    held.append(pair_key(h[both + 1], h[both] & _U(0xFFFFFFFF)))
+                    size += len(both) + 1
+                    if size >= FLUSH:
+                        yield flush()
+                        held, size = [], 0
+        if held:
+            yield flush()
+
+    found = docs.select("text", "train").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
+    return Hot(np.array([r["key"] % (1 << 64) for r in found], dtype=_U), np.array([r["n"] for r in found], dtype=np.int64))
+
+
 def _join(parts: list[np.ndarray]) -> bytes:
     """Arrays behind one another, each after its size in bytes."""
     return b"".join(x for p in parts for x in (np.int64(p.nbytes).tobytes(), np.ascontiguousarray(p).tobytes()))
@@ -149,7 +191,10 @@ def deal(docs: DataFrame, head) -> DataFrame:
                 farther[s + 2 : s + 1 + len(h)] = (h[:-1] & _U(0xFFFFFFFF)).astype(np.uint32)
             text = np.repeat(np.arange(len(n)), n)
             prints = (context & _U(0xFFFFFFFF)).astype(np.uint32)
-            shard = (np.where(known.is_hot(after), mix(after ^ mix(context)), mix(after)) % _U(known.shards)).astype(np.int32)
+            pair = pair_key(after, prints)
+            key = np.where(known.words.count(after) >= 0, pair, mix(after))
+            key = np.where(known.pairs.count(pair) >= 0, mix(pair ^ mix(farther.astype(_U))), key)
+            shard = (key % _U(known.shards)).astype(np.int32)
             order = np.lexsort((text, after, shard))
             shard, after, prints, farther, text = shard[order], after[order], prints[order], farther[order], text[order].astype(np.uint16)
             which, first = np.unique(shard, return_index=True)
@@ -199,29 +244,38 @@ def answer(head, kappa: float, mu: float):
         low = _U(0xFFFFFFFF)
         pairs, at_pair = np.unique(rank.astype(_U) << _U(32) | np.concatenate([s[2] for s in sent]).astype(_U), return_inverse=True)
         triples, at_triple = np.unique(at_pair.astype(_U) << _U(32) | np.concatenate([s[3] for s in sent]).astype(_U), return_inverse=True)
+        at_triple = at_triple.astype(np.int32)
+        del rank, at_pair
         # training counts of the trigrams, bigrams and words here
         pair = (triples >> _U(32)).astype(np.int64)
         n3 = np.bincount(at_triple[np.repeat(train, sizes)], minlength=len(triples))
         n2 = np.bincount(pair, n3, minlength=len(pairs)).astype(np.int64)
         owner = (pairs >> _U(32)).astype(np.int64)
-        # a hot word's tokens are in many shards, so its total comes with the head; others are whole here
-        count = np.where(known.is_hot(mine), known.count(mine), np.bincount(owner, n2, minlength=len(mine)).astype(np.int64))
+        count = np.bincount(owner, n2, minlength=len(mine)).astype(np.int64)
+        # tokens of a hot word or pair are in many shards, so its total comes with the head; others are whole here
+        total = known.words.count(mine)
+        count = np.where(total >= 0, total, count)
+        total = known.pairs.count(pair_key(mine[owner], pairs & low))
+        n2 = np.where(total >= 0, total, n2)
         share = mu * (count + 1.0) / (known.total + known.distinct + 1)
         two, three = np.flatnonzero(n2), np.flatnonzero(n3)
         here, first = np.unique(owner[two], return_index=True)
-        below = np.unique(pair[three], return_index=True)[1]  # a bigram seen in training has a trigram
+        below = np.searchsorted(pair[three], two)
         second, third = (pairs[two] & low).astype(np.uint32), (triples[three] & low).astype(np.uint32)
         base = kappa * n2 + share[owner]
         deeper = (np.append(below, len(three)), third, np.log10(n3[three] + base[pair[three]]))
         trie = Trie(mine[here], np.append(first, len(two)), second, np.log10(base[two]), LEVELS, (deeper,))
-        found = trie.score(trie.find(mine)[owner[pair]], (pairs[pair] & low).astype(np.uint32), (triples & low).astype(np.uint32))
+        roots, found = trie.find(mine), np.empty(len(triples))
+        for a in range(0, len(triples), SLICE):
+            p = pair[a : a + SLICE]
+            found[a : a + SLICE] = trie.score(roots[owner[p]], (pairs[p] & low).astype(np.uint32), (triples[a : a + SLICE] & low).astype(np.uint32))
         # the word and the one before it are those before the next token, but for the end
         divisor = np.where(mine[owner] == _U(END), 0.0, np.log10(n2 + kappa * count[owner] + mu))
-        all_scores = (np.where(np.isnan(found), np.log10(share)[owner[pair]], found) - divisor[pair])[at_triple]
+        found = np.where(np.isnan(found), np.log10(share)[owner[pair]], found) - divisor[pair]
         counts = count[place]
         out, at, run_at = [], 0, 0
         for s in sent:
-            score, c = all_scores[at : at + len(s[2])], counts[run_at : run_at + len(s[0])]
+            score, c = found[at_triple[at : at + len(s[2])]], counts[run_at : run_at + len(s[0])]
             text = np.cumsum(s[4], dtype=np.uint16)
             at, run_at = at + len(s[2]), run_at + len(s[0])
             which, spot = np.unique(text, return_inverse=True)
@@ -244,7 +298,7 @@ def gather(head, kappa: float, mu: float):
 
     def run(group: pa.Table) -> pa.Table:
         ids, missing, n = _split(next(t for t in group["texts"].to_pylist() if t is not None), (np.int64, np.uint8, np.int64))
-        ends = head.value.count(np.array([END], dtype=_U))[0]
+        ends = head.value.words.count(np.array([END], dtype=_U))[0]
         known, logs, score = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids)), np.full(len(ids), -np.log10(ends + kappa * ends + mu))  # the start's divisor
         for summed, data in zip(group["summed"].to_pylist(), group["data"].to_pylist(), strict=True):
             if summed:
@@ -275,9 +329,11 @@ def score(docs: DataFrame, train: Column, kappa: float = KAPPA, mu: float = MU)
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens = (total["n"] or 0) + about["texts"]
     top = commonest(counts, max(1, tokens // (8 * shards)), HEAD - 1)
-    hashes = np.array([r["word"] % (1 << 64) for r in top] + [END], dtype=_U)
-    numbers = np.array([r["n"] for r in top] + [about["texts"]], dtype=np.int64)
-    head = docs.sparkSession.sparkContext.broadcast(Head(hashes, numbers, tokens, total["v"] + (about["texts"] > 0), shards))
+    hot = Hot(np.array([r["word"] % (1 << 64) for r in top] + [END], dtype=_U), np.array([r["n"] for r in top] + [about["texts"]], dtype=np.int64))
+    least = max(1, tokens // (2 * shards))
+    often = hot.counts >= least
+    pairs = hot_pairs(seen, Hot(hot.hashes[often], hot.counts[often]), least)
+    head = docs.sparkSession.sparkContext.broadcast(Head(hot, pairs, tokens, total["v"] + (about["texts"] > 0), shards))
     answered = deal(seen, head).groupBy("shard").applyInArrow(answer(head, kappa, mu), "batch long, train boolean, summed boolean, data binary, texts binary")
     out = answered.groupBy("batch").applyInArrow(gather(head, kappa, mu), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "train", "n_tokens", "n_known", F.lit(head.value.total).cast("long").alias("train_tokens"), "base_score", "score")

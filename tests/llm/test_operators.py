@@ -165,6 +165,18 @@ def test_lm_words_beyond_the_head(spark, monkeypatch):
     assert found[100] > found[101] + 1 > found[102] + 1
 
 
+def test_lm_frequent_pairs(spark, monkeypatch):
+    """Pairs of words that many documents share are dealt by the word before them and keep their counts."""
+    seen, plain = [], lm_score.hot_pairs
+    monkeypatch.setattr(lm_score, "hot_pairs", lambda *a: seen.append(plain(*a)) or seen[-1])
+    rng = random.Random(5)
+    rows = [(i, " ".join(["all", "rights", "reserved", *rng.choices("abcdefgh", k=9), "see", "the", "licence"][: 15 if i % 9 else 2])) for i in range(60)]
+    found = {r["doc_id"]: r["score"] for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 50).collect()}
+    assert len(seen[0].hashes) > 4
+    want = trigram_scores([[*t.split(), ""] for _, t in rows], range(50))
+    assert all(abs(found[i] - w) < 1e-3 * (len(t.split()) + 1) for (i, t), w in zip(rows, want, strict=True))
+
+
 def test_lm_without_training(spark):
     rows = [(1, "a b"), (2, None)]
     got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()
