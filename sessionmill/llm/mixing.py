@@ -10,8 +10,8 @@ closest to what is then left. Which documents of a length those are is decided
 by a seeded hash, so reruns agree.
 
 The grouped data of a source are its distinct lengths, not its documents.
-Documents of one source and length are ranked within ``SPLITS`` ranges of the
-hash, with the ranges' counts as offsets, so copies of one text do not meet in
+Documents of one source and length are ranked within ``SPLITS`` or more ranges of the
+hash (more with more rows), with the ranges' counts as offsets, so copies of one text do not meet in
 one task. Sources are ranked within range partitions in the same way, and the
 capped targets are found by rounds of sums; only sums come to the driver.
 
@@ -34,7 +34,9 @@ from sessionmill.llm.common import small_batches, table
 
 WEIGHTS, SHARE, MOST, SEED = (5.0, 2.0, 1.0), 1.5, 2, 20240131
 SPLITS = 256
-#: The knapsack is filled exactly up to this many words; what is beyond goes to the longest lengths first.
+#: A window of ranks holds about this many rows at most; there are more windows where SPLITS aren't enough.
+SPLIT_ROWS = 1_000_000
+#: Words that the knapsack is given at most, beside what no length can take; what is beyond goes to all lengths by their shares.
 REACH = 1 << 16
 
 
@@ -116,20 +118,27 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
-    """How many of each length make up about ``budget`` words: even shares, then the longest that fit, then the knapsack."""
+    """How many of each length make up about ``budget`` words: even shares, of which the last ``REACH`` words go to the knapsack.
+
+    Whole documents of the even shares come first. Of their fractions, in words, what is over REACH is given out from the longest
+    length to the shortest; what a length can't take as a whole document goes on to the next.
+    """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     size = int((lengths * counts).sum())
     if budget <= 0 or size == 0:
         return np.zeros(len(lengths), dtype=np.int64)
     budget = min(int(round(budget)), size)
-    take = np.floor(counts * (budget / size)).astype(np.int64)
+    share = counts * (budget / size)
+    take = np.floor(share).astype(np.int64)
     left = budget - int((take * lengths).sum())
+    due = (share - take) * lengths * (max(0, left - REACH) / max(1, left))
+    carry = 0.0
     for i in np.argsort(-lengths, kind="stable"):
-        if left <= REACH or not lengths[i]:
-            break
-        n = min(int(counts[i] - take[i]), (left - REACH) // int(lengths[i]) + 1, left // int(lengths[i]))
+        carry += due[i]
+        n = min(int(counts[i] - take[i]), int(carry // lengths[i])) if lengths[i] else 0
         take[i] += n
-        left -= n * int(lengths[i])
+        carry -= n * lengths[i]
+    left = budget - int((take * lengths).sum())
     ok = (lengths > 0) & (counts > take) & (lengths <= left)
     take[ok] += knapsack(lengths[ok], (counts - take)[ok], left)
     return take
@@ -139,7 +148,8 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, and copies (how often the mix holds the document) of each row of docs (doc_id, source, text)."""
     small_batches(docs.sparkSession)
     rows = table(sized(docs), "sizes")
-    split = F.pmod(F.shiftrightunsigned("h", 20), F.lit(SPLITS)).alias("split")
+    splits = max(SPLITS, rows.count() // SPLIT_ROWS)
+    split = F.pmod(F.shiftrightunsigned("h", 20), F.lit(splits)).alias("split")
     by_range = table(rows.where("size > 0").groupBy("source", "size", split).count(), "ranges")
     by_length = by_range.groupBy("source", "size").agg(F.sum("count").alias("n"))
     sources = table(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most), "targets")

@@ -254,6 +254,18 @@ def test_knapsack_equals_brute_force():
         assert (take <= counts).all() and int(np.dot(take, lengths)) == best
 
 
+def test_fit_gives_all_lengths_their_share(monkeypatch):
+    """What is over the knapsack's reach doesn't go to the longest documents alone, and the budget is met."""
+    monkeypatch.setattr(mixing, "REACH", 2_000)
+    lengths, counts = np.arange(1, 801), np.full(800, 3)
+    for share in (0.1, 0.5, 0.6, 0.9, 1.0):
+        budget = round(share * int((lengths * counts).sum()))
+        take = mixing.fit_counts(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and int(take @ lengths) == budget
+        for part in (slice(0, 400), slice(400, 600), slice(600, 800)):
+            assert abs((take @ np.where(np.isin(np.arange(800), np.arange(800)[part]), lengths, 0)) / (lengths[part] @ counts[part]) - share) < 0.03
+
+
 # --- op7 -----------------------------------------------------------------------------------------------------------------------
 def test_vectors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "PER_LIST", 40)
