@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus components built on Spark.
+"""Training-data operators: thirteen corpus components built on Spark.
 
 Nothing else in the library imports this subpackage.
 """
