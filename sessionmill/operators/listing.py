@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionmill.operators import archive, rollups, search, windowed
 from sessionmill.operators.sessions import sessions as rollup
 
 DEFAULT_LIMIT, MOST_LIMIT = 50, 500
@@ -45,6 +49,92 @@ def recent_archived(session_days: DataFrame, turns: DataFrame, limit: int | None
     return recent(rollup(found), size)
 
 
+@dataclass
+class Page:
+    """A page of sessions, whether more follow, the cursor for them, and the days whose turns were read."""
+
+    sessions: DataFrame
+    more: bool
+    after: tuple[int, str, str] | None
+    days: list[dt.date]
+
+
+#: Sessions that a round looks at, in pages; after the last all that are left.
+ROUNDS = (2, 16, 128)
+
+
+def page(
+    spark: SparkSession, path: str, limit: int | None = None, after: tuple[int, str, str] | None = None, text: str = "", since: dt.datetime | None = None, to: dt.datetime | None = None, hot: DataFrame | None = None
+) -> Page:
+    """A page of the sessions of a window that a search finds, over the archive and hot turns (of days that it doesn't hold yet).
+
+    Equal to filtering the list of all sessions made of the window's turns. The session-day rollup (and turns of the window's edge
+    days and the hot days) tells when each session ends and which days it touches, so sessions are walked backwards by their end,
+    and of a round's sessions only their days are read: no session is shown before its oldest day is in, and the walk stops with
+    the page full. The posting table and the words of the days that it names leave sessions out that can't match.
+    """
+    size = page_size(limit)
+    first, last = (None if x is None else x.date() for x in (since, to))
+    trim = lambda f: f if since is None else windowed.in_window(f, since, to)
+    warm = None if hot is None else trim(hot)
+    cold_days = archive.read_table(spark, path, "by_session", first, last)
+    if since is not None:
+        whole = windowed.whole_days(since, to)
+        edges = trim(archive.read_table(spark, path, "turns", first, first).unionByName(archive.read_table(spark, path, "turns", last, last)) if first != last else archive.read_table(spark, path, "turns", first, last)).where(~whole)
+        cold_days = cold_days.where(whole).unionByName(rollups.rollup_session_day(edges))
+    spans = cold_days if warm is None else cold_days.unionByName(rollups.rollup_session_day(warm))
+    asked = search.needles(text)
+    if asked:
+        words = archive.read_table(spark, path, "words", first, last)
+        posted = search.posted_days(archive.read_table(spark, path, "grams", first, last), asked)
+        words = words if posted is None else words.join(posted, ["tenant_id", "day"], "left_semi")
+        words = words if warm is None else words.unionByName(rollups.rollup_words(warm))
+        spans = spans.join(search.candidates(words, asked), ["tenant_id", "session_id"], "left_semi")
+    spans = spans.select("tenant_id", "session_id", "day", "last_at").persist()
+    ends = spans.groupBy("tenant_id", "session_id").agg(F.unix_millis(F.max("last_at")).alias("ended_ms"))
+    hot_days = [] if warm is None else [r["day"] for r in warm.select("day").distinct().collect()]  # one value a day
+    found, read, at = [], set(), after
+    schema = None
+    for pages in (*ROUNDS, None):
+        keys = ends if at is None else ends.where(_behind(at))
+        if pages is not None:
+            keys = keys.orderBy(*[F.desc(c) for c in CURSOR]).limit(pages * size)
+        keys = keys.persist()
+        reach = keys.agg(F.count("*").alias("n"), F.min(F.struct(*CURSOR)).alias("last")).first()
+        days = sorted(r["day"] for r in spans.join(keys, ["tenant_id", "session_id"], "left_semi").select("day").distinct().collect())  # one value a day
+        cold = archive.read_table(spark, path, "turns", *((days[0], days[-1]) if days else (dt.date.min, dt.date.min))).where(F.col("day").isin(days))
+        turns = trim(cold) if warm is None else trim(cold).unionByName(warm, allowMissingColumns=True)
+        made = rollup(turns.join(keys.select("tenant_id", "session_id"), ["tenant_id", "session_id"], "left_semi")).where(search.search(text))
+        made = made.withColumn("ended_ms", F.unix_millis("ended_at")).orderBy(*[F.desc(c) for c in CURSOR]).limit(size + 1)
+        schema = made.schema
+        if reach["n"]:
+            found += made.collect()  # a page and one row at most
+            read |= set(days) - set(hot_days)
+        keys.unpersist()
+        if len(found) > size or pages is None or reach["n"] < pages * size:
+            break
+        at = tuple(reach["last"])
+    spans.unpersist()
+    rows = found[:size]
+    return Page(spark.createDataFrame(rows, schema), len(found) > size, tuple(rows[-1][c] for c in CURSOR) if rows else None, sorted(read))
+
+
+def find(spark: SparkSession, path: str, text: str) -> DataFrame:
+    """All sessions of the archive that a search finds: the posting table and words name the candidates, only the days that these
+    touch are read, and the exact predicate decides."""
+    asked, turns = search.needles(text), archive.read_table(spark, path, "turns")
+    if asked:
+        words = archive.read_table(spark, path, "words")
+        posted = search.posted_days(archive.read_table(spark, path, "grams"), asked)
+        words = words if posted is None else words.join(posted, ["tenant_id", "day"], "left_semi")
+        keys = search.candidates(words, asked)
+        touched = archive.read_table(spark, path, "by_session").join(keys, ["tenant_id", "session_id"], "left_semi")
+        days = sorted(r["day"] for r in touched.select("day").distinct().collect())  # one value a day
+        reach = (days[0], days[-1]) if days else (dt.date.min, dt.date.min)
+        turns = archive.read_table(spark, path, "turns", *reach).where(F.col("day").isin(days)).join(keys, ["tenant_id", "session_id"], "left_semi")
+    return rollup(turns).where(search.search(text))
+
+
 def ranked(sessions: DataFrame, sort: str, limit: int | None = None, offset: int = 0) -> DataFrame:
     """A page by cost, turns or errors; an unknown sort is by recency."""
     if sort not in RANKS:

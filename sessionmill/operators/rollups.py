@@ -46,6 +46,32 @@ def rollup_session_day(turns: DataFrame) -> DataFrame:
     return turns.where("session_id is not null").groupBy("tenant_id", "day", "session_id").agg(F.count("*").alias("turns"), F.min("started_at").alias("first_at"), F.max(ended_at()).alias("last_at"))
 
 
+#: Letters that a posting is made of.
+GRAM = 3
+
+
+def rollup_words(turns: DataFrame) -> DataFrame:
+    """What search can find a session by, a session and day: the distinct lower-case project, branch, model and tool names."""
+    names = F.array("project", "git_branch", "model")
+    both = F.concat(names, F.transform("calls", lambda c: c["name"])) if "calls" in turns.columns else names
+    words = turns.where("session_id is not null").select("tenant_id", "day", "session_id", F.explode(F.filter(F.transform(both, F.lower), lambda w: w != "")).alias("word"))
+    return words.groupBy("tenant_id", "day", "session_id").agg(F.sort_array(F.collect_set("word")).alias("words"))
+
+
+def grams(text: Column) -> Column:
+    """The runs of GRAM letters of a text."""
+    return F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda i: F.substring(text, i, F.lit(GRAM)))
+
+
+def rollup_grams(turns: DataFrame) -> DataFrame:
+    """The posting table of search: letter runs of session ids and of the words above, with the days that hold them."""
+    ids = turns.where("session_id is not null").select("tenant_id", "day", F.lower("session_id").alias("word"))
+    words = rollup_words(turns).select("tenant_id", "day", F.explode("words").alias("word"))
+    each = words.union(ids).distinct().where(F.length("word") >= GRAM)
+    return each.select("tenant_id", "day", F.explode(grams(F.col("word"))).alias("gram")).distinct()
+
+
 def rollups(turns: DataFrame) -> dict[str, DataFrame]:
-    """All five, by table name."""
-    return {"day": rollup_day(turns), "by_model": rollup_model(turns), "by_tool": rollup_tool(turns), "by_project": rollup_project(turns), "by_session": rollup_session_day(turns)}
+    """All of a version, by table name."""
+    named = {"words": rollup_words(turns), "grams": rollup_grams(turns)}
+    return {"day": rollup_day(turns), "by_model": rollup_model(turns), "by_tool": rollup_tool(turns), "by_project": rollup_project(turns), "by_session": rollup_session_day(turns)} | named

@@ -73,11 +73,13 @@ def with_tool_calls(turns: DataFrame, events: DataFrame) -> DataFrame:
 
 def content_refs(events: DataFrame) -> DataFrame:
     """(key, content_blobs): refs of each turn's captured content in order of arrival, without dedupe; behind them those of the
-    results of its calls. A result whose call no turn of the day made is dropped."""
+    results of its calls. A call id that several turns of a day hold is the turn's that showed it first; a result whose call no turn of
+    the day made is dropped."""
     e = keyed(events).where("type = 'content' and content_ref is not null")
     ref = [F.col("seq"), F.col("content_ref")]
     own = e.where("tool_use_id is null").select(*KEY, F.lit(0).alias("behind"), *ref)
-    owners = keyed(events).where("type = 'response'").select(*KEY, F.explode("tool_calls.id").alias("tool_use_id")).where("tool_use_id <> ''").distinct()
+    calls = keyed(events).where("type = 'response'").select(*KEY, "seq", F.explode("tool_calls.id").alias("tool_use_id")).where("tool_use_id <> ''")
+    owners = calls.groupBy("tenant_id", "day", "tool_use_id").agg(F.min_by("turn_key", F.struct("seq", "turn_key")).alias("turn_key"))
     results = owners.join(e.where("tool_use_id is not null").select("tenant_id", "day", "tool_use_id", *ref), ["tenant_id", "day", "tool_use_id"])
     both = own.unionByName(results.select(*KEY, F.lit(1).alias("behind"), *ref))
     listed = F.sort_array(F.collect_list(F.struct("behind", *ref)))

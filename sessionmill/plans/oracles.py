@@ -53,6 +53,11 @@ sessions AS (SELECT s.*, (epoch_us(ended_at) // 1000) AS ended_ms, (epoch_us(end
     CASE WHEN input_tokens + cache_write + cache_read > 0 THEN cache_read / (input_tokens + cache_write + cache_read) ELSE 0.0 END AS hit_rate,
     coalesce(tool_names, '') AS tool_names, coalesce(tool_calls, 0) AS tool_calls FROM sess s LEFT JOIN names USING (tenant_id, session_id))"""
 
+#: Sessions of the turns of a window alone.
+_LATE = _SESSIONS.replace("FROM priced JOIN call_rows", "FROM inside JOIN call_rows").replace("FROM priced GROUP BY tenant_id, session_id)", "FROM inside GROUP BY tenant_id, session_id)").replace(
+    "names AS (", "inside AS (SELECT * FROM priced WHERE started_at BETWEEN TIMESTAMP '2024-01-05 06:30:00' AND TIMESTAMP '2024-01-23 09:15:00' AND day BETWEEN DATE '2024-01-05' AND DATE '2024-01-23'),\nnames AS (", 1
+)
+
 _TOKENS = ", ".join(f"CAST(sum(coalesce({c}, 0)) AS BIGINT) AS {c}" for c in ("input_tokens", "output_tokens", "cache_write", "cache_read", "w5m", "w1h"))
 _MONEY = f"CAST(sum(units) AS DOUBLE) / {UNIT} AS cost_usd, CAST(sum(saved) AS DOUBLE) / {UNIT} AS saved_usd"
 _DAY = "strftime(day, '%Y-%m-%d') AS day"
@@ -114,6 +119,12 @@ ORACLE_SQL: dict[str, str] = {
     "priced_models": _of(_PRICED, "SELECT DISTINCT prefix AS model_prefix FROM model_rates"),
     "token_total": _of(_TURNS, f"SELECT tenant_id, {_DAY}, turn_key, coalesce(input_tokens, 0) + coalesce(output_tokens, 0) + coalesce(cache_write, 0) + coalesce(cache_read, 0) AS tokens FROM turns"),
     "compacted_days": _of(_PRICED, f"SELECT run, {_DAY_ROWS}, {_TOKENS}, {_MONEY} FROM priced JOIN (VALUES ('missing', DATE '2024-01-20'), ('all', DATE '1970-01-01')) r(run, behind) ON priced.day > behind WHERE priced.day < DATE '2024-01-31' GROUP BY run, tenant_id, priced.day"),
+    "replaced_days": _of(_PRICED, f"SELECT tenant_id, {_DAY}, name AS tool, count(*) AS calls FROM call_rows WHERE day NOT BETWEEN DATE '2024-01-05' AND DATE '2024-01-09' GROUP BY tenant_id, call_rows.day, name"),
+    "committed_days": _of(f"{_PRICED}, {_REFS}", f"SELECT {_DAY}, count(*) AS turns, CAST(coalesce(sum(n), 0) AS BIGINT) AS refs, max(first_seq) AS compacted_seq FROM priced LEFT JOIN (SELECT tenant_id, day, turn_key, count(*) AS n FROM refs GROUP BY ALL) r USING (tenant_id, day, turn_key) WHERE day < DATE '2024-01-31' GROUP BY day"),
+    "released_days": _of(
+        f"{_PRICED}, {_REFS}, n AS (SELECT tenant_id, day, turn_key, count(*) AS n FROM refs GROUP BY ALL), both_ AS (SELECT day, count(*) AS rebuilt_turns, CAST(coalesce(sum(n), 0) AS BIGINT) AS rebuilt_refs, count(*) FILTER (NOT gone) AS archived_turns, CAST(coalesce(sum(n) FILTER (NOT gone), 0) AS BIGINT) AS archived_refs FROM (SELECT *, day = DATE '2024-01-07' AND first_seq % 5 = 0 AS gone FROM priced LEFT JOIN n USING (tenant_id, day, turn_key)) WHERE day < DATE '2024-01-31' GROUP BY day)",
+        f"SELECT {_DAY}, archived_turns, rebuilt_turns, archived_refs, rebuilt_refs, archived_turns = rebuilt_turns AND archived_refs = rebuilt_refs AS releasable, CASE WHEN archived_turns = rebuilt_turns AND archived_refs = rebuilt_refs THEN 0 ELSE (SELECT count(*) FROM ev WHERE ev.day = both_.day) + (SELECT count(*) FROM ev WHERE type = 'response' AND ev.day = both_.day) + (SELECT count(*) FROM ev WHERE tool_id IS NOT NULL AND ev.day = both_.day) END AS kept FROM both_",
+    ),
     "consolidated_rollups": _of(_PRICED, f"SELECT tenant_id, {_DAY}, model, count(*) AS turns, {_TOKENS}, {_MONEY} FROM priced WHERE model IS NOT NULL GROUP BY tenant_id, priced.day, model"),
     "archive_columns": _of(_PRICED, "SELECT tenant_id, model, count(*) AS turns, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM priced GROUP BY tenant_id, model"),
     "additive_schema": _of(_PRICED, f"SELECT tenant_id, {_DAY}, session_id, count(*) AS turns, (epoch_us(min(started_at)) // 1000) AS first_at, (epoch_us(max(done_at)) // 1000) AS last_at FROM priced GROUP BY tenant_id, priced.day, session_id"),
@@ -264,6 +275,9 @@ SELECT CASE WHEN place <= 3 THEN model ELSE '(other)' END AS model, least(place,
     ).replace("\n,", ","),
     "sessions_page_1": _page(_RECENT, 20),
     "sessions_page_2": _page(_RECENT, 20, 20),
+    "sessions_page_search": _of(_SESSIONS, f"SELECT tenant_id, session_id, ended_ms, turns, errors, cost_usd FROM sessions WHERE contains(lower(git_branch), 'feature') AND contains(lower(tool_names), 'bash') AND turns > 2 ORDER BY {_RECENT} LIMIT 10"),
+    "sessions_page_window": _of(_LATE, f"SELECT tenant_id, session_id, ended_ms, turns, errors, cost_usd FROM sessions ORDER BY {_RECENT} LIMIT 25"),
+    "search_indexed": _found(f"({_WORD.format('proj3')}) AND ({_WORD.format('bash')}) AND ({_WORD.format('mini')})"),
     "sessions_page_index": _page(_RECENT, 40),
     "sessions_by_cost": _page(f"units DESC, {_RECENT}", 15, 5),
     "sessions_by_turns": _page(f"turns DESC, {_RECENT}", 15),

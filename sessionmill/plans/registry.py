@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 UTC = dt.timezone.utc
 AS_OF = dt.datetime(2024, 1, 31, tzinfo=UTC)
 SINCE, TO = dt.datetime(2024, 1, 5, 6, 30, tzinfo=UTC), dt.datetime(2024, 1, 12, 18, tzinfo=UTC)
+LATE = dt.datetime(2024, 1, 23, 9, 15, tzinfo=UTC)
 FIRST, LAST = dt.date(2023, 12, 25), dt.date(2024, 1, 31)
 PROJECT = "/home/dev/src/proj3"
 PROJECT_ID = hashlib.sha256(PROJECT.encode()).hexdigest()[:12]
@@ -40,11 +41,20 @@ def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.with_cost(turns.with_tool_calls(turns.build_turns(events), events), fx.rates(spark), fx.raw_events(spark, sf_dir))
 
 
+def log_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with content events, as written."""
+    path = new_folder(spark, "log")
+    fx.content_events(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as the archive keeps them, built of the log as written."""
-    path = f"{work_dir(spark)}/log-{uuid.uuid4().hex}"
-    fx.content_events(spark, sf_dir).write.parquet(path)
-    return turns.full(spark.read.parquet(path), fx.rates(spark))
+    return turns.full(log_of(spark, sf_dir), fx.rates(spark))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def archived(spark: SparkSession, sf_dir: str) -> str:
@@ -358,10 +368,12 @@ def session_detail(spark, sf_dir):
 
 @query
 def hot_cold_turns(spark, sf_dir):
-    t = priced(spark, sf_dir)
-    cold = t.where("day <= '2024-01-20'").withColumn("origin", F.lit("cold"))
-    hot = t.withColumn("origin", F.lit("hot"))
-    return windowed.cold_over_hot(cold, hot, done_days(spark)).groupBy("origin", "day").agg(F.count("*").alias("turns")).select("origin", day(), "turns")
+    """Turns of days that the archive's log holds from the archive, those of later days from the log."""
+    events, path = log_of(spark, sf_dir), new_folder(spark, "archive")
+    archive.compact(events, fx.rates(spark), path, dt.datetime(2024, 1, 21, tzinfo=UTC))
+    both = archive.hot_and_cold(spark, path, events, fx.rates(spark))
+    origin = F.when(F.col("day").isin([r["day"] for r in archive.done_days(spark, path).collect()]), "cold").otherwise("hot").alias("origin")
+    return both.groupBy(origin, "day").agg(F.count("*").alias("turns")).select("origin", day(), "turns")
 
 
 @query
@@ -530,20 +542,60 @@ def coverage_merge(spark, sf_dir):
 @query
 def compacted_days(spark, sf_dir):
     """Compaction of the days that are not done, then of all days again."""
-    t, path = complete(spark, sf_dir), f"{work_dir(spark)}/archive-{uuid.uuid4().hex}"
-    runs = []
-    for run, done in (("missing", done_days(spark)), ("all", None)):
-        archive.compact(t, f"{path}/{run}", AS_OF, done)
-        read = archive.read_table(spark, f"{path}/{run}", "day")
+    events, path, runs = log_of(spark, sf_dir), new_folder(spark, "archive"), []
+    archive.write_days(turns.full(events.limit(0), fx.rates(spark)), path, done_days(spark))  # done, and without a turn
+    for run, again in (("missing", False), ("all", True)):
+        archive.compact(events, fx.rates(spark), path, AS_OF, again)
+        read = archive.read_table(spark, path, "day")
         runs.append(read.select(F.lit(run).alias("run"), "tenant_id", day(), "sessions", "turns", "errors", *TOKENS, *money()))
     return runs[0].unionByName(runs[1])
 
 
 @query
 def consolidated_rollups(spark, sf_dir):
-    path = archived(spark, sf_dir)
-    archive.consolidate(spark, path)
-    return archive.read_rollup(spark, path, "by_model").select("tenant_id", day(), "model", "turns", *TOKENS, *money())
+    """Rollups of two versions are merged; of a third, which writes one of their days again, and a fourth they are runs of their own."""
+    t, path = complete(spark, sf_dir), new_folder(spark, "archive")
+    part = lambda low, high: t.where(F.col("day").between(F.lit(low).cast("date"), F.lit(high).cast("date")))
+    archive.write_days(part("2024-01-01", "2024-01-10"), path)
+    archive.write_days(part("2024-01-11", "2024-01-20").where("first_seq % 3 <> 0"), path)
+    archive.consolidate(spark, path, whole=True)
+    archive.write_days(part("2024-01-11", "2024-01-20"), path)
+    archive.write_days(part("2024-01-21", "2024-02-28"), path)
+    return archive.read_table(spark, path, "by_model").select("tenant_id", day(), "model", "turns", *TOKENS, *money())
+
+
+@query
+def replaced_days(spark, sf_dir):
+    """Calls by tool after some days are written again without calls, and one without turns."""
+    t, path = complete(spark, sf_dir), new_folder(spark, "archive")
+    archive.write_days(t, path)
+    again = spark.range(1).select(F.explode(F.sequence(F.lit(dt.date(2024, 1, 5)), F.lit(dt.date(2024, 1, 9)))).alias("day"))
+    none = F.array().cast(t.schema["calls"].dataType)
+    archive.write_days(t.where("day < '2024-01-09'").withColumn("calls", none), path, again)
+    return archive.read_table(spark, path, "by_tool").select("tenant_id", day(), "tool", "calls")
+
+
+@query
+def committed_days(spark, sf_dir):
+    """The days that the archive's log holds after a compaction."""
+    path = new_folder(spark, "archive")
+    archive.compact(log_of(spark, sf_dir), fx.rates(spark), path, AS_OF)
+    return archive.done_days(spark, path).select(day(), "turns", "refs", "compacted_seq")
+
+
+@query
+def released_days(spark, sf_dir):
+    """Release of raw days that the archive holds: one that it holds in part keeps its events. kept: raw events left of the day."""
+    raw, path, rates = new_folder(spark, "raw"), new_folder(spark, "archive"), fx.rates(spark)
+    fx.content_events(spark, sf_dir).withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(raw)
+    events = spark.read.parquet(raw).drop("day")
+    archive.compact(events, rates, path, AS_OF)
+    odd = spark.range(1).select(F.lit(dt.date(2024, 1, 7)).alias("day"))
+    archive.write_days(turns.full(events, rates).where("day = '2024-01-07' and first_seq % 5 <> 0"), path, odd)
+    verdict = archive.release(spark, path, raw, rates, AS_OF)
+    left = spark.read.parquet(raw).groupBy(F.col("day").alias("left_day")).agg(F.count("*").alias("kept"))
+    both = verdict.join(left, F.col("day") == F.col("left_day"), "full")
+    return both.select(fn.day_text(F.coalesce("day", "left_day")).alias("day"), "archived_turns", "rebuilt_turns", "archived_refs", "rebuilt_refs", "releasable", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
 @query
@@ -699,6 +751,38 @@ def sessions_page_index(spark, sf_dir):
     return first.unionByName(listing.recent_archived(by_session, t, 20, cursor(first))).select(*PAGE)
 
 
+PAGE_TEXT, FIND_TEXT = "branch:feature tool:bash turns:>2", "proj3 bash mini"
+
+
+def split_archive(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """An archive of the days before 21 January, and the turns of later days."""
+    t, path = complete(spark, sf_dir), new_folder(spark, "archive")
+    archive.write_days(t.where("day <= '2024-01-20'"), path)
+    return path, t.where("day > '2024-01-20'")
+
+
+@query
+def sessions_page_search(spark, sf_dir):
+    """Two pages of what a search finds over archive and later days."""
+    path, hot = split_archive(spark, sf_dir)
+    first = listing.page(spark, path, 5, text=PAGE_TEXT, hot=hot)
+    second = listing.page(spark, path, 5, after=first.after, text=PAGE_TEXT, hot=hot) if first.more else None
+    return (first.sessions if second is None else first.sessions.unionByName(second.sessions)).select(*PAGE)
+
+
+@query
+def sessions_page_window(spark, sf_dir):
+    """A page of the sessions of a window that begins and ends within days, of its turns alone, over archive and later days."""
+    path, hot = split_archive(spark, sf_dir)
+    return listing.page(spark, path, 25, since=SINCE, to=LATE, hot=hot).sessions.select(*PAGE)
+
+
+@query
+def search_indexed(spark, sf_dir):
+    """A search of the archive by its posting table."""
+    return listing.find(spark, archived(spark, sf_dir), FIND_TEXT).select("tenant_id", "session_id")
+
+
 @query
 def sessions_by_cost(spark, sf_dir):
     return listing.ranked(all_sessions(spark, sf_dir), "cost", 15, 5).select(*PAGE)

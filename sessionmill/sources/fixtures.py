@@ -186,7 +186,7 @@ def bench_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     tools = F.array(*[F.lit(t) for t in ("Bash", "Read", "Edit", "Grep", "Write")])
     quantity = F.col("l_quantity").cast("long")
     made = li.select(
-        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"),
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1024 + F.pmod(F.xxhash64("l_partkey", "l_suppkey"), F.lit(1024))).alias("seq"),
         F.lit("response").alias("type"),
         (F.lit("2023-01-01").cast("timestamp") + F.make_dt_interval(days=F.pmod(F.xxhash64("cust"), F.lit(365)).cast("int"), hours=F.lit(9), mins=F.pmod(F.col("l_orderkey"), F.lit(12)).cast("int") * 8 + F.col("l_linenumber"))).alias("ts"),
         F.concat(F.lit("s"), "cust").alias("session_id"),

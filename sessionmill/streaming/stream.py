@@ -25,12 +25,14 @@ def shippable(events: DataFrame, overlap: str = "1 hour") -> DataFrame:
 
 def keep_days(events: DataFrame, read_day: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, rates: DataFrame) -> StreamingQuery:
     """Recompacts the days that each micro-batch touches, turns and rollups as batch compaction writes them, priced and with their
-    calls and content. read_day: all events of the given days, the batch's among them. No state is kept between batches."""
+    calls and content, and merges rollups as they add up. read_day: all events of the given days, the batch's among them. No state is
+    kept between batches."""
 
     def upsert(batch: DataFrame, _: int) -> None:
         days = batch.select(F.to_date("ts").alias("day")).where("day is not null").distinct()
         merged = read_day(days)
         archive.write_days(turns.full(merged, rates), path, days)
+        archive.consolidate(batch.sparkSession, path)
 
     return events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
