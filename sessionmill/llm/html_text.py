@@ -315,6 +315,8 @@ def extract(pages: DataFrame, run: int = RUN, per_block: int = PAGES) -> DataFra
         for batch in batches(it, 1000):
             page, runs = runs_of_pages([outside(blocks(t)) for t in batch.column("html").to_pylist()], run, words)
             found, n = np.unique(prints_of(host_hashes(batch.column("host").to_pylist())[page], runs), return_counts=True)
+            if not len(found):
+                continue  # no page of the batch has a run outside its article
             which, first = np.unique(found >> low_bits, return_index=True)
             packed = []
             for a, b in zip(first, np.append(first[1:], len(found)), strict=True):

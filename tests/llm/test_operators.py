@@ -532,6 +532,18 @@ def test_extract(spark, monkeypatch):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [3, 30])
+def test_split_host_of_clean_pages(spark, n):
+    """A host of several blocks without a run outside its articles, and one where some batches have none."""
+    clean = [(i, f"http://h.example.com/{i}", f"<nav>menu</nav><article><p>Text {i} of a page.</p></article>") for i in range(n)]
+    some = [(n + i, f"http://h.example.com/x{i}", f"<article>Other {i}</article><div>one two three four five six seven eight nine</div>") for i in range(2)]
+    for rows in (clean, clean + some):
+        frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+        got = {r["page_id"]: r["text"] for r in html_text.extract(frame, per_block=2).collect()}
+        assert got == {i: f"Text {i} of a page." if i < n else f"Other {i - n}" for i, *_ in rows}
+    assert html_text.extract(spark.createDataFrame([(1, "http://h/", "<p>x</p>")] * 3, "page_id long, url string, html string"), per_block=1).count() == 3
+
+
 def test_pages_under_several_urls_are_one(spark):
     own = [" ".join(f"p{i}x{j}" for j in range(30)) for i in range(6)]
     boiler = " ".join(f"boiler{j}" for j in range(10))
