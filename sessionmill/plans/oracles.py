@@ -282,6 +282,10 @@ SELECT CASE WHEN place <= 3 THEN model ELSE '(other)' END AS model, least(place,
     "sessions_by_cost": _page(f"units DESC, {_RECENT}", 15, 5),
     "sessions_by_turns": _page(f"turns DESC, {_RECENT}", 15),
     "sessions_by_errors": _page(f"errors DESC, {_RECENT}", 15),
+    "stateful_turns": _of(
+        f"{_PRICED}, n AS (SELECT tenant_id, day, turn_key, count(*) AS calls FROM call_rows GROUP BY ALL)",
+        f"SELECT tenant_id, {_DAY}, turn_key, session_id, model, (epoch_us(started_at) // 1000) AS started_at, status_code, error, pending, first_seq, output_tokens, coalesce(calls, 0) AS calls, priced, CAST(units AS DOUBLE) / {UNIT} AS cost_usd FROM priced LEFT JOIN n USING (tenant_id, day, turn_key)",
+    ),
     "turn_cost": _of(_PRICED, f"SELECT tenant_id, {_DAY}, turn_key, priced, CAST(units AS DOUBLE) / {UNIT} AS cost_usd FROM priced"),
     "cache_savings": _of(_PRICED, f"SELECT tenant_id, {_DAY}, turn_key, CAST(saved AS DOUBLE) / {UNIT} AS saved_usd FROM priced"),
     "error_turns": _of(_TURNS, f"SELECT tenant_id, {_DAY}, turn_key, error, status_code FROM turns WHERE error IS NOT NULL OR status_code >= 400"),

@@ -869,3 +869,18 @@ def stream_turns(spark, sf_dir):
     read_day = lambda days: written.join(F.broadcast(days), F.to_date("ts") == days["day"], "left_semi")
     stream.keep_days(source, read_day, f"{folder}/archive", f"{folder}/at", fx.rates(spark)).awaitTermination()
     return archive.read_table(spark, f"{folder}/archive", "day").select("tenant_id", day(), "sessions", "turns", "errors", "unpriced", *TOKENS, *money())
+
+
+@query
+def stateful_turns(spark, sf_dir):
+    """Turns whose observations a stream brings in three parts, in no order, kept in state by turn; the stream stops and goes on."""
+    from sessionmill.streaming import stream
+
+    folder = new_folder(spark, "stateful")
+    log = fx.events(spark, sf_dir)
+    for part in range(3):
+        log.where(F.pmod(F.xxhash64("seq", "type"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(log.schema).parquet(f"{folder}/in")
+        stream.stateful_turns(source, f"{folder}/out", f"{folder}/at", fx.rates(spark), "60 days").awaitTermination()
+    t = stream.current_turns(spark, f"{folder}/out")
+    return t.select("tenant_id", day(), "turn_key", "session_id", "model", ms("started_at"), "status_code", "error", "pending", "first_seq", "output_tokens", F.size("calls").cast("long").alias("calls"), "priced", pricing.dollars(F.col("cost_units")).alias("cost_usd"))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from sessionmill.functions.pricing import with_cost
 from sessionmill.operators import archive, coverage, turns
+from sessionmill.schemas import EVENT, conform
 
 
 def tumbling_days(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -37,6 +41,88 @@ def keep_days(events: DataFrame, read_day: Callable[[DataFrame], DataFrame], pat
     return events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Observations(StatefulProcessor):
+    """State of one turn: what has been observed of it, each observation once. New observations send out all that are known; a timer
+    drops the state when the watermark has left the turn's day behind."""
+
+    def __init__(self, late_ms: int):
+        self.late_ms = late_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getListState("known", "event string")
+        self.until = handle.getValueState("until", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        before = [e for (e,) in self.known.get()] if self.known.exists() else []
+        held, new, last = set(before), [], 0
+        for part in rows:
+            last = max(last, int(part["day_ms"].max()))
+            for event in part["event"]:
+                if event not in held:
+                    held.add(event)
+                    new.append(event)
+        if not new:
+            return
+        self.known.appendList([(e,) for e in new])
+        if not self.until.exists():
+            at = last + 86_400_000 + self.late_ms
+            self.until.update((at,))
+            self.handle.registerTimer(at)
+        yield pd.DataFrame({"event": before + new})
+
+    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+        self.known.clear()
+        self.until.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def observed(events: DataFrame, late: str = "7 days") -> DataFrame:
+    """For each turn that a micro-batch brings something new of, all of its observations so far (EVENT columns).
+
+    Turns are keyed as build_turns keys them, so one key's state is one turn of one day. Observations repeat, come in any order and
+    up to ``late`` behind the newest; content events are left out. Needs the RocksDB state store (``stateful_turns`` sets it).
+    """
+    late_ms = int(events.sparkSession.sql(f"select cast(interval {late} as interval day to second)").first()[0].total_seconds() * 1000)
+    keyed = turns.keyed(conform(events)).where("type <> 'content' and ts is not null and turn_key is not null").withColumn("tenant_key", F.coalesce("tenant_id", F.lit("")))
+    rows = keyed.withWatermark("ts", late).select("tenant_key", "day", "turn_key", "ts", F.unix_millis(F.col("day").cast("timestamp")).alias("day_ms"), F.to_json(F.struct(*EVENT.names), _JSON).alias("event"))
+    made = rows.groupBy("tenant_key", "day", "turn_key").transformWithStateInPandas(Observations(late_ms), "event string", outputMode="Update", timeMode="EventTime")
+    return made.select(F.from_json("event", EVENT, _JSON).alias("e")).select("e.*")
+
+
+def stateful_turns(events: DataFrame, out: str, checkpoint: str, rates: DataFrame, late: str = "7 days", once: bool = True) -> StreamingQuery:
+    """Keeps out/batch=N: the turns that each micro-batch brought something new of, merged over all their observations, with calls
+    and prices. A batch that runs again replaces itself; ``current_turns`` reads the newest of each turn. No day is read again."""
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        seen = batch.persist()
+        merged = with_cost(turns.with_tool_calls(turns.build_turns(seen), seen), rates, seen)
+        merged.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        seen.unpersist()
+
+    spark, name = events.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        writer = observed(events, late).writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
+    finally:
+        spark.conf.set(name, before)
+
+
+def current_turns(spark: SparkSession, out: str) -> DataFrame:
+    """The newest row of each turn."""
+    newest = F.row_number().over(W.partitionBy(*turns.KEY).orderBy(F.desc("batch")))
+    return spark.read.parquet(out).withColumn("newest", newest).where("newest = 1").drop("newest", "batch")
+
+
 def destination_checkpoint(root: str, destination: str) -> str:
     """Where the progress of shipping to a destination is kept: a new destination starts from the beginning."""
     return f"{root.rstrip('/')}/{hashlib.sha256(destination.encode()).hexdigest()[:16]}"
@@ -62,6 +148,17 @@ def follow(lines: DataFrame, out: str, checkpoint: str, once: bool = True) -> St
     return (writer.trigger(once=True) if once else writer.trigger(processingTime="2 seconds")).start()
 
 
+def catch_up(lines: Callable[[], DataFrame], out: str, checkpoint: str) -> int:
+    """Follows a bounded source batch by batch until a run finds nothing new. Returns the number of batches."""
+    n = 0
+    while True:
+        query = follow(lines(), out, checkpoint)
+        query.awaitTermination()
+        if not any(p["numInputRows"] for p in query.recentProgress):
+            return n
+        n += 1
+
+
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """All that a stream has so far, as a batch table in path; ``complete`` results replace each other."""
 
