@@ -10,7 +10,9 @@ A = K_LL^(-1/2) W, and K(x, L) is the product of the text's presence row with th
 landmarks' presence matrix, the products are associated once: executors multiply
 presence rows by (features x languages) weights, a batch of texts at a time.
 
-N-grams are hashed to ``BUCKETS`` features, so model and memory are bounded.
+N-grams are hashed to ``BUCKETS`` features. Landmarks are held as lists, the normal equations are summed by blocks of texts, and
+there are ``LANDMARKS`` at most, so the driver holds a few numbers a training text and BUCKETS numbers (0.5 MB) a language: that,
+and its broadcast, bound the number of languages to some hundreds.
 Letters are case-folded by Python's lower().
 
 Defined results: a null text or one without a letter is ``und`` with score 0. With no training
@@ -33,6 +35,8 @@ from sessionmill.llm.common import batches, fold, small_batches, table
 ORDER, BUCKETS = 3, 1 << 17
 #: At most about this many training texts and landmarks a language, drawn by a hash of text.
 TRAIN_PER_LANG, LANDMARKS_PER_LANG = 300, 60
+#: Landmarks of all languages together; many languages have fewer each.
+LANDMARKS = 2_048
 RIDGE = 1e-2
 #: Up to so many languages' shares are broadcast; more are joined by shuffle.
 BROADCAST_LANGS = 100_000
@@ -78,25 +82,56 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> tuple[list[str], np.ndarray]:
     langs = sorted({lang for lang, _ in rows})
     if not langs:
         return [], np.zeros((BUCKETS, 0), dtype=np.float32)
+    each = max(1, min(LANDMARKS_PER_LANG, LANDMARKS // len(langs)))
     picked: list[np.ndarray] = []
     for lang in langs:
-        picked += [f for x, f in rows if x == lang][:LANDMARKS_PER_LANG]
-    m, norm = len(picked), np.array([max(1, len(f)) for f in picked]) ** -0.5
-    marks = np.zeros((BUCKETS, m), dtype=np.float32)
-    for j, f in enumerate(picked):
-        marks[f, j] = norm[j]
-    kernel = np.stack([marks[f].sum(0) * max(1, len(f)) ** -0.5 for _, f in rows]).astype(np.float64)
-    square = np.stack([marks[f].sum(0) * max(1, len(f)) ** -0.5 for f in picked]).astype(np.float64)
+        picked += [f for x, f in rows if x == lang][:each]
+    kernel = Kernel(picked)
+    square = kernel.rows(picked)
     values, vectors = np.linalg.eigh((square + square.T) / 2)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] * values[keep] ** -0.5
-    phi = np.hstack([kernel @ root, np.ones((len(rows), 1))])
-    target = np.array([[lang == x for x in langs] for lang, _ in rows], dtype=np.float64)
-    weight = 1.0 / target.sum(0)[target.argmax(1)]  # languages count alike
-    gram = phi.T @ (phi * weight[:, None]) + RIDGE / len(langs) * np.eye(phi.shape[1])
-    solved = np.linalg.solve(gram, phi.T @ (target * weight[:, None]))
-    dual = root @ solved[:-1]
-    return langs, np.vstack([marks @ dual.astype(np.float32), solved[-1:].astype(np.float32)])
+    # normal equations by blocks of training texts, so that no matrix of all texts is held
+    size = np.array([sum(1 for x, _ in rows if x == lang) for lang in langs], dtype=np.float64)
+    gram = RIDGE / len(langs) * np.eye(root.shape[1] + 1)
+    right = np.zeros((root.shape[1] + 1, len(langs)))
+    for start in range(0, len(rows), 1_000):
+        part = rows[start : start + 1_000]
+        phi = np.hstack([kernel.rows([f for _, f in part]) @ root, np.ones((len(part), 1))])
+        target = np.array([[lang == x for x in langs] for lang, _ in part], dtype=np.float64)
+        weighed = phi * (1.0 / size[target.argmax(1)])[:, None]  # languages count alike
+        gram += phi.T @ weighed
+        right += weighed.T @ target
+    solved = np.linalg.solve(gram, right)
+    return langs, np.vstack([kernel.times(root @ solved[:-1]), solved[-1:].astype(np.float32)])
+
+
+class Kernel:
+    """Kernel values with landmarks, by lists of the landmarks that have a feature."""
+
+    def __init__(self, landmarks: list[np.ndarray]):
+        self.landmarks = landmarks
+        self.norm = np.array([max(1, len(f)) for f in landmarks]) ** -0.5
+        feature = np.concatenate(landmarks)
+        order = np.argsort(feature, kind="stable")
+        self.owner = np.repeat(np.arange(len(landmarks)), [len(f) for f in landmarks])[order]
+        self.start = np.searchsorted(feature[order], np.arange(BUCKETS + 1))
+
+    def rows(self, texts: list[np.ndarray]) -> np.ndarray:
+        """(texts x landmarks) of n-grams in common, over the root of the product of how many each has."""
+        out = np.zeros((len(texts), len(self.landmarks)))
+        for i, f in enumerate(texts):
+            n = self.start[f + 1] - self.start[f]
+            places = np.repeat(self.start[f] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out[i] = np.bincount(self.owner[places], minlength=len(self.landmarks)) * self.norm * max(1, len(f)) ** -0.5
+        return out
+
+    def times(self, dual: np.ndarray) -> np.ndarray:
+        """Weights by feature: the landmarks' rows times dual."""
+        out = np.zeros((BUCKETS, dual.shape[1]), dtype=np.float32)
+        for f, n, d in zip(self.landmarks, self.norm, dual, strict=True):
+            out[f] += (n * d).astype(np.float32)
+        return out
 
 
 def training(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> DataFrame:

@@ -415,6 +415,34 @@ def test_training_share_follows_distinct_texts(spark):
     assert set(got) == {"de", "en"} and all(15 <= n <= 40 for n in got.values())
 
 
+def test_scores_are_kernel_ridge_regression(monkeypatch):
+    """The operator's weights against an explicit kernel matrix, and many languages in little memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    rows = sorted(((f"l{i % 3}", np.unique(rng.integers(0, 400, 60) + 200 * (i % 3)).astype(np.int32)) for i in range(90)), key=lambda r: (r[0], r[1].tobytes()))
+    langs, weights = language.fit(rows)
+    dense = np.zeros((len(rows), language.BUCKETS))
+    for i, (_, f) in enumerate(rows):
+        dense[i, f] = len(f) ** -0.5
+    mark = np.concatenate([[i for i, (x, _) in enumerate(rows) if x == lang][: language.LANDMARKS_PER_LANG] for lang in langs])
+    k_nm, k_mm = dense @ dense[mark].T, dense[mark] @ dense[mark].T
+    value, vector = np.linalg.eigh(k_mm)
+    ok = value > 1e-6 * value.max()
+    root = vector[:, ok] * value[ok] ** -0.5
+    phi = np.hstack([k_nm @ root, np.ones((len(rows), 1))])
+    target = np.array([[lang == x for x in langs] for lang, _ in rows], dtype=float)
+    by = np.diag(target @ (1 / target.sum(0)))
+    solved = np.linalg.solve(phi.T @ by @ phi + language.RIDGE / len(langs) * np.eye(phi.shape[1]), phi.T @ by @ target)
+    got = np.stack([weights[f].sum(0) * len(f) ** -0.5 + weights[-1] for _, f in rows])
+    assert np.abs(got - phi @ solved).max() < 1e-4
+    many = [(f"l{i % 200:03d}", np.unique(rng.integers(0, language.BUCKETS, 800)).astype(np.int32)) for i in range(2_000)]
+    tracemalloc.start()
+    assert language.fit(many)[1].shape == (language.BUCKETS + 1, 200)
+    assert tracemalloc.get_traced_memory()[1] < 1e9
+    tracemalloc.stop()
+
+
 def test_presence_is_the_set_of_ngrams():
     presence = language.Presence()
     for text in ("", "a", "ab", "abab", "Ärger im Haus"):
