@@ -271,6 +271,7 @@ def learn(docs: DataFrame, labels: DataFrame, terms: dict[str, list[str]] = IDEN
     """
     small_batches(docs.sparkSession)
     drawn = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample(labels)), "doc_id").select("text", "toxic")
+    drawn = table(drawn, "drawn")  # read again below, and bounded
     n = {r["toxic"]: r["count"] for r in drawn.groupBy("toxic").count().collect()}
     if not n.get(1) or not sum(c for k, c in n.items() if k != 1):
         return None
