@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionmill.functions.columns import hit_rate
@@ -48,21 +47,43 @@ def branches(sessions: DataFrame) -> DataFrame:
     return out.withColumns({"cost_usd": dollars(F.col("cost_units")), "hit_rate": rate}).orderBy(F.desc("cost_units"), "branch")
 
 
+#: Distinct costs that are ranked at last; cuts of a round of counting.
+LEAST, CUTS = 4096, 64
+
+
 def median_cost(sessions: DataFrame) -> DataFrame:
     """Exact median session cost; 0 without sessions.
 
-    Approximate percentiles enclose the middle (their error is a tenth of the margin); costs below are counted, and only those
-    enclosed, a fiftieth of all and the copies of their ends, are ranked, one row a distinct cost.
+    Sessions are counted by cost once, so a cost that many share is one row. Rounds of counting between approximate percentiles then
+    narrow the costs down to those around the middle, to a thirtieth or so a round, until few are left to rank. No task orders more
+    than it has read, and how good the percentiles are decides how many rounds there are and nothing else.
     """
-    c = F.col("cost_usd")
-    about = sessions.agg(F.percentile_approx(c, [0.49, 0.51], 1000).alias("ends"), F.count(c).alias("n"), F.count("*").alias("sessions"))
-    low, high, n = (about.select(x).scalar() for x in (F.col("ends")[0], F.col("ends")[1], F.col("n")))
-    inside = sessions.where(c.between(low, high)).groupBy("cost_usd").agg(F.count("*").alias("times"))
-    below = sessions.where(c < low).agg(F.count("*")).scalar()
-    ranked = inside.select("cost_usd", "times", (F.sum("times").over(W.partitionBy().orderBy("cost_usd")) + below).alias("upto"), n.alias("n"))
-    at = lambda rank: F.max(F.when((rank <= F.col("upto")) & (rank > F.col("upto") - F.col("times")), c))
-    middle = (at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2
-    return ranked.agg(F.coalesce(middle, F.lit(0.0)).alias("median_cost")).select("median_cost", about.select("sessions").scalar().alias("sessions"))
+    spark, c = sessions.sparkSession, F.col("cost_usd")
+    counted = sessions.groupBy(c).agg(F.count("*").alias("times")).persist()
+    whole = counted.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("sessions"), F.coalesce(F.sum(F.when(c.isNotNull(), F.col("times"))), F.lit(0)).alias("n")).first()
+    ranks = ((whole["n"] + 1) // 2, whole["n"] // 2 + 1)
+    inside, below, median = counted.where(c.isNotNull()), 0, 0.0
+    while whole["n"]:
+        ends = inside.agg(F.count("*").alias("rows"), F.percentile_approx(c, [i / CUTS for i in range(1, CUTS)], 1000).alias("cuts")).first()
+        if ends["rows"] <= LEAST:
+            found, upto = [], below
+            for r in sorted(inside.collect(), key=lambda r: r["cost_usd"]):  # LEAST rows at most
+                upto += r["times"]
+                found += [r["cost_usd"]] * sum(upto - r["times"] < k <= upto for k in set(ranks))
+            median = (found[0] + found[-1]) / 2
+            break
+        cut = F.lit(0)
+        for x in sorted(set(ends["cuts"])):
+            cut += (c > x).cast("int")
+        bins = sorted(inside.groupBy(cut.alias("bin")).agg(F.sum("times").alias("times"), F.min(c).alias("low"), F.max(c).alias("high")).collect(), key=lambda r: r["bin"])  # CUTS rows
+        upto, low, high, skipped = below, None, None, below
+        for r in bins:
+            if any(upto < k <= upto + r["times"] for k in ranks):
+                low, skipped, high = (r["low"], upto, r["high"]) if low is None else (low, skipped, r["high"])
+            upto += r["times"]
+        inside, below = inside.where(c.between(low, high)), skipped
+    counted.unpersist()
+    return spark.createDataFrame([(float(median), whole["sessions"])], "median_cost double, sessions long")
 
 
 def extremes(sessions: DataFrame) -> DataFrame:

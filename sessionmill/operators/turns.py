@@ -115,5 +115,38 @@ def attach_tool_results(turns: DataFrame, results: DataFrame) -> DataFrame:
 def dedupe_events(events: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """events with event_hash, once for each tenant and content; those that ``existing`` (tenant_id, event_hash) holds are left out."""
     content = [n for n in events.columns if n not in ("seq", "event_hash")]
-    out = events.withColumn("event_hash", F.sha2(F.to_json(F.struct(*content)), 256)).dropDuplicates(["tenant_id", "event_hash"])
+    out = events.withColumn("event_hash", F.sha2(F.to_json(F.struct(*content), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}), 256)).dropDuplicates(["tenant_id", "event_hash"])
     return out if existing is None else out.join(existing, ["tenant_id", "event_hash"], "left_anti")
+
+
+#: Up to this many keys of a batch are broadcast to the stored log; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def append_events(events: DataFrame, path: str) -> int:
+    """Appends events to a stored log (partitioned by day), each once a tenant and content. Returns how many were new.
+
+    An event's content holds its instant, so an equal one can only be stored under the same day: only the days of the batch are looked
+    at, and of these two columns. The batch's keys go to the stored log and not the log to the batch, so the log is not shuffled. A
+    run that is repeated, also after it died, adds nothing twice; two writers at once may.
+    """
+    spark, keys = events.sparkSession, ["tenant_id", "day", "event_hash"]
+    batch = dedupe_events(events).withColumn("day", F.to_date("ts")).persist()
+    days = [r["day"] for r in batch.select("day").distinct().collect()]  # one value a day
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        few = batch.count() <= BROADCAST_KEYS
+        asked = batch.select(keys)
+        known = spark.read.schema(batch.schema).parquet(path).where(F.col("day").isin([d for d in days if d]) | (F.col("day").isNull() if None in days else F.lit(False))).select(keys)
+        asked = F.broadcast(asked) if few else asked
+        met = known.join(asked, [known[k].eqNullSafe(asked[k]) for k in keys], "left_semi").distinct()
+        met = F.broadcast(met) if few else met  # no more than the batch has
+        fresh = batch.join(met, [batch[k].eqNullSafe(met[k]) for k in keys], "left_anti")
+    else:
+        fresh = batch
+    fresh = fresh.persist()
+    n = fresh.count()
+    fresh.write.mode("append").partitionBy("day").parquet(path)
+    fresh.unpersist()
+    batch.unpersist()
+    return n

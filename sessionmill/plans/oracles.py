@@ -137,6 +137,7 @@ ORACLE_SQL: dict[str, str] = {
     "tumbling_day_stream": _of(_LOG, f"SELECT {_DAY}, type, count(*) AS events FROM ev GROUP BY ev.day, type"),
     "events_range": _of(_LOG, "SELECT seq, type, (epoch_us(ts) // 1000) AS ts, session_id, turn_id, message_id, tenant_id, model FROM ev WHERE ts BETWEEN TIMESTAMP '2024-01-05 06:30:00' AND TIMESTAMP '2024-01-12 18:00:00'"),
     "event_days": _of(_LOG, f"SELECT tenant_id, {_DAY}, count(*) AS events FROM ev GROUP BY tenant_id, ev.day"),
+    "event_append": _of(_LOG, f"SELECT tenant_id, type, source, {_DAY}, count(*) AS events FROM (SELECT DISTINCT * EXCLUDE (seq, duration_ms), CAST(ts AS DATE) AS day FROM fx) u GROUP BY tenant_id, type, source, u.day"),
     "event_hash_dedupe": _of(_LOG, "SELECT tenant_id, type, source, count(*) AS events FROM (SELECT DISTINCT * EXCLUDE (seq, duration_ms) FROM fx) GROUP BY ALL"),
     "compact_eligible_days": _of(_LOG, f"SELECT DISTINCT {_DAY} FROM ev WHERE ev.day < DATE '2024-01-31' AND ev.day > DATE '2024-01-20'"),
     "blob_dedupe": "SELECT tenant_id, sha256(payload) AS ref, CAST(strlen(payload) AS BIGINT) AS bytes FROM (SELECT DISTINCT 'acme' AS tenant_id, text AS payload FROM documents WHERE text IS NOT NULL UNION SELECT DISTINCT 'globex', text FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)",

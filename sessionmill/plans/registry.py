@@ -174,6 +174,17 @@ def event_hash_dedupe(spark, sf_dir):
     return kept.groupBy("tenant_id", "type", "source").agg(F.count("*").alias("events"))
 
 
+@query
+def event_append(spark, sf_dir):
+    """The log appended to a stored one in two parts that overlap, the second twice."""
+    path = new_folder(spark, "stored")
+    e = fx.raw_events(spark, sf_dir).drop("seq", "duration_ms")
+    late = e.where("ts >= timestamp '2024-01-20'")
+    for part in (e.where("ts < timestamp '2024-01-22'"), late, late):
+        turns.append_events(part, path)
+    return spark.read.parquet(path).groupBy("tenant_id", "type", "source", "day").agg(F.count("*").alias("events")).select("tenant_id", "type", "source", day(), "events")
+
+
 @query
 def compact_eligible_days(spark, sf_dir):
     return archive.eligible_days(fx.events(spark, sf_dir), done_days(spark), AS_OF).select(day())

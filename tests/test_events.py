@@ -287,10 +287,28 @@ def test_scope_and_first_page(spark):
     assert page(listing.recent_archived(by_session, t, 3, after)) == page(listing.recent(ses.sessions(t), 3, after))
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_append_adds_what_is_new(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(turns, "BROADCAST_KEYS", 1000 if few else 0)
+    path = str(tmp_path / "log")
+    day = lambda d, n, **more: {"ts": T0 + dt.timedelta(days=d, microseconds=n), "turn_id": f"t{n % 7}", **more}
+    first = [day(0, i) for i in range(20)] + [day(1, i) for i in range(20)] + [{"turn_id": "no instant"}]
+    assert turns.append_events(log(spark, first + first), path) == 41
+    assert turns.append_events(log(spark, first), path) == 0
+    # other days' files aren't opened: they may be unreadable
+    for f in (tmp_path / "log" / "day=2024-03-01").glob("*.parquet") if T0.date() == dt.date(2024, 3, 1) else (tmp_path / "log" / f"day={T0.date()}").glob("*.parquet"):
+        (tmp_path / f"kept-{f.name}").write_bytes(f.read_bytes())
+        f.write_bytes(b"broken")
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    assert turns.append_events(log(spark, [day(1, 5), day(1, 500), day(2, 1), {"turn_id": "no instant"}, day(1, 6, tenant_id="other")]), path) == 3
+    with pytest.raises(Exception):
+        turns.append_events(log(spark, [day(0, 5)]), path)
+
+
 def test_median(spark):
     import statistics
 
-    for costs in ([3.0], [1.0, 2.0], [5.0] * 4000 + [1.0] * 3000, [float(i % 997) for i in range(5001)], [float(i) for i in range(4000)]):
+    for costs in ([3.0], [1.0, 2.0], [5.0] * 4000 + [1.0] * 3000, [float(i % 997) for i in range(5001)], [float(i) for i in range(4000)], [i * 0.37 % 91 for i in range(20_001)] + [7.5] * 9_000, [i / 7 for i in range(10_000)]):
         assert one(projects.median_cost(spark.createDataFrame([(c,) for c in costs], "cost_usd double")))["median_cost"] == statistics.median(costs)
     assert one(projects.median_cost(spark.createDataFrame([], "cost_usd double")))["median_cost"] == 0.0
 
