@@ -16,8 +16,11 @@ the shard of v adds it. Scores and the words' counts come back by batch and are
 summed by text. Words that hold a large share of all tokens (and the end of a text)
 are dealt by the word before them too, and pairs of words that do by the word before
 both; their totals are broadcast: about 8 words and 2 pairs a shard at most, since
-each holds that share. The number of shards grows
-with the corpus, so a shard's size does not; counts of all words are never gathered.
+each holds that share, and ``HEAD`` of either in any case. The number of shards grows with the corpus, so a shard's size does not
+(but beyond HEAD / 8 shards a word of less than 1 / HEAD of all tokens, and at any size a frequent triple, is whole in one shard);
+counts of all words are never gathered. Batches grow with the number of shards up to ``MOST_FLUSH`` tokens, so messages grow with
+the tokens up to some 20,000 shards. A token's log probability is rounded once, to 1 / 1024, so a text's score doesn't depend on how
+it was batched.
 
 Words are 64-bit hashes, those before a word 32-bit ones.
 
@@ -41,11 +44,14 @@ from pyspark.sql import functions as F
 from sessionmill.llm.common import WordHash, fold, mix, raw, small_batches, table, words
 from sessionmill.llm.elias_fano import Trie
 
-#: Most words that are dealt by two words; how many are changes no result.
+#: Most words (and pairs of words) that are dealt by more than themselves: those of this share of all tokens or more, so there can't
+#: be more. How many are changes no result.
 HEAD = 1 << 16
 #: Shares of the bigram's and the unigram's counts; chosen on a fold of the training rows.
 KAPPA, MU = 0.001, 5.0
 FLUSH, SHARD, LEAST_SHARDS = 1_500_000, 1_000_000, 64
+#: A batch has about so many tokens for each shard at least, up to MOST_FLUSH in all, so that messages grow with the tokens.
+EACH_SHARD, MOST_FLUSH = 256, 6_000_000
 MOST_TEXTS = 60_000  # of a batch: places of texts are 16-bit
 START, END = xxhash.xxh64_intdigest(b"  "), xxhash.xxh64_intdigest(b" ")  # words hold no space
 _U = np.uint64
@@ -116,9 +122,9 @@ def unigrams(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select("text", "train").mapInArrow(count, "shard int, words binary, counts binary").groupBy("shard").applyInArrow(total, "word long, n long")
 
 
-def commonest(counts: DataFrame, least: int, most: int) -> list:
-    """Rows of the words that stand ``least`` times or more, the ``most`` commonest of them."""
-    return sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))[:most]
+def commonest(counts: DataFrame, least: int) -> list:
+    """Rows of the words that stand ``least`` times or more."""
+    return sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))
 
 
 def hot_pairs(docs: DataFrame, common: Hot, least: int) -> Hot:
@@ -174,6 +180,7 @@ def deal(docs: DataFrame, head) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part, batches = head.value, TaskContext.get().partitionId(), 0
+        flush_at = max(FLUSH, min(MOST_FLUSH, EACH_SHARD * known.shards))
         seen, held, size = WordHash(), {False: [], True: []}, {False: 0, True: 0}
 
         def flush(train: bool) -> pa.RecordBatch:
@@ -215,7 +222,7 @@ def deal(docs: DataFrame, head) -> DataFrame:
                 h = seen.of(words(text)) if text else np.zeros(0, dtype=_U)
                 held[train].append((d, h))
                 size[train] += len(h) + 1
-                if size[train] >= FLUSH or len(held[train]) >= MOST_TEXTS:
+                if size[train] >= flush_at or len(held[train]) >= MOST_TEXTS:
                     yield flush(train)
         for train in (False, True):
             if held[train]:
@@ -225,7 +232,7 @@ def deal(docs: DataFrame, head) -> DataFrame:
 
 
 #: texts (as differences), their known tokens, sums of log10(count + 1), and scores
-SUMS = (np.uint16, np.uint32, np.float64, np.float32)
+SUMS = (np.uint16, np.uint32, np.float64, np.float64)
 #: counts of words, tokens of each, texts (as differences), scores of tokens
 EACH = (np.uint32, np.uint32, np.uint16, np.int16)
 
@@ -272,6 +279,7 @@ def answer(head, kappa: float, mu: float):
         # the word and the one before it are those before the next token, but for the end
         divisor = np.where(mine[owner] == _U(END), 0.0, np.log10(n2 + kappa * count[owner] + mu))
         found = np.where(np.isnan(found), np.log10(share)[owner[pair]], found) - divisor[pair]
+        found = np.maximum(np.round(found * _STEP), -32768) / _STEP  # one rounding of a token, however it travels; sums of these are exact
         counts = count[place]
         out, at, run_at = [], 0, 0
         for s in sent:
@@ -282,11 +290,11 @@ def answer(head, kappa: float, mu: float):
             if 18 * len(which) <= 4 * len(text) + 8 * len(c):
                 each = np.repeat(c, s[1])
                 sums = [np.bincount(spot, x, minlength=len(which)) for x in (each > 0, np.log10(each + 1.0), score)]
-                out.append((True, _join([np.diff(which, prepend=np.uint16(0)), sums[0].astype(np.uint32), sums[1], sums[2].astype(np.float32)])))
+                out.append((True, _join([np.diff(which, prepend=np.uint16(0)), sums[0].astype(np.uint32), sums[1], sums[2]])))
             else:
                 if (c >= 1 << 32).any():
                     raise OverflowError("a word's count is over 32 bits")
-                code = np.maximum(np.round(score * _STEP), -32768).astype(np.int16)
+                code = np.round(score * _STEP).astype(np.int16)
                 out.append((False, _join([c.astype(np.uint32), s[1], s[4], code])))
         return pa.table({"batch": group["batch"], "train": group["train"], "summed": pa.array([x for x, _ in out], pa.bool_()), "data": pa.array([x for _, x in out], pa.binary()), "texts": group["texts"]})
 
@@ -328,9 +336,10 @@ def score(docs: DataFrame, train: Column, kappa: float = KAPPA, mu: float = MU)
     counts = table(unigrams(seen, shards), "unigrams")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens = (total["n"] or 0) + about["texts"]
-    top = commonest(counts, max(1, tokens // (8 * shards)), HEAD - 1)
+    # thresholds are shares of all tokens and not below 1 / HEAD, so at most HEAD rows come to the driver, whatever the corpus
+    top = commonest(counts, max(1, tokens // (8 * shards), -(-tokens // HEAD)))
     hot = Hot(np.array([r["word"] % (1 << 64) for r in top] + [END], dtype=_U), np.array([r["n"] for r in top] + [about["texts"]], dtype=np.int64))
-    least = max(1, tokens // (2 * shards))
+    least = max(1, tokens // (2 * shards), -(-tokens // HEAD))
     often = hot.counts >= least
     pairs = hot_pairs(seen, Hot(hot.hashes[often], hot.counts[often]), least)
     head = docs.sparkSession.sparkContext.broadcast(Head(hot, pairs, tokens, total["v"] + (about["texts"] > 0), shards))

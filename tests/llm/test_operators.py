@@ -152,6 +152,19 @@ def test_lm_score(spark, monkeypatch):
     assert pick(again) == pick(found)
 
 
+def test_lm_scores_do_not_depend_on_batches(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(150), DOCS)
+    made = {}
+    for flush, texts, shards in ((50, 60_000, 4), (1_500_000, 60_000, 4), (1_500_000, 7, 4)):
+        monkeypatch.setattr(lm_score, "FLUSH", flush)
+        monkeypatch.setattr(lm_score, "EACH_SHARD", 1)
+        monkeypatch.setattr(lm_score, "MOST_TEXTS", texts)
+        monkeypatch.setattr(lm_score, "LEAST_SHARDS", shards)
+        made[flush, texts] = sorted(((r["doc_id"], r["score"]) for r in lm_score.score(docs, F.col("doc_id") % 7 != 2).collect()), key=str)
+    first, *others = made.values()
+    assert all(o == first for o in others) and len(first) == docs.count()
+
+
 def test_lm_words_beyond_the_head(spark, monkeypatch):
     """Rare words keep their own unigram share, however many words there are."""
     monkeypatch.setattr(lm_score, "HEAD", 3)
