@@ -19,6 +19,8 @@ does mining without labelled rows (default verdict everywhere).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,24 +110,37 @@ def prune(rules: DataFrame) -> DataFrame:
     return rules.join(worse, ["antecedent", "verdict"], "left_anti")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, default: str = DEFAULT) -> DataFrame:
-    """page_id, host, path, rule, verdict, confidence (of the mined rule), reason (its tokens) per page row."""
-    host, path = parts(F.col("url"))
-    seen = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    seen = seen.withColumn("hit", given(F.col("host"), F.col("path"), rules)).withColumn("toks", tokens(F.col("url"), F.col("host"), F.col("path")))
-    labelled = seen.where("hit is not null").select(F.array_except("toks", "hit.own").alias("toks"), F.col("hit.verdict").alias("label"))
+def indexed(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> Column:
+    """One map of the rules mined from rows (toks, label): each stands under the token of it that the fewest urls have."""
     found = table(prune(mine(labelled, min_support, min_confidence)), "rules")
-    # a rule stands under the token of it that the fewest urls have
     often = labelled.select(F.explode("toks").alias("token")).groupBy("token").count()
     ranked = found.withColumn("token", F.explode("antecedent")).join(often, "token")
     rule = F.struct("confidence", "support", F.negate("n").alias("n"), "verdict", "antecedent")
     least = ranked.groupBy(*found.columns).agg(F.min(F.struct("count", "token"))["token"].alias("token"))
     listed = least.groupBy("token").agg(F.collect_list(rule).alias("rules"))
-    index = listed.agg(F.map_from_entries(F.collect_list(F.struct("token", "rules"))).alias("index")).scalar()
+    return listed.agg(F.map_from_entries(F.collect_list(F.struct("token", "rules"))).alias("index")).scalar()
+
+
+def best(seen: DataFrame, index: Column) -> DataFrame:
+    """seen (toks, ...) with best: the mined rule that decides, or null."""
     none = F.array().cast("array<struct<confidence:double,support:double,n:int,verdict:string,antecedent:array<string>>>")
     near = F.flatten(F.transform("toks", lambda t: F.coalesce(F.try_element_at("index", t), none)))
     fits = F.filter(near, lambda r: F.size(F.array_except(r["antecedent"], F.col("toks"))) == 0)
-    out = seen.withColumn("index", index).withColumn("best", F.when(F.col("hit").isNull(), F.array_max(fits)))
+    return seen.withColumn("index", index).withColumn("best", F.array_max(fits))
+
+
+def tokenised(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """page_id, url, host, path, hit (the given rule that fits), toks."""
+    host, path = parts(F.col("url"))
+    seen = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    return seen.withColumn("hit", given(F.col("host"), F.col("path"), rules)).withColumn("toks", tokens(F.col("url"), F.col("host"), F.col("path")))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, default: str = DEFAULT) -> DataFrame:
+    """page_id, host, path, rule, verdict, confidence (of the mined rule), reason (its tokens) per page row."""
+    seen = tokenised(pages, rules)
+    labelled = seen.where("hit is not null").select(F.array_except("toks", "hit.own").alias("toks"), F.col("hit.verdict").alias("label"))
+    out = best(seen, indexed(labelled, min_support, min_confidence)).withColumn("best", F.when(F.col("hit").isNull(), F.col("best")))
     return out.select(
         "page_id",
         "host",
@@ -137,6 +152,19 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, min_suppo
     )
 
 
+def held_out(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, folds: int = 4, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """One row: how mined rules judge hosts that they have not seen.
+
+    Hosts are dealt to folds by hash. Urls that a given rule covers are judged, without the tokens that the rule is made of, by what
+    is mined from the other folds. asked: such urls; told: those that a mined rule fits; right: those with the given rule's verdict.
+    """
+    known = tokenised(pages, rules).where("hit is not null")
+    known = table(known.select(F.array_except("toks", "hit.own").alias("toks"), F.col("hit.verdict").alias("label"), F.pmod(F.xxhash64("host"), F.lit(folds)).alias("fold")), "known")
+    asked = [best(known.where(F.col("fold") == k), indexed(known.where(F.col("fold") != k).select("toks", "label"), min_support, min_confidence)).select("label", "best") for k in range(folds)]
+    out = reduce(DataFrame.unionByName, asked)
+    return out.agg(F.count("*").alias("asked"), F.count_if(F.col("best").isNotNull()).alias("told"), F.count_if(F.col("best.verdict") == F.col("label")).alias("right"))
+
+
 def op9_url_rules(spark, sf_dir: str) -> DataFrame:
     """Every page's url judged by the given rules, then by mined ones."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))

@@ -685,6 +685,30 @@ def test_urls(spark):
     assert url_rules.judge(pages.limit(0)).count() == 0
 
 
+def test_judge_equals_brute_force(spark):
+    """Rules pruned and chosen by plain Python from the same mined rules, on the given tables' urls."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    seen = [(r["page_id"], r["hit"], r["toks"]) for r in url_rules.tokenised(pages, url_rules.RULES).collect()]
+    labelled = [([t for t in toks if t not in hit["own"]], hit["verdict"]) for _, hit, toks in seen if hit]
+    frame = spark.createDataFrame(labelled, "toks array<string>, label string")
+    mined = [(tuple(r["antecedent"]), r["verdict"], r["confidence"], r["support"]) for r in url_rules.mine(frame).collect()]
+    kept = [r for r in mined if not any(set(g[0]) < set(r[0]) and g[1] == r[1] and g[2] >= r[2] for g in mined)]
+    assert sorted(kept) == sorted((tuple(r["antecedent"]), r["verdict"], r["confidence"], r["support"]) for r in url_rules.prune(url_rules.mine(frame)).collect())
+    want = {}
+    for page, hit, toks in seen:
+        fits = [(c, s, -len(a), v, list(a)) for a, v, c, s in kept if set(a) <= set(toks)]
+        want[page] = (hit["rule"], hit["verdict"], None) if hit else (None, max(fits)[3], " ".join(max(fits)[4])) if fits else (None, url_rules.DEFAULT, None)
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["reason"]) for r in url_rules.judge(pages).collect()}
+    assert got == want and any(x[2] for x in want.values())
+
+
+def test_rules_on_unseen_hosts(spark):
+    """A path that tells is told on hosts that mining hasn't seen; noise isn't."""
+    rows = [(i, f"http://h{i % 40}.{'net' if i % 2 else 'org'}/{'ads' if i % 2 else 'fr'}/{i}.html") for i in range(400)]
+    found = url_rules.held_out(spark.createDataFrame(rows, "page_id long, url string")).first()
+    assert found["asked"] == 400 and found["right"] == found["told"] >= 200
+
+
 def test_mined_rules_equal_brute_force(spark):
     rng = random.Random(10)
     rows = [(sorted({f"t{rng.randrange(6)}" for _ in range(3)}), rng.choice(["block", "allow"])) for _ in range(120)]
