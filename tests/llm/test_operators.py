@@ -4,6 +4,7 @@ import collections
 import html
 import itertools
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionmill.llm import decontaminate, html_text, jaccard, language, lm_score, mixing, secrets, toxicity, url_rules, vectors
-from sessionmill.llm.common import components
+from sessionmill.llm.common import components, shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -865,6 +866,33 @@ def test_pipeline(spark, tmp_path):
     assert all(size[r["doc_id"]] == len(words(r["text"])) for r in seen["secret_scan"].collect())
 
 
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Each stage on odd rows with clashing extra columns, and on an empty table; a run leaves its last stage alone in the folder."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i % 977}" for i in range(30_000))
+    rows = [(None, "one two three four five six", "en", "s1", 1), (None, "one two three four five six", "en", "s1", 1), (7, None, None, None, None), (7, "seven words of text for id seven", None, None, 2), (7, "other words of text that id seven has", "de", None, 2)]
+    rows += [(8, "", "en", "s1", 0), (9, "!!! 12", "en", "s1", 0), (10, long, "en", "s2", 9), (11, long + " end", "en", "s2", 9), (12, "Hi", None, "s2", 2)]
+    extra = ", score double, lang_pred string, taken long, size long, node long, text_id long"
+    frame = spark.createDataFrame([(*r, 0.5, "xx", 3, 4, 5, 6) for r in rows], DOCS + extra)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None), (None, ""), (2, "nothing that stands there at all in any of these texts")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = frame
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), stage(spark, docs.limit(0), str(tmp_path)).schema)
+        kept[name] = sorted((r["doc_id"] for r in docs.collect()), key=str)
+        assert stage(spark, (frame if name == "language_id" else frame.select(corpus_pipeline.COLUMNS)).limit(0), str(tmp_path)).count() == 0
+    assert kept["language_id"] == sorted([None, None, 7, 7, 10, 11, 12], key=str)
+    assert kept["ngram_jaccard"] == sorted([None, 7, 7, 10, 12], key=str) == kept["decontaminate"] == kept["secret_scan"] == kept["source_mix"]
+    shared = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    done = corpus_pipeline.run(spark, str(tmp_path))
+    left = [f for f in set(shared.iterdir()) - before if not f.name.startswith("rdd-")]  # but for checkpoints
+    assert [f.name.split("-")[0] for f in left] == ["pipeline"] and [f.name for f in left[0].iterdir()] == ["source_mix"]
+    assert sorted((r["doc_id"] for r in done.collect()), key=str) == kept["source_mix"]
+
+
 def test_article_of_given_pages(spark):
     """Main texts of the given pages against their article element, cut out by a pattern."""
     path = "/root/testdata/sf0.001"
