@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.functions.pricing import with_cost
@@ -18,11 +18,11 @@ def keyed(events: DataFrame) -> DataFrame:
     return events.withColumns({"day": F.to_date("ts"), "turn_key": key})
 
 
-def build_turns(events: DataFrame) -> DataFrame:
+def build_turns(events: DataFrame, calls: bool = False) -> DataFrame:
     """One row for each exchange and UTC day, whatever order its observations came in. Tool results make no turn of their own.
 
     events: the columns of EVENT; ``seq`` is the order of arrival. One grouped aggregate, with partial aggregation on
-    the map side; lists of tool calls are kept out of it (``tool_calls``).
+    the map side. ``calls`` adds the turn's calls (as ``tool_calls`` makes them) in the same aggregate, without a shuffle of their own.
     """
     e = keyed(events.where("not (type = 'content' and tool_use_id is not null)"))
     o, t = F.col("seq"), F.col("type")
@@ -33,6 +33,8 @@ def build_turns(events: DataFrame) -> DataFrame:
     has_usage = response & c("input_tokens").isNotNull()
     usage = F.max_by(F.struct(*USAGE), F.when(has_usage, o))
     first = ("source", "message_id", "turn_id", "user_id", "machine_id", "project", "project_id", "git_branch", "effort")
+    seen = F.transform("tool_calls", lambda x, i: F.struct(o.alias("seq"), i.alias("pos"), x["id"].alias("id"), x["name"].alias("name")))
+    listed = [F.flatten(F.collect_list(F.when(response & (F.size("tool_calls") > 0), seen))).alias("seen")] if calls else []
     out = e.groupBy(*KEY).agg(
         last_of(c("session_id"), o).alias("session_id"),
         *[first_of(c(n), o).alias(n) for n in first],
@@ -52,8 +54,25 @@ def build_turns(events: DataFrame) -> DataFrame:
         (~F.coalesce(F.bool_or(response | error), F.lit(False))).alias("pending"),
         F.min(o).alias("first_seq"),
         usage.alias("usage"),
+        *listed,
     )
-    return out.select(*[n for n in out.columns if n != "usage"], "usage.*")
+    kept = [n for n in out.columns if n not in ("usage", "seen")]
+    return out.select(*kept, "usage.*", *([_distinct_calls(F.sort_array("seen")).alias("calls")] if calls else []))
+
+
+def _distinct_calls(seen: Column) -> Column:
+    """Calls of one turn from all that was seen of them, in order: distinct by id; a later name fills a blank; those without an id all stay."""
+    has_id = lambda x: F.coalesce(x["id"] != "", F.lit(False))
+    ids = F.array_distinct(F.transform(F.filter(seen, has_id), lambda x: x["id"]))
+
+    def one(i: Column) -> Column:
+        own = F.filter(seen, lambda x: x["id"] == i)
+        name = F.try_element_at(F.filter(own, lambda x: F.coalesce(x["name"] != "", F.lit(False))), F.lit(1))["name"]
+        return F.struct(own[0]["seq"].alias("seq"), own[0]["pos"].alias("pos"), i.alias("id"), name.alias("name"))
+
+    blank = F.transform(F.filter(seen, lambda x: ~has_id(x)), lambda x: F.struct(x["seq"].alias("seq"), x["pos"].alias("pos"), F.lit(None).cast("string").alias("id"), x["name"].alias("name")))
+    both = F.sort_array(F.concat(F.transform(ids, one), blank))
+    return F.transform(both, lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name")))
 
 
 def tool_calls(events: DataFrame) -> DataFrame:
@@ -93,7 +112,7 @@ def with_content(turns: DataFrame, events: DataFrame) -> DataFrame:
 
 def full(events: DataFrame, rates: DataFrame) -> DataFrame:
     """Turns as the archive keeps them: with calls, content refs and prices."""
-    return with_cost(with_content(with_tool_calls(build_turns(events), events), events), rates, events)
+    return with_cost(with_content(build_turns(events, calls=True), events), rates, events)
 
 
 def failures(turns: DataFrame) -> DataFrame:

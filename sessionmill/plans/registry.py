@@ -38,7 +38,7 @@ def query(f: Callable) -> Callable:
 def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priced turns with their calls."""
     events = fx.events(spark, sf_dir)
-    return pricing.with_cost(turns.with_tool_calls(turns.build_turns(events), events), fx.rates(spark), fx.raw_events(spark, sf_dir))
+    return pricing.with_cost(turns.build_turns(events, calls=True), fx.rates(spark), fx.raw_events(spark, sf_dir))
 
 
 def log_of(spark: SparkSession, sf_dir: str) -> DataFrame:

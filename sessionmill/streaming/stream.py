@@ -103,7 +103,7 @@ def stateful_turns(events: DataFrame, out: str, checkpoint: str, rates: DataFram
 
     def upsert(batch: DataFrame, number: int) -> None:
         seen = batch.persist()
-        merged = with_cost(turns.with_tool_calls(turns.build_turns(seen), seen), rates, seen)
+        merged = with_cost(turns.build_turns(seen, calls=True), rates, seen)
         merged.write.mode("overwrite").parquet(f"{out}/batch={number}")
         seen.unpersist()
 

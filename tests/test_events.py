@@ -10,6 +10,7 @@ from sessionmill.functions import columns as fn
 from sessionmill.functions import pricing
 from sessionmill.operators import archive, listing, normalize, projects, rollups, search, turns, windowed
 from sessionmill.operators import sessions as ses
+from sessionmill.sources import fixtures as fx
 from sessionmill.schemas import EVENT, RATE, conform
 
 UTC = dt.timezone.utc
@@ -249,6 +250,22 @@ def test_plausible_and_identity(spark):
     assert {r["tenant_id"] for r in normalize.overwrite_identity(e, {"tenant_id": "x"}).collect()} == {"x"}
 
 
+def test_calls_in_the_turn_aggregate_equal_those_apart(spark):
+    odd = [
+        {"type": "response", "ts": T0, "turn_id": "t", "tool_calls": [("a", ""), (None, "X"), ("b", "B"), ("a", "A")], **usage(1)},
+        {"type": "response", "ts": T0, "turn_id": "t", "tool_calls": [("", "Y"), ("b", "late"), ("c", None)], **usage(1)},
+        {"type": "response", "ts": T0, "turn_id": "u", "tool_calls": [], **usage(1)},
+        {"type": "request", "ts": T0, "turn_id": "t", "tool_calls": [("z", "never")]},
+        {"type": "error", "ts": T0, "turn_id": "v"},
+    ]
+    for events in (log(spark, odd), fx.events(spark, "/root/testdata/sf0.001")):
+        apart = turns.with_tool_calls(turns.build_turns(events), events)
+        together = turns.build_turns(events, calls=True).select(apart.columns)
+        assert sorted(map(str, together.collect())) == sorted(map(str, apart.collect()))
+    got = {r["turn_key"]: [tuple(c) for c in r["calls"]] for r in turns.build_turns(log(spark, odd), calls=True).collect()}
+    assert got == {"turn:t": [("a", "A"), (None, "X"), ("b", "B"), (None, "Y"), ("c", None)], "turn:u": [], "turn:v": []}
+
+
 def test_content_refs(spark):
     """Own content in order of arrival, repeats kept; results behind it; a result of another day or of no call is dropped."""
     later = T0 + dt.timedelta(days=1)
