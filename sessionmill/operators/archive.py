@@ -229,6 +229,48 @@ def lookup(store: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.where(F.col("ref").rlike("^[0-9a-f]{64}$")).join(store, ["tenant_id", "ref"])
 
 
+#: Up to this many wanted refs are broadcast to the store; more are joined by shuffle.
+BROADCAST_REFS = 1_000_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_REFS else df
+
+
+def _buckets(refs: DataFrame) -> list[str]:
+    return [r["bucket"] for r in refs.select(F.substring("ref", 1, 1).alias("bucket")).distinct().collect()]  # 16 at most
+
+
+def store_blobs(payloads: DataFrame, path: str) -> int:
+    """Adds payloads (tenant_id, payload) to a store that is laid out by the first digit of their ref, sorted by ref and with Bloom filters of it, each once a tenant; returns
+    how many were new. Of what is stored only refs of the same digits are read. Run again, it adds nothing; two writers at once may
+    store a payload twice, which a look-up shows once."""
+    spark = payloads.sparkSession
+    batch = blobs(payloads).withColumn("bucket", F.substring("ref", 1, 1)).persist()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fresh = batch
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        keys = ["tenant_id", "ref"]
+        known = spark.read.schema(batch.schema).parquet(path).where(F.col("bucket").isin(_buckets(batch))).select(keys)
+        fresh = batch.join(_few(known.join(_few(batch.select(keys)), keys, "left_semi").distinct()), keys, "left_anti")
+    fresh = fresh.persist()
+    n = fresh.count()
+    out = fresh.hint("rebalance", "bucket").sortWithinPartitions("bucket", "ref", "tenant_id").write.mode("append")
+    out.option("compression", "zstd").option("parquet.bloom.filter.enabled#ref", "true").partitionBy("bucket").parquet(path)
+    fresh.unpersist()
+    batch.unpersist()
+    return n
+
+
+def find_blobs(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """``lookup`` in a store as ``store_blobs`` lays it out: only folders of the wanted refs' first digits are read, and the refs go to
+    the payloads and not the payloads to the refs. wanted: (tenant_id, ref) and other columns."""
+    asked = wanted.where(F.col("ref").rlike("^[0-9a-f]{64}$"))
+    found = spark.read.schema("tenant_id string, ref string, payload string, bucket string").parquet(path).where(F.col("bucket").isin(_buckets(asked)))
+    met = found.join(_few(asked.select("tenant_id", "ref").distinct()), ["tenant_id", "ref"], "left_semi").dropDuplicates(["tenant_id", "ref"])
+    return asked.join(met.drop("bucket"), ["tenant_id", "ref"])
+
+
 def summary(turns: DataFrame) -> DataFrame:
     days = turns.groupBy("day").agg(F.count("*").alias("turns"))
     return days.agg(F.count("*").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.sum("turns").alias("turns"), F.max("turns").alias("most_turns"))

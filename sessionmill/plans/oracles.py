@@ -292,3 +292,4 @@ SELECT CASE WHEN place <= 3 THEN model ELSE '(other)' END AS model, least(place,
     "error_turns": _of(_TURNS, f"SELECT tenant_id, {_DAY}, turn_key, error, status_code FROM turns WHERE error IS NOT NULL OR status_code >= 400"),
     "unattributed_turns": _of(_TURNS, f"SELECT tenant_id, {_DAY}, turn_key FROM turns WHERE NOT ends_with(session_id, '7')"),
 }
+ORACLE_SQL["blob_store"] = ORACLE_SQL["blob_lookup"]

@@ -208,6 +208,17 @@ def blob_lookup(spark, sf_dir):
     return archive.lookup(store, wanted).select("doc_id", "tenant_id", "ref", F.length("payload").cast("long").alias("chars"))
 
 
+@query
+def blob_store(spark, sf_dir):
+    """Payloads stored in two parts that overlap, and looked up where they lie."""
+    path, all_ = new_folder(spark, "blobs"), payloads(spark, sf_dir)
+    archive.store_blobs(all_.where("doc_id % 5 < 3"), path)
+    archive.store_blobs(all_.where("doc_id % 5 > 1"), path)
+    ref = F.when(F.col("doc_id") % 2 == 0, F.sha2("text", 256)).otherwise("not-a-hash")
+    wanted = fx.read(spark, sf_dir, "documents").select("doc_id", F.lit("globex").alias("tenant_id"), ref.alias("ref"))
+    return archive.find_blobs(spark, path, wanted).select("doc_id", "tenant_id", "ref", F.length("payload").cast("long").alias("chars"))
+
+
 # --- normalisation -------------------------------------------------------------------------------------------------------------
 @query
 def parse_transcript(spark, sf_dir):

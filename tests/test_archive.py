@@ -261,3 +261,18 @@ def test_find_equals_search(spark, cold, full, text):
 def test_needles():
     assert search.needles('proj "two words" tool:Bash cost:>1 has:errors projectid:ab turns:lots x:y branch:') == ["proj", "two words", "bash", "turns:lots", "x:y", "branch:"]
     assert search.posted_days(None, []) is None and search.posted_days(None, ["ab", "long"]) is None
+
+
+def test_payload_store_reads_the_folders_it_needs(spark, tmp_path):
+    path = str(tmp_path / "blobs")
+    rows = [("acme", f"text {i}") for i in range(300)] + [("acme", "text 1"), ("globex", "text 1"), ("acme", None), (None, "nobody's")]
+    frame = spark.createDataFrame(rows, "tenant_id string, payload string")
+    assert archive.store_blobs(frame.where("payload is null or payload < 'text 2'"), path) + archive.store_blobs(frame, path) in (302, 303)
+    ref = frame.where("payload = 'text 1' and tenant_id = 'acme'").select(F.sha2("payload", 256)).first()[0]
+    for folder in (tmp_path / "blobs").glob("bucket=*"):  # others may be unreadable
+        if folder.name != f"bucket={ref[:1]}":
+            for f in folder.glob("*.parquet"):
+                f.write_bytes(b"broken")
+                (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    wanted = spark.createDataFrame([(1, "acme", ref), (2, "globex", ref), (3, "other", ref), (4, "acme", "../x"), (5, "acme", None), (6, "acme", ref)], "n long, tenant_id string, ref string")
+    assert sorted((r["n"], r["payload"]) for r in archive.find_blobs(spark, path, wanted).collect()) == [(1, "text 1"), (2, "text 1"), (6, "text 1")]

@@ -269,7 +269,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_registry_is_complete():
-    assert len(registry.QUERIES) == 117 and set(registry.QUERIES) == set(registry.ORACLE_SQL)
+    assert len(registry.QUERIES) == 118 and set(registry.QUERIES) == set(registry.ORACLE_SQL)
 
 
 @pytest.fixture(scope="module")
