@@ -231,8 +231,8 @@ def deal(docs: DataFrame, head) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", "train").mapInArrow(run, "shard int, batch long, train boolean, tokens binary, texts binary")
 
 
-#: texts (as differences), their known tokens, sums of log10(count + 1), and scores
-SUMS = (np.uint16, np.uint32, np.float64, np.float64)
+#: texts (as differences), their known tokens, sums of log10(count + 1), and sums of rounded scores (32 bits, or 64 where these don't do)
+SUMS = (np.uint16, np.uint32, np.float64, np.uint8)
 #: counts of words, tokens of each, texts (as differences), scores of tokens
 EACH = (np.uint32, np.uint32, np.uint16, np.int16)
 
@@ -290,7 +290,9 @@ def answer(head, kappa: float, mu: float):
             if 18 * len(which) <= 4 * len(text) + 8 * len(c):
                 each = np.repeat(c, s[1])
                 sums = [np.bincount(spot, x, minlength=len(which)) for x in (each > 0, np.log10(each + 1.0), score)]
-                out.append((True, _join([np.diff(which, prepend=np.uint16(0)), sums[0].astype(np.uint32), sums[1], sums[2]])))
+                codes = np.rint(sums[2] * _STEP).astype(np.int64)
+                codes = codes.astype(np.int32) if np.abs(codes).max(initial=0) < 1 << 31 else codes
+                out.append((True, _join([np.diff(which, prepend=np.uint16(0)), sums[0].astype(np.uint32), sums[1], codes])))
             else:
                 if (c >= 1 << 32).any():
                     raise OverflowError("a word's count is over 32 bits")
@@ -311,6 +313,7 @@ def gather(head, kappa: float, mu: float):
         for summed, data in zip(group["summed"].to_pylist(), group["data"].to_pylist(), strict=True):
             if summed:
                 text, k, ls, s = _split(data, SUMS)
+                s = s.view(np.int32 if len(s) == 4 * len(text) else np.int64) / _STEP
                 text = np.cumsum(text, dtype=np.uint16)
                 known[text] += k
                 logs[text] += ls
