@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,11 @@ class Page:
     days: list[dt.date]
 
 
+def _ends(days: list[dt.date]) -> tuple[dt.date, dt.date]:
+    """First and last of sorted days; without any, bounds that hold no day."""
+    return (days[0], days[-1]) if days else (dt.date.max, dt.date.min)
+
+
 #: Sessions that a round looks at, in pages; after the last all that are left.
 ROUNDS = (2, 16, 128)
 
@@ -80,8 +86,8 @@ def page(
     cold_days = archive.read_table(spark, path, "by_session", first, last)
     if since is not None:
         whole = windowed.whole_days(since, to)
-        edges = trim(archive.read_table(spark, path, "turns", first, first).unionByName(archive.read_table(spark, path, "turns", last, last)) if first != last else archive.read_table(spark, path, "turns", first, last)).where(~whole)
-        cold_days = cold_days.where(whole).unionByName(rollups.rollup_session_day(edges))
+        edges = reduce(DataFrame.unionByName, [archive.read_table(spark, path, "turns", d, d) for d in sorted({first, last})])
+        cold_days = cold_days.where(whole).unionByName(rollups.rollup_session_day(trim(edges).where(~whole)))
     spans = cold_days if warm is None else cold_days.unionByName(rollups.rollup_session_day(warm))
     asked = search.needles(text)
     if asked:
@@ -93,8 +99,7 @@ def page(
     spans = spans.select("tenant_id", "session_id", "day", "last_at").persist()
     ends = spans.groupBy("tenant_id", "session_id").agg(F.unix_millis(F.max("last_at")).alias("ended_ms"))
     hot_days = [] if warm is None else [r["day"] for r in warm.select("day").distinct().collect()]  # one value a day
-    found, read, at = [], set(), after
-    schema = None
+    found, read, at, schema = [], set(), after, None
     for pages in (*ROUNDS, None):
         keys = ends if at is None else ends.where(_behind(at))
         if pages is not None:
@@ -102,8 +107,8 @@ def page(
         keys = keys.persist()
         reach = keys.agg(F.count("*").alias("n"), F.min(F.struct(*CURSOR)).alias("last")).first()
         days = sorted(r["day"] for r in spans.join(keys, ["tenant_id", "session_id"], "left_semi").select("day").distinct().collect())  # one value a day
-        cold = archive.read_table(spark, path, "turns", *((days[0], days[-1]) if days else (dt.date.min, dt.date.min))).where(F.col("day").isin(days))
-        turns = trim(cold) if warm is None else trim(cold).unionByName(warm, allowMissingColumns=True)
+        cold = trim(archive.read_table(spark, path, "turns", *_ends(days)).where(F.col("day").isin(days)))
+        turns = cold if warm is None else cold.unionByName(warm, allowMissingColumns=True)
         made = rollup(turns.join(keys.select("tenant_id", "session_id"), ["tenant_id", "session_id"], "left_semi")).where(search.search(text))
         made = made.withColumn("ended_ms", F.unix_millis("ended_at")).orderBy(*[F.desc(c) for c in CURSOR]).limit(size + 1)
         schema = made.schema
@@ -130,8 +135,7 @@ def find(spark: SparkSession, path: str, text: str) -> DataFrame:
         keys = search.candidates(words, asked)
         touched = archive.read_table(spark, path, "by_session").join(keys, ["tenant_id", "session_id"], "left_semi")
         days = sorted(r["day"] for r in touched.select("day").distinct().collect())  # one value a day
-        reach = (days[0], days[-1]) if days else (dt.date.min, dt.date.min)
-        turns = archive.read_table(spark, path, "turns", *reach).where(F.col("day").isin(days)).join(keys, ["tenant_id", "session_id"], "left_semi")
+        turns = archive.read_table(spark, path, "turns", *_ends(days)).where(F.col("day").isin(days)).join(keys, ["tenant_id", "session_id"], "left_semi")
     return rollup(turns).where(search.search(text))
 
 
