@@ -51,11 +51,12 @@ def write_days(turns: DataFrame, path: str, days: DataFrame | None = None) -> in
     """Writes turns and rollups of the given days (day), by default those that turns hold, as a new version, and commits it.
 
     A day that is written again is replaced whole, in every table, also if it has become empty. Turns are built once, by the write;
-    rollups and counts are made of the turns as written. Returns the number of the commit.
+    rollups and counts are made of the turns as written. Turns without a day belong to none and are left out. Returns the number of the
+    commit.
     """
     spark = turns.sparkSession
     chosen = None if days is None else [r["day"] for r in days.select("day").distinct().collect()]  # one value a day
-    turns = turns if chosen is None else turns.where(F.col("day").isin(chosen))
+    turns = turns.where("day is not null") if chosen is None else turns.where(F.col("day").isin(chosen))
     version = uuid.uuid4().hex
     _write(turns, f"{path}/turns/version={version}", ("day", "tenant_id", "session_id", "started_at", "first_seq"))
     written = spark.read.schema(turns.schema).parquet(f"{path}/turns/version={version}").withColumn("version", F.lit(version))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.operators import archive, rollups, search, windowed
 from sessionmill.operators.sessions import sessions as rollup
+from sessionmill.sources import daylog
 
 DEFAULT_LIMIT, MOST_LIMIT = 50, 500
 RANKS = {"cost": "cost_units", "turns": "turns", "errors": "errors"}
@@ -80,26 +81,33 @@ def page(
     the page full. The posting table and the words of the days that it names leave sessions out that can't match.
     """
     size = page_size(limit)
+    begun = bool(daylog.state(spark, path).schemas) or hot is None
+
+    def read(name: str, *days: dt.date | None) -> DataFrame:
+        """A table of the archive; before the first compaction an empty one."""
+        made = {"turns": lambda t: t, "by_session": rollups.rollup_session_day, "words": rollups.rollup_words, "grams": rollups.rollup_grams}
+        return archive.read_table(spark, path, name, *days) if begun else made[name](hot).limit(0)
+
     first, last = (None if x is None else x.date() for x in (since, to))
     trim = lambda f: f if since is None else windowed.in_window(f, since, to)
     warm = None if hot is None else trim(hot)
-    cold_days = archive.read_table(spark, path, "by_session", first, last)
+    cold_days = read("by_session", first, last)
     if since is not None:
         whole = windowed.whole_days(since, to)
-        edges = reduce(DataFrame.unionByName, [archive.read_table(spark, path, "turns", d, d) for d in sorted({first, last})])
+        edges = reduce(DataFrame.unionByName, [read("turns", d, d) for d in sorted({first, last})])
         cold_days = cold_days.where(whole).unionByName(rollups.rollup_session_day(trim(edges).where(~whole)))
     spans = cold_days if warm is None else cold_days.unionByName(rollups.rollup_session_day(warm))
     asked = search.needles(text)
     if asked:
-        words = archive.read_table(spark, path, "words", first, last)
-        posted = search.posted_days(archive.read_table(spark, path, "grams", first, last), asked)
+        words = read("words", first, last)
+        posted = search.posted_days(read("grams", first, last), asked)
         words = words if posted is None else words.join(posted, ["tenant_id", "day"], "left_semi")
         words = words if warm is None else words.unionByName(rollups.rollup_words(warm))
         spans = spans.join(search.candidates(words, asked), ["tenant_id", "session_id"], "left_semi")
     spans = spans.select("tenant_id", "session_id", "day", "last_at").persist()
     ends = spans.groupBy("tenant_id", "session_id").agg(F.unix_millis(F.max("last_at")).alias("ended_ms"))
     hot_days = [] if warm is None else [r["day"] for r in warm.select("day").distinct().collect()]  # one value a day
-    found, read, at, schema = [], set(), after, None
+    found, walked, at, schema = [], set(), after, None
     for pages in (*ROUNDS, None):
         keys = ends if at is None else ends.where(_behind(at))
         if pages is not None:
@@ -107,21 +115,21 @@ def page(
         keys = keys.persist()
         reach = keys.agg(F.count("*").alias("n"), F.min(F.struct(*CURSOR)).alias("last")).first()
         days = sorted(r["day"] for r in spans.join(keys, ["tenant_id", "session_id"], "left_semi").select("day").distinct().collect())  # one value a day
-        cold = trim(archive.read_table(spark, path, "turns", *_ends(days)).where(F.col("day").isin(days)))
+        cold = trim(read("turns", *_ends(days)).where(F.col("day").isin(days)))
         turns = cold if warm is None else cold.unionByName(warm, allowMissingColumns=True)
         made = rollup(turns.join(keys.select("tenant_id", "session_id"), ["tenant_id", "session_id"], "left_semi")).where(search.search(text))
         made = made.withColumn("ended_ms", F.unix_millis("ended_at")).orderBy(*[F.desc(c) for c in CURSOR]).limit(size + 1)
         schema = made.schema
         if reach["n"]:
             found += made.collect()  # a page and one row at most
-            read |= set(days) - set(hot_days)
+            walked |= set(days) - set(hot_days)
         keys.unpersist()
         if len(found) > size or pages is None or reach["n"] < pages * size:
             break
         at = tuple(reach["last"])
     spans.unpersist()
     rows = found[:size]
-    return Page(spark.createDataFrame(rows, schema), len(found) > size, tuple(rows[-1][c] for c in CURSOR) if rows else None, sorted(read))
+    return Page(spark.createDataFrame(rows, schema), len(found) > size, tuple(rows[-1][c] for c in CURSOR) if rows else None, sorted(walked))
 
 
 def find(spark: SparkSession, path: str, text: str) -> DataFrame:

@@ -258,6 +258,17 @@ def test_find_equals_search(spark, cold, full, text):
     assert rows(listing.find(spark, cold, text).select("tenant_id", "session_id", "turns")) == rows(want.select("tenant_id", "session_id", "turns"))
 
 
+def test_page_before_the_first_compaction(spark, full, tmp_path):
+    hot = full.where("day > '2024-01-28'").unionByName(full.limit(1).withColumn("day", F.lit(None).cast("date")))
+    want = listing.recent(ses.sessions(hot.where("day is not null")).where(search.search("proj3")), 4)
+    page = listing.page(spark, str(tmp_path / "none"), 4, text="proj3", hot=hot.where("day is not null"))
+    assert [r["session_id"] for r in page.sessions.collect()] == [r["session_id"] for r in want.collect()] and page.days == []
+    with pytest.raises(ValueError):
+        listing.page(spark, str(tmp_path / "none"), 4)
+    archive.write_days(hot, str(tmp_path / "a"))  # a turn without a day is left out
+    assert archive.read_table(spark, str(tmp_path / "a"), "turns").where("day is null").count() == 0
+
+
 def test_needles():
     assert search.needles('proj "two words" tool:Bash cost:>1 has:errors projectid:ab turns:lots x:y branch:') == ["proj", "two words", "bash", "turns:lots", "x:y", "branch:"]
     assert search.posted_days(None, []) is None and search.posted_days(None, ["ab", "long"]) is None
