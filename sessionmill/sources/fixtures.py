@@ -71,10 +71,14 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log with project, project_id and in_repo of each working directory."""
+    """The event log with project, project_id and in_repo of each working directory.
+
+    The log names 16 directories, however long it is, and most of its events have none: they are sent to the events, since a shuffle by
+    directory would bring the events without one together in one task.
+    """
     made = raw_events(spark, sf_dir)
     found = projects.attribute(made, roots(spark)).select("cwd", project_name(F.col("root")).alias("name"), project_id(F.col("root")).alias("pid"), F.col("in_repo").alias("repo"))
-    out = made.join(found, "cwd", "left").withColumns({"project": F.col("name"), "project_id": F.col("pid"), "in_repo": F.col("repo")})
+    out = made.join(F.broadcast(found), "cwd", "left").withColumns({"project": F.col("name"), "project_id": F.col("pid"), "in_repo": F.col("repo")})
     return out.select(EVENT.fieldNames())
 
 
