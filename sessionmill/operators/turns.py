@@ -35,7 +35,7 @@ def build_turns(events: DataFrame, calls: bool = False) -> DataFrame:
     first = ("source", "message_id", "turn_id", "user_id", "machine_id", "project", "project_id", "git_branch", "effort")
     seen = F.transform("tool_calls", lambda x, i: F.struct(o.alias("seq"), i.alias("pos"), x["id"].alias("id"), x["name"].alias("name")))
     listed = [F.flatten(F.collect_list(F.when(response & (F.size("tool_calls") > 0), seen))).alias("seen")] if calls else []
-    out = e.groupBy(*KEY).agg(
+    out = e.repartition(*KEY).groupBy(*KEY).agg(
         last_of(c("session_id"), o).alias("session_id"),
         *[first_of(c(n), o).alias(n) for n in first],
         *[F.coalesce(F.bool_or(n), F.lit(False)).alias(n) for n in ("in_repo", "subagent", "stream")],

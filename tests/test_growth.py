@@ -37,3 +37,10 @@ def dealt(monkeypatch):
 def test_events_without_a_directory_stay_apart(spark, plain, dealt):
     parts = fx.events(spark, SF).select("seq", "project").groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in parts) < 0.3 * sum(r["count"] for r in parts)
+
+
+@pytest.mark.parametrize("calls", [False, True])
+def test_turns_are_sorted_behind_the_shuffle_alone(spark, plain, calls):
+    log = spark.createDataFrame([(None,) * len(EVENT)], EVENT)
+    plan = turns.build_turns(log, calls)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" in plan.split("Exchange")[0] and "Aggregate" not in plan.split("Exchange")[1]
