@@ -40,9 +40,12 @@ def with_cost(turns: DataFrame, rates: DataFrame, models: DataFrame | None = Non
 
     models: where the models are read from (by default turns); give the events that turns are built of, and only their model
     column is scanned in place of building all turns twice.
+
+    A row a model is sent to the turns: a shuffle by model would bring all turns together in as many tasks as there are models.
     """
     w5m, w1h = cache_write_split()
-    out = turns.join(rate_of(turns if models is None else models, rates).drop("matched_prefix"), "model", "left").withColumns({"w5m": w5m, "w1h": w1h, "priced": F.col("rate_input").isNotNull()})
+    found = F.broadcast(rate_of(turns if models is None else models, rates).drop("matched_prefix"))
+    out = turns.join(found, "model", "left").withColumns({"w5m": w5m, "w1h": w1h, "priced": F.col("rate_input").isNotNull()})
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(19,0)")
     prompt = (n("input_tokens") * INPUT_20 + n("w5m") * WRITE_5M_20 + n("w1h") * WRITE_1H_20 + n("cache_read") * READ_20).cast("decimal(20,0)")
     cost = (prompt * F.col("rate_input")).cast(MONEY) + ((n("output_tokens") * OUTPUT_20).cast("decimal(20,0)") * F.col("rate_output")).cast(MONEY)

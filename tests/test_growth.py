@@ -39,6 +39,12 @@ def test_events_without_a_directory_stay_apart(spark, plain, dealt):
     assert max(r["count"] for r in parts) < 0.3 * sum(r["count"] for r in parts)
 
 
+def test_priced_turns_are_not_dealt_by_model(spark, plain, dealt):
+    t = turns.full(fx.content_events(spark, SF), fx.rates(spark))
+    parts = t.groupBy(F.spark_partition_id()).agg(F.count("*").alias("count"), F.sum("cost_units")).collect()  # without a price there is no join
+    assert max(r["count"] for r in parts) < 0.3 * sum(r["count"] for r in parts)
+
+
 @pytest.mark.parametrize("calls", [False, True])
 def test_turns_are_sorted_behind_the_shuffle_alone(spark, plain, calls):
     log = spark.createDataFrame([(None,) * len(EVENT)], EVENT)
