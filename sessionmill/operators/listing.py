@@ -47,7 +47,8 @@ def recent_archived(session_days: DataFrame, turns: DataFrame, limit: int | None
     page = spans.orderBy(*[F.desc(c) for c in CURSOR]).limit(size).select("tenant_id", "session_id")
     keys = F.broadcast(page)  # MOST_LIMIT rows at most
     days = session_days.join(keys, ["tenant_id", "session_id"], "left_semi").select("tenant_id", "day").distinct()
-    found = turns.join(days, ["tenant_id", "day"], "left_semi").join(keys, ["tenant_id", "session_id"], "left_semi")
+    # both go to the turns: a shuffle by day would bring a day's turns together in one task
+    found = turns.join(keys, ["tenant_id", "session_id"], "left_semi").join(F.broadcast(days), ["tenant_id", "day"], "left_semi")
     return recent(rollup(found), size)
 
 

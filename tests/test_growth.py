@@ -6,7 +6,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from sessionmill.operators import turns
+from sessionmill.functions import pricing
+from sessionmill.operators import listing, rollups, turns
 from sessionmill.plans import registry
 from sessionmill.schemas import EVENT, conform
 from sessionmill.sources import fixtures as fx
@@ -45,6 +46,13 @@ def test_priced_turns_are_not_dealt_by_model(spark, plain, dealt):
     assert max(r["count"] for r in parts) < 0.3 * sum(r["count"] for r in parts)
 
 
+def test_pages_of_the_archive_do_not_shuffle_turns_by_day(spark, plain):
+    t = pricing.with_cost(turns.build_turns(fx.events(spark, SF), calls=True), fx.rates(spark))
+    stored = spark.createDataFrame(t.limit(0).collect(), t.schema)
+    plan = listing.recent_archived(rollups.rollup_session_day(stored), stored, 20)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan
+
+
 @pytest.mark.parametrize("calls", [False, True])
 def test_turns_are_sorted_behind_the_shuffle_alone(spark, plain, calls):
     log = spark.createDataFrame([(None,) * len(EVENT)], EVENT)
