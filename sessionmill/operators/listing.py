@@ -100,9 +100,7 @@ def page(
     spans = cold_days if warm is None else cold_days.unionByName(rollups.rollup_session_day(warm))
     asked = search.needles(text)
     if asked:
-        words = read("words", first, last)
-        posted = search.posted_days(read("grams", first, last), asked)
-        words = words if posted is None else words.join(posted, ["tenant_id", "day"], "left_semi")
+        words = search.in_posted(read("words", first, last), search.posted_days(read("grams", first, last), asked))
         words = words if warm is None else words.unionByName(rollups.rollup_words(warm))
         spans = spans.join(search.candidates(words, asked), ["tenant_id", "session_id"], "left_semi")
     spans = spans.select("tenant_id", "session_id", "day", "last_at").persist()
@@ -138,9 +136,7 @@ def find(spark: SparkSession, path: str, text: str) -> DataFrame:
     touch are read, and the exact predicate decides."""
     asked, turns = search.needles(text), archive.read_table(spark, path, "turns")
     if asked:
-        words = archive.read_table(spark, path, "words")
-        posted = search.posted_days(archive.read_table(spark, path, "grams"), asked)
-        words = words if posted is None else words.join(posted, ["tenant_id", "day"], "left_semi")
+        words = search.in_posted(archive.read_table(spark, path, "words"), search.posted_days(archive.read_table(spark, path, "grams"), asked))
         keys = search.candidates(words, asked)
         touched = archive.read_table(spark, path, "by_session").join(keys, ["tenant_id", "session_id"], "left_semi")
         days = sorted(r["day"] for r in touched.select("day").distinct().collect())  # one value a day

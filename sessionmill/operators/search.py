@@ -106,6 +106,12 @@ def posted_days(grams: DataFrame, asked: list[str]) -> DataFrame | None:
     return found.where(reduce(or_, [F.size(F.array_intersect("found", F.array(*[F.lit(g) for g in r]))) == len(r) for r in runs.values()])).select("tenant_id", "day")
 
 
+def in_posted(words: DataFrame, posted: DataFrame | None) -> DataFrame:
+    """words of the posted days (all, if None). A row a tenant and day is sent to the words: a shuffle by day would bring a day's words
+    together in one task."""
+    return words if posted is None else words.join(F.broadcast(posted), ["tenant_id", "day"], "left_semi")
+
+
 def candidates(words: DataFrame, asked: list[str]) -> DataFrame:
     """(tenant_id, session_id) of the sessions whose words (a row a session and day) hold every needle, on whatever days."""
     held = [_any("words", n) | _holds(F.col("session_id"), n) for n in asked]

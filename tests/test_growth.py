@@ -1,13 +1,14 @@
 """No task takes a share of the log that grows with it, and days that are not over."""
 
 import datetime as dt
+import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from sessionmill.functions import pricing
-from sessionmill.operators import listing, rollups, turns
+from sessionmill.operators import archive, listing, rollups, turns
 from sessionmill.plans import registry
 from sessionmill.schemas import EVENT, conform
 from sessionmill.sources import fixtures as fx
@@ -53,6 +54,12 @@ def test_pages_of_the_archive_do_not_shuffle_turns_by_day(spark, plain):
     assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan
 
 
+def test_a_search_does_not_shuffle_words_by_day(spark, plain, tmp_path):
+    archive.write_days(turns.full(fx.content_events(spark, SF), fx.rates(spark)), str(tmp_path))
+    found = listing.find(spark, str(tmp_path), registry.FIND_TEXT)
+    assert found.count() and not re.search(r"SortMergeJoin \[tenant_id#\d+, day#\d+\]", found._jdf.queryExecution().executedPlan().toString())
+
+
 @pytest.mark.parametrize("calls", [False, True])
 def test_turns_are_sorted_behind_the_shuffle_alone(spark, plain, calls):
     log = spark.createDataFrame([(None,) * len(EVENT)], EVENT)
