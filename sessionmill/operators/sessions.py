@@ -75,7 +75,8 @@ def detail(turns: DataFrame, session_days: DataFrame, session_id: str, tenant_id
     mine = F.col("session_id") == session_id
     mine = mine if tenant_id is None else mine & (F.col("tenant_id") == tenant_id)
     days = session_days.where(mine).select("tenant_id", "day").distinct()
-    return turn_sequence(turns.where(mine).join(days, ["tenant_id", "day"], "left_semi"))
+    # a row a day, sent to the turns: a shuffle by day would bring a long session's day together in one task
+    return turn_sequence(turns.where(mine).join(F.broadcast(days), ["tenant_id", "day"], "left_semi"))
 
 
 def session_span(session_days: DataFrame) -> DataFrame:

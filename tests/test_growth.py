@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionmill.functions import pricing
-from sessionmill.operators import archive, listing, rollups, turns
+from sessionmill.operators import archive, listing, rollups, sessions, turns
 from sessionmill.plans import registry
 from sessionmill.schemas import EVENT, conform
 from sessionmill.sources import fixtures as fx
@@ -54,6 +54,13 @@ def test_pages_of_the_archive_do_not_shuffle_turns_by_day(spark, plain):
     assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan
 
 
+def test_a_session_s_turns_are_not_shuffled_by_day(spark, plain):
+    t = pricing.with_cost(turns.build_turns(fx.events(spark, SF), calls=True), fx.rates(spark))
+    stored = spark.createDataFrame(t.limit(0).collect(), t.schema)
+    plan = sessions.detail(stored, rollups.rollup_session_day(stored), "s7")._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and not re.search(r"SortMergeJoin \[tenant_id#\d+, day#\d+\]", plan)
+
+
 def test_a_search_does_not_shuffle_words_by_day(spark, plain, tmp_path):
     archive.write_days(turns.full(fx.content_events(spark, SF), fx.rates(spark)), str(tmp_path))
     found = listing.find(spark, str(tmp_path), registry.FIND_TEXT)
