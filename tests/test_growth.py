@@ -107,6 +107,24 @@ def test_streamed_log_is_written_by_many_tasks(spark, dealt, monkeypatch, tmp_pa
     assert written.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < whole / 6
 
 
+@pytest.mark.parametrize("name", ["prune_verdict"])
+def test_log_of_an_archive_query_is_written_by_many_tasks(spark, plain, dealt, monkeypatch, tmp_path, name):
+    """Dealt by directory, most of the log would come to one task."""
+    monkeypatch.setattr(registry, "work_dir", lambda _: str(tmp_path))
+
+    class Stop(Exception):
+        pass
+
+    def stop(*_):
+        raise Stop
+
+    monkeypatch.setattr(turns, "full", stop)
+    with pytest.raises(Stop):
+        registry.QUERIES[name](spark, SF)
+    written = spark.read.parquet(str(next(tmp_path.glob("log-*"))))
+    assert written.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < written.count() / 6
+
+
 def test_state_of_turns_is_spark_s_own_and_equals_the_processor_s(spark, tmp_path):
     """Repeats, an order that is none, and an event whose day the watermark has left behind."""
     (tmp_path / "in").mkdir()
