@@ -107,7 +107,7 @@ def test_streamed_log_is_written_by_many_tasks(spark, dealt, monkeypatch, tmp_pa
     assert written.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < whole / 6
 
 
-@pytest.mark.parametrize("name", ["prune_verdict", "committed_days", "hot_cold_turns", "replaced_days", "compacted_days"])
+@pytest.mark.parametrize("name", ["prune_verdict", "committed_days", "hot_cold_turns", "replaced_days", "compacted_days", "sessions_page_window"])
 def test_log_of_an_archive_query_is_written_by_many_tasks(spark, plain, dealt, monkeypatch, tmp_path, name):
     """Dealt by directory, most of the log would come to one task."""
     monkeypatch.setattr(registry, "work_dir", lambda _: str(tmp_path))
